@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from bitlake.llm import mixing, token_counts
+from bitlake.llm import mixing, simhash, suffix_dedup, token_counts
 from bitlake.llm.common import table
 
 
+def op1_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -14,9 +18,15 @@ def op6_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_neardup(spark, sf_dir):
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op6_token_counts": op6_token_counts,
+    "op9_simhash_neardup": op9_simhash_neardup,
 }
 
 ORACLES = {

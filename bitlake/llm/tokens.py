@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: The code points with the Unicode property White_Space, as ranges for a character class.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: A text without these has single spaces or single line ends between words only.
 _ODD_ASCII = ("\t", "\x0b", "\x0c", "\r", "  ", "\n\n", " \n", "\n ")
