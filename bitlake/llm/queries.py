@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bitlake.llm import mixing, simhash, suffix_dedup, token_counts
+from bitlake.llm import mixing, quality_rules, simhash, suffix_dedup, token_counts
 from bitlake.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark, sf_dir):
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -24,11 +28,13 @@ def op9_simhash_neardup(spark, sf_dir):
 
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_quality_rules": op2_quality_rules,
     "op3_mix_sources": op3_mix_sources,
     "op6_token_counts": op6_token_counts,
     "op9_simhash_neardup": op9_simhash_neardup,
 }
 
 ORACLES = {
+    "op2_quality_rules": quality_rules.sql(),
     "op3_mix_sources": mixing.SQL,
 }
