@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bitlake.llm import mixing, quality_rules, simhash, suffix_dedup, token_counts
+from bitlake.llm import mixing, packing, quality_rules, simhash, suffix_dedup, token_counts
 from bitlake.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op6_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_neardup(spark, sf_dir):
     return simhash.components(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_mix_sources": op3_mix_sources,
     "op6_token_counts": op6_token_counts,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op9_simhash_neardup": op9_simhash_neardup,
 }
 
