@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bitlake.llm import mixing, packing, quality_rules, simhash, suffix_dedup, token_counts
+from bitlake.llm import lm_scoring, mixing, packing, quality_rules, simhash, suffix_dedup, token_counts
 from bitlake.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op9_simhash_neardup(spark, sf_dir):
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring(spark, sf_dir):
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -37,6 +41,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_simhash_neardup": op9_simhash_neardup,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLES = {
