@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bitlake.llm import ann, lm_scoring, mixing, packing, quality_rules, simhash, suffix_dedup, token_counts
+from bitlake.llm import ann, lm_scoring, mixing, packing, quality_model, quality_rules, simhash, suffix_dedup, token_counts
 from bitlake.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_ann_search(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op5_quality_classifier(spark, sf_dir):
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_mix_sources": op3_mix_sources,
     "op4_ann_search": op4_ann_search,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_simhash_neardup": op9_simhash_neardup,
