@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bitlake.llm import ann, lm_scoring, mixing, packing, quality_model, quality_rules, simhash, suffix_dedup, token_counts
+from bitlake.llm import ann, id_coder, lm_scoring, mixing, packing, quality_model, quality_rules, simhash, suffix_dedup, token_counts
 from bitlake.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op7_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_token_id_files(spark, sf_dir):
+    return id_coder.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_neardup(spark, sf_dir):
     return simhash.components(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_token_id_files": op8_token_id_files,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_lm_scoring": op10_lm_scoring,
 }
