@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from bitlake.plans import frame_queries, word_queries
+
+QUERIES: dict = {**frame_queries.QUERIES, **word_queries.QUERIES}
+ORACLES: dict = {**frame_queries.ORACLES, **word_queries.ORACLES}
 
 
 def flagship(spark, sf_dir):

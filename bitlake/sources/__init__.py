@@ -1 +1,24 @@
-"""See the package README section of the same name."""
+"""Tables on disk: curve-sorted point indexes, bitmaps and their rank/select directories, all Parquet."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from bitlake.operators import bitmaps
+from bitlake.operators.spatial import build_index  # noqa: F401
+
+
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def write_directory(bitmap: DataFrame, path: str, files: int | None = None) -> None:
+    """A rank/select directory, sorted so that look-ups prune by bitmap and word."""
+    d = bitmaps.directory(bitmap)
+    files = files or max(1, bitmap.sparkSession.sparkContext.defaultParallelism)
+    d.repartitionByRange(files, bitmaps.ID, bitmaps.AT).sortWithinPartitions(bitmaps.ID, bitmaps.AT).write.parquet(path)
+
+
+def read_directory(spark: SparkSession, path: str) -> DataFrame:
+    """The directory that write_directory() wrote; its words are the bitmap, too."""
+    return spark.read.parquet(path)

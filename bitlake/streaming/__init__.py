@@ -1 +1,34 @@
-"""See the package README section of the same name."""
+"""Scans of byte streams that carry their state from chunk to chunk."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from bitlake.operators.bytescan import structure
+
+OUT = "stream_id string, chunk long, structure array<int>"
+STATE = "escaped boolean, inside boolean, next long"
+
+
+def json_structure(chunks: DataFrame) -> DataFrame:
+    """(stream_id, chunk, structure) for a stream of (stream_id, chunk, text): the places of structural
+    characters of each chunk, where strings and escapes may cross chunks. Chunks of a stream that arrive in
+    one micro-batch are taken in order; one that comes after a later chunk has been taken is passed over."""
+
+    def scan(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        escaped, inside, after = state.get if state.exists else (False, False, -1)
+        rows = pd.concat(list(frames)).sort_values("chunk")
+        out = []
+        for chunk, text in zip(rows["chunk"], rows["text"], strict=True):
+            if chunk <= after:
+                continue
+            places, escaped, inside = structure((text or "").encode(), escaped, inside)
+            out.append((key[0], int(chunk), places))
+            after = int(chunk)
+        state.update((bool(escaped), bool(inside), after))
+        yield pd.DataFrame(out, columns=["stream_id", "chunk", "structure"])
+
+    return chunks.groupBy("stream_id").applyInPandasWithState(scan, OUT, STATE, "append", "NoTimeout")
