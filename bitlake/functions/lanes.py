@@ -43,8 +43,8 @@ add = _both(lambda a, b: (a + b).bitwiseAND(F.lit(255)))
 sub = _both(lambda a, b: (a - b).bitwiseAND(F.lit(255)))
 add_sat = _both(lambda a, b: F.least(a + b, F.lit(255)))
 sub_sat = _both(lambda a, b: F.greatest(a - b, F.lit(0)))
-minimum = _both(F.least)
-maximum = _both(F.greatest)
+minimum = _both(lambda a, b: F.least(a, b))
+maximum = _both(lambda a, b: F.greatest(a, b))
 avg_floor = _both(lambda a, b: F.shiftright(a + b, 1))
 avg_round = _both(lambda a, b: F.shiftright(a + b + 1, 1))
 _flag = lambda c: F.when(c, 255).otherwise(0)

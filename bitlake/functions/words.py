@@ -44,7 +44,11 @@ def mask(x: Column, width: int) -> Column:
 
 
 def layered(df: DataFrame, **outputs: Callable[[Let], Column]) -> DataFrame:
-    """df with columns output = build(let); every let() becomes a projection below, gone from the result."""
+    """df with columns output = build(let); every let() becomes a projection below, gone from the result.
+
+    Filter before this, or on a written result: a filter on an output would be pushed below the projections,
+    with all that they compute written out in it.
+    """
     state, made = df, []
 
     def let(c: Column) -> Column:

@@ -131,8 +131,10 @@ def find_run(bitmap: DataFrame, k: int) -> DataFrame:
             low, high = let(low.bitwiseAND(moved)), let(high.bitwiseAND(F.shiftrightunsigned(high, step) if step < 64 else word(0)))
             have += step
         return low
-    d = W.layered(d, starts=starts).where("starts != 0")
-    return d.groupBy(ID).agg(F.min(F.col(AT) * 64 + W.trailing_zeros(F.col("starts"))).alias("start"))
+    # Words without a start give null; a filter on them would be pushed below the rounds, and repeat them.
+    d = W.layered(d, starts=starts)
+    first = F.min(F.when(F.col("starts") != 0, F.col(AT) * 64 + W.trailing_zeros(F.col("starts"))))
+    return d.groupBy(ID).agg(first.alias("start")).where("start is not null")
 
 
 def filter_pack(values: DataFrame, mask: DataFrame) -> DataFrame:

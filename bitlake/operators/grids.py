@@ -22,9 +22,9 @@ def block_starts(grid: DataFrame, w: int, h: int) -> DataFrame:
 
 def find_block(grid: DataFrame, w: int, h: int) -> DataFrame:
     """(grid_id, row, col) of the first block, by row, then column."""
-    found = block_starts(grid, w, h).where("starts != 0")
-    first = found.groupBy("grid_id").agg(F.min(F.struct("row", W.trailing_zeros(F.col("starts")).alias("col"))).alias("at"))
-    return first.select("grid_id", "at.row", "at.col")
+    found = block_starts(grid, w, h)
+    place = F.when(F.col("starts") != 0, F.struct("row", W.trailing_zeros(F.col("starts")).alias("col")))
+    return found.groupBy("grid_id").agg(F.min(place).alias("at")).where("at is not null").select("grid_id", "at.row", "at.col")
 
 
 def _block(row: int, col: int, w: int, h: int) -> tuple[Column, Column]:

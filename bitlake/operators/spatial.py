@@ -25,7 +25,10 @@ def key_predicate(key: Column, ranges: list[plan.Range]) -> Column:
 
 
 def range_query(df: DataFrame, x: str, y: str, xs: tuple, ys: tuple, key: str = "cell_key", curve: str = "hilbert", order: int = curves.ORDER2, budget: int = 16) -> DataFrame:
-    """Rows of a keyed table inside the rectangle: key ranges first, then the exact test."""
+    """Rows of an index (a table that holds its keys) inside the rectangle: key ranges first, then the exact test.
+
+    Keys computed in the same plan would be computed once per range: write them with build_index() first.
+    """
     ranges = plan.cover(curve, order, xs, ys, budget)
     exact = F.lit(True)
     for c, (low, high) in ((x, xs), (y, ys)):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bitlake import sources
 from bitlake.functions import affine as A
 from bitlake.functions import lanes as L
 from bitlake.functions import words as W
@@ -91,9 +92,16 @@ _MORTON = "list_sum(list_transform(range({n}), lambda j: ((({x} >> j) & 1) << (2
 # --- rectangles ---------------------------------------------------------------
 
 
+def _indexed(df, curve="hilbert"):
+    """df written as an index by key and read again, so that key ranges reach the scan."""
+    path = sources.scratch_path(df.sparkSession, "points")
+    sources.build_index(df, path, F.col("x"), F.col("y"), curve=curve, order=ORDER)
+    return sources.read_points(df.sparkSession, path)
+
+
 def _range(curve):
     def query(spark, sf_dir):
-        p = curves.with_key(_points(spark, sf_dir, "l_returnflag", "l_quantity"), "cell_key", F.col("x"), F.col("y"), curve, ORDER)
+        p = _indexed(_points(spark, sf_dir, "l_returnflag", "l_quantity"), curve)
         found = spatial.range_query(p, "x", "y", *BOX, curve=curve, order=ORDER)
         return found.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
@@ -102,13 +110,12 @@ def _range(curve):
 
 def spatial_orders_days(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("x"), F.datediff(F.col("o_orderdate"), F.lit("1992-01-01").cast("date")).cast("long").alias("y"))
-    keyed = curves.with_key(o, "cell_key", F.col("x"), F.col("y"), "hilbert", ORDER)
-    return spatial.range_query(keyed, "x", "y", (50, 400), (300, 900), budget=8).select("o_orderkey", "x", "y")
+    return spatial.range_query(_indexed(o), "x", "y", (50, 400), (300, 900), budget=8).select("o_orderkey", "x", "y")
 
 
 def zone_map_prune(spark, sf_dir):
     """Points in the rectangle, counted over the blocks that may hold them and over all: the same."""
-    p = curves.with_key(_points(spark, sf_dir), "cell_key", F.col("x"), F.col("y"), "hilbert", ORDER)
+    p = _indexed(_points(spark, sf_dir))
     zones = spatial.prune(spatial.zone_map(p, "cell_key"), *BOX)
     inside = p.where(F.col("x").between(*BOX[0]) & F.col("y").between(*BOX[1])).groupBy("cell_key").count()
     met = inside.join(F.broadcast(zones), F.col("cell_key").between(F.col("first"), F.col("last")))
@@ -147,7 +154,7 @@ def _asked(spark, sf_dir):
 
 
 _E = "e AS (SELECT DISTINCT user_id % 20 AS bitmap_id, event_id AS position FROM events), a AS (SELECT DISTINCT user_id % 20 AS bitmap_id, event_id * 3 % 12000 AS position FROM events WHERE event_id % 10 = 3)"
-_WORDS = "list_sum(list_transform(list_distinct(list(position & 63)), lambda j: 1::UHUGEINT << j::UHUGEINT))"
+_WORDS = "list_sum(list_transform(list_distinct(list(position & 63)), lambda j: 1::UBIGINT << j::UBIGINT))"
 _SIGNED = "CASE WHEN w >= 9223372036854775808 THEN (w::HUGEINT - 18446744073709551616)::BIGINT ELSE w::BIGINT END"
 
 
@@ -219,9 +226,9 @@ def bitmap_filter_pack(spark, sf_dir):
 
 
 def bitmap_prime_sieve(spark, sf_dir):
-    """Primes under 10^6 by a bitmap of composites: their number, and the last of them by select."""
-    n = 1_000_000
-    factors = spark.range(2, 1001).withColumnRenamed("id", "p")
+    """Primes under 10^5 by a bitmap of composites: their number, and the last of them by select."""
+    n = 100_000
+    factors = spark.range(2, 317).withColumnRenamed("id", "p")
     composite = factors.select(F.explode(F.sequence(F.col("p") * F.col("p"), F.lit(n - 1), F.col("p"))).alias("position"))
     full = bitmaps.from_positions(spark.range(2, n).withColumnRenamed("id", "position"), F.lit(0), F.col("position"))
     primes = bitmaps.combine(full, bitmaps.from_positions(composite, F.lit(0), F.col("position")), "andnot")
@@ -373,7 +380,7 @@ def grid_clear_block(spark, sf_dir):
 
 def json_structure(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", "props")
-    return bytescan.json_structure(e, "props").select("event_id", "structure")
+    return bytescan.json_structure(e, "props").select("event_id", F.concat_ws(",", F.col("structure").cast("array<string>")).alias("structure"))
 
 
 def byte_class_counts(spark, sf_dir):
@@ -434,7 +441,7 @@ ORACLES: dict = {
     "bitmap_find_run": "WITH e AS (SELECT DISTINCT user_id % 2 AS bitmap_id, event_id // 3 AS p FROM events), r AS (SELECT *, lead(p, 4) OVER (PARTITION BY bitmap_id ORDER BY p) AS q FROM e) SELECT bitmap_id, min(p) AS start FROM r WHERE q = p + 4 GROUP BY 1",
     "bitmap_directory": f"WITH {_E}, w AS (SELECT bitmap_id, position >> 6 AS word_idx, count(*) AS ones FROM e GROUP BY ALL) SELECT bitmap_id, word_idx, (sum(ones) OVER (PARTITION BY bitmap_id ORDER BY word_idx) - ones)::BIGINT AS before, ones FROM w",
     "bitmap_filter_pack": f"WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY bitmap_id ORDER BY position) - 1 AS k FROM a), s AS (SELECT r.bitmap_id, r.k AS position FROM r JOIN e USING (bitmap_id, position)) SELECT bitmap_id, word_idx, {_SIGNED} AS word FROM (SELECT bitmap_id, position >> 6 AS word_idx, {_WORDS} AS w FROM s GROUP BY ALL)",
-    "bitmap_prime_sieve": "SELECT 78498::BIGINT AS n, 999983::BIGINT AS last",
+    "bitmap_prime_sieve": "SELECT 9592::BIGINT AS n, 99991::BIGINT AS last",
     "edit_distance": "SELECT p_partkey, levenshtein(p_name, p_type)::INT AS d FROM part",
     "edit_distance_conversations": "SELECT conv_id, turn, role, levenshtein('naïve über search', text)::INT AS d FROM conversations WHERE length(text) <= 300",
     "fuzzy_topk": "SELECT DISTINCT p_name, levenshtein('part blue 7', p_name)::INT AS distance FROM part ORDER BY distance, p_name LIMIT 10",
@@ -446,14 +453,15 @@ ORACLES: dict = {
     "grid_fill_block": f"{_GRID} SELECT grid_id, row, (CASE WHEN row BETWEEN 3 AND 7 THEN 8 + count(*) FILTER (col NOT BETWEEN 10 AND 17) ELSE count(*) END)::INT AS n FROM g GROUP BY 1, 2",
     "grid_clear_block": f"{_GRID} SELECT grid_id, row, (count(*) FILTER (NOT (row BETWEEN 3 AND 7 AND col BETWEEN 10 AND 17)))::INT AS n FROM g GROUP BY 1, 2",
     # No string of this table holds a quote, backslash or structural character, so all of them count.
-    "json_structure": "SELECT event_id, list_transform(list_filter(range(length(props)), lambda i: contains('{}[]:,', substr(props, i + 1, 1))), lambda i: i::INT) AS structure FROM events",
+    "json_structure": "SELECT event_id, array_to_string(list_filter(range(length(props)), lambda i: contains('{}[]:,', substr(props, i + 1, 1))), ',') AS structure FROM events",
     "byte_class_counts": "SELECT page_id, length(regexp_replace(html, '[^0-9]', '', 'g'))::INT AS digits, length(regexp_replace(html, '[^<>]', '', 'g'))::INT AS brackets, strlen(regexp_replace(html, '[\\x00-\\x7f]', '', 'g'))::INT AS high FROM pages",
     "byte_map": "SELECT p_partkey, translate(p_name, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz') AS name FROM part",
 }
 for _name, (_build, _value) in LANES.items():
 
-    def _query(spark, sf_dir, build=_build):
-        return _lanes(spark, sf_dir).select("doc_id", build(F.col("a"), F.col("b"), F.col("c")).alias("v"))
+    def _query(spark, sf_dir, build=_build, whole=_value[0] == "="):
+        v = build(F.col("a"), F.col("b"), F.col("c"))
+        return _lanes(spark, sf_dir).select("doc_id", (v if whole else F.concat_ws(",", v.cast("array<string>"))).alias("v"))
 
     QUERIES[_name] = _query
-    ORACLES[_name] = f"{_LANES} SELECT doc_id, {_value[1:] if _value[0] == '=' else _zip(_value)} AS v FROM l"
+    ORACLES[_name] = f"{_LANES} SELECT doc_id, {_value[1:] if _value[0] == '=' else f"array_to_string({_zip(_value)}, ',')"} AS v FROM l"

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from bitlake.operators import bitmaps
@@ -22,3 +27,14 @@ def write_directory(bitmap: DataFrame, path: str, files: int | None = None) -> N
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
     """The directory that write_directory() wrote; its words are the bitmap, too."""
     return spark.read.parquet(path)
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that all executors share; only where the session names none, in a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        own = tempfile.mkdtemp(prefix="bitlake-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base}/bitlake-{label}-{uuid.uuid4().hex}"
