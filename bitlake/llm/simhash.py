@@ -19,11 +19,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitlake.llm.common import materialize
+from bitlake.llm.common import materialize, scratch
 
 SHINGLE = 3
 SEED = 42
@@ -222,26 +222,40 @@ def contract(links: DataFrame) -> DataFrame:
 def components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of docs (doc_id, text)."""
     rows = materialize(fingerprints(docs, shingle, seed), "fp")
-    return _named(rows, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(_classes(rows, radius), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _named(rows: DataFrame, radius: int) -> DataFrame:
+def _classes(rows: DataFrame, radius: int) -> DataFrame:
+    """fp, root and component_id of every distinct fingerprint of rows (doc_id, fp)."""
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     roots = contract(forest_links(classes.select("fp"), radius))
     placed = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(placed.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp")
+    return placed.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+
+
+def _with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a further column, the fingerprint."""
+    at, schema = docs.columns.index("text"), T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            found = np.array([fingerprint(None if x is None else x.encode()) for x in batch.column(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each component: that of its least doc_id (of rows that share it, the least text)."""
     rows = materialize(fingerprints(docs), "fp")
-    named = _named(rows, radius)
-    stays = materialize(named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("__id"), "n"), "stays")
-    kept = docs.join(stays.select("__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    if not stays.where("n > 1").limit(1).count():
-        return kept
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("__first", first).where("__first = 1").select(*docs.columns)
+    classes = _classes(rows, radius)
+    if not rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        stays = rows.join(classes, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
+        return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    # Rows that share a doc_id are told apart by their fingerprints, and within a component by their texts.
+    fp = scratch(docs, "fp")
+    named = classes.select(F.col("fp").alias(fp), F.col("root").alias("__root"), F.col("component_id").alias("__component"))
+    least = _with_fingerprint(docs, fp).join(named, fp).where(F.col("doc_id").eqNullSafe(F.col("__component")))
+    first = F.row_number().over(Window.partitionBy("__root").orderBy("text"))
+    return least.withColumn("__first", first).where("__first = 1").select(*docs.columns)
