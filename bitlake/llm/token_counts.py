@@ -53,18 +53,18 @@ class PrefixCounter:
         self.split = regex.compile(PATTERN).findall
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.id: dict[str, int] = model["vocab"]
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         self.longest = max(map(len, self.id))
-        self.rank: dict[tuple[int, int], int] = {}
+        self.rank: dict[int, int] = {}
         part: dict[int, tuple[int, int, int]] = {}
         for r, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
-            pair = self.id[a], self.id[b]
-            self.rank[pair] = r
-            part.setdefault(self.id[a + b], (*pair, r))
+            a, b, ab = self.id[a], self.id[b], self.id[a + b]
+            self.rank[a << 32 | b] = r
+            part.setdefault(ab, (a, b, r))
         self.part, self.limit = part, limit
         self.edge: tuple[dict, dict] = ({}, {})
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.known: dict[str, tuple[int, int]] = {}
         self.total: dict[str, int] = {}
 
@@ -82,40 +82,61 @@ class PrefixCounter:
 
     def may_follow(self, first: int, second: int) -> bool:
         """Whether encoding the two tokens' joint bytes gives just them."""
-        pair = first, second
-        if pair not in self.fits:
+        pair = first << 32 | second
+        fits = self.fits.get(pair)
+        if fits is None:
             if len(self.fits) > 2 * self.limit:
                 self.fits.clear()
-            right, left = self._edge(first, 1), self._edge(second, 0)
-            # Of equal merges the leftmost comes first, so the first token's own beats one across the border.
-            self.fits[pair] = not any((r := self.rank.get((x, y))) is not None and r < a and r <= b for x, a in right for y, b in left)
-        return self.fits[pair]
+            fits, rank, left = True, self.rank.get, self._edge(second, 0)
+            for x, a in self._edge(first, 1):
+                for y, b in left:
+                    r = rank(x << 32 | y)
+                    # Of equal merges the leftmost comes first, so the first token's own beats one across the border.
+                    if r is not None and r < a and r <= b:
+                        fits = False
+                        break
+                if not fits:
+                    break
+            self.fits[pair] = fits
+        return fits
+
+    def _spell(self, word: str) -> str:
+        """One letter per byte of the word's UTF-8 form."""
+        return (word if word.isascii() else word.encode("utf-8", "surrogatepass").decode("latin-1")).translate(self.letters)
+
+    def _last(self, s: str) -> tuple[int, int]:
+        """(count, last token) of a spelled word; those of all its prefixes are kept."""
+        known = self.known
+        if s in known:
+            return known[s]
+        ids, j = self.id.get, len(s) - 1
+        while j and s[:j] not in known:
+            j -= 1
+        for i in range(j + 1, len(s) + 1):
+            for k in range(max(0, i - self.longest), i):
+                t = ids(s[k:i])
+                if t is None:
+                    continue
+                if not k:
+                    known[s[:i]] = 1, t
+                    break
+                count, last = known[s[:k]]
+                if self.may_follow(last, t):
+                    known[s[:i]] = count + 1, t
+                    break
+        return known[s]
 
     def word(self, word: str) -> list[int]:
         """Counts of the prefixes of one pre-token, by characters."""
-        bytes_of = word if word.isascii() else None
-        letters = self.letters
-        s = "".join([letters[b] for b in word.encode("utf-8", "surrogatepass")])
-        known, ids, n = self.known, self.id, len(s)
-        if n > 64:
+        s = self._spell(word)
+        if len(s) > 64:
             counts = self._long(s)
         else:
-            counts, j = [0] * (n + 1), n
-            while j and s[:j] not in known:
-                j -= 1
-            for i in range(1, j + 1):
-                counts[i] = known[s[:i]][0] if s[:i] in known else 0
-            for i in range(j + 1, n + 1):
-                for k in range(max(0, i - self.longest), i):
-                    t = ids.get(s[k:i])
-                    if t is not None and (k == 0 or self.may_follow(known[s[:k]][1], t)):
-                        counts[i] = (counts[k] if k else 0) + 1
-                        known[s[:i]] = counts[i], t
-                        break
-        if bytes_of is not None:
+            self._last(s)
+            counts = [0, *(self.known[s[:i]][0] for i in range(1, len(s) + 1))]
+        if len(s) == len(word):
             return counts[1:]
-        ends = accumulate(len(c.encode("utf-8", "surrogatepass")) for c in word)
-        return [counts[e] for e in ends]
+        return [counts[e] for e in accumulate(len(c.encode("utf-8", "surrogatepass")) for c in word)]
 
     def _long(self, s: str) -> list[int]:
         """As word(), with the states in lists: the prefixes of very long words are not worth keeping."""
@@ -176,7 +197,14 @@ class PrefixCounter:
     def _total(self, chunk: str) -> int:
         if len(self.total) > self.limit:
             self.total.clear()
-        n = self.prefixes(chunk)[-1]
+        if len(self.known) > self.limit:
+            self.known.clear()
+        if any(x in chunk for x in self.special):
+            return self.prefixes(chunk)[-1]
+        n = 0
+        for w in (chunk,) if _SIMPLE.match(chunk) else self.split(chunk):
+            s = self._spell(w)
+            n += self._last(s)[0] if len(s) <= 64 else self._long(s)[-1]
         if len(chunk) < 200:
             self.total[chunk] = n
         return n
