@@ -11,7 +11,7 @@ from bitlake.functions import words as W
 from bitlake.operators import bitmaps, bytescan, curves, fuzzy, grids, spatial
 
 ORDER = 31
-BOX = ((200, 900), (10, 60))
+BOX = ((50, 900), (3, 60))
 
 
 def read(spark, sf_dir, name):
