@@ -36,7 +36,7 @@ from bitlake.llm.common import materialize, scratch
 LENGTH = 50
 K = 20
 #: Kept suffixes a task sorts, and those of one k-word start that a single task may get.
-ROWS_PER_TASK = 150_000
+ROWS_PER_TASK = 50_000
 HOT = 50_000
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that its powers can be undone modulo 2**64
@@ -47,7 +47,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxh64_intdigest(word, 7)
         return h
@@ -115,10 +115,10 @@ def _kept(docs: DataFrame, k: int, length: int) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("tkey", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("at", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             n, starts, at = [], [], []
-            for text in batch.column(2).to_pylist():
-                g = Grams(text)
+            for text in batch.column(2):
+                g = Grams(text.as_py())
                 p, h = minimisers(g, k, length)
                 n.append(g.n), at.append(p.astype(np.int32)), starts.append(h.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), _lists(starts, pa.int64()), _lists(at, pa.int32())], names=schema.names)
@@ -133,27 +133,50 @@ def _binary_rows(matrix: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(matrix).tobytes())])
 
 
-def _windows(texts: DataFrame, k: int, length: int) -> DataFrame:
-    """(start, tkey, first, at, left): per kept place the hashes of the windows with 0, 1, ... words to its left, 0 where none fits."""
+def _row_words(column: pa.Array, width: int) -> np.ndarray:
+    """The 64-bit numbers of equally long binary values, a row for each; no copy."""
+    start = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.uint8)[start : start + len(column) * width * 8].view(np.uint64).reshape(len(column), width)
+
+
+def _windows(texts: DataFrame, k: int, length: int, hot: np.ndarray, flat: bool) -> DataFrame:
+    """Per kept place the hashes of the windows with 0, 1, ... words to its left, 0 where none fits.
+
+    flat = False: (start, tkey, first, at, left) for starts that are not hot, the hashes in one binary;
+    flat = True: (w, tkey, first, at) for hot ones, a row for each window, at the place where it begins.
+    """
     first = texts.schema["first"].dataType
-    schema = T.StructType([T.StructField("start", T.LongType()), T.StructField("tkey", T.BinaryType()), T.StructField("first", first), T.StructField("at", T.IntegerType()), T.StructField("left", T.BinaryType())])
+    schema = T.StructType([T.StructField("w" if flat else "start", T.LongType()), T.StructField("tkey", T.BinaryType()), T.StructField("first", first), T.StructField("at", T.IntegerType())])
+    if not flat:
+        schema = schema.add("left", T.BinaryType())
     w = length - k + 1
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                start, at, left = [], [], []
-                for text, places in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    g, p = Grams(text), np.array(places, np.int64)
-                    x = g.hashes(length)
+                start, at, left, n = [], [], [], []
+                for text, places in zip(part.column(2), part.column(3).to_pylist(), strict=True):
+                    g, p = Grams(text.as_py()), np.array(places, np.int64)
+                    h = g.hashes(k)[p].view(np.int64)
+                    wanted = np.isin(h, hot) == flat
+                    h, p, x = h[wanted], p[wanted], g.hashes(length)
                     s = p[:, None] - np.arange(w)
                     fits = (s >= 0) & (s < len(x))
                     # 0 marks a window that does not exist; a hash is 0 once in 2**64.
-                    left.append(np.where(fits, x[np.clip(s, 0, len(x) - 1)], np.uint64(0)))
-                    start.append(g.hashes(k)[p].view(np.int64)), at.append(p.astype(np.int32))
-                rows = pa.array(np.repeat(np.arange(part.num_rows), [len(p) for p in at]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(start)), part.column(0).take(rows), part.column(1).take(rows), pa.array(np.concatenate(at)), _binary_rows(np.concatenate(left))], names=schema.names)
+                    hashes = np.where(fits, x[np.clip(s, 0, len(x) - 1)], np.uint64(0))
+                    if flat:
+                        # Windows around neighbouring places overlap: each counts once.
+                        begin, where = np.unique(s[fits], return_index=True)
+                        left.append(hashes[fits][where].view(np.int64)), at.append(begin.astype(np.int32)), n.append(len(begin))
+                    else:
+                        left.append(hashes), start.append(h), at.append(p.astype(np.int32)), n.append(len(p))
+                rows = pa.array(np.repeat(np.arange(part.num_rows), n))
+                keys = [part.column(0).take(rows), part.column(1).take(rows), pa.array(np.concatenate(at))]
+                if flat:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), *keys], names=schema.names)
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(start)), *keys, _binary_rows(np.concatenate(left))], names=schema.names)
 
     return texts.select("tkey", "first", "text", "places").mapInArrow(run, schema)
 
@@ -167,9 +190,9 @@ def neighbour_spans(rows: pa.Table, length: int) -> pa.Table:
     rows = rows.sort_by([("first", "ascending"), ("tkey", "ascending"), ("at", "ascending")]).combine_chunks()
     n = rows.num_rows
     at = rows.column("at").to_numpy()
-    left = np.frombuffer(b"".join(rows.column("left").to_pylist()), np.uint64).reshape(n, -1)
-    w = left.shape[1]
-    source = np.full((n, w), -1, np.int64)  # row of the first occurrence of each repeated window
+    w = len(rows.column("left")[0].as_py()) // 8
+    left = _row_words(rows.column("left").chunk(0), w)
+    source = np.full((n, w), -1, np.int32)  # row of the first occurrence of each repeated window
     for a in range(w):
         column = np.ascontiguousarray(left[:, a])
         order = np.argsort(column, kind="stable")
@@ -203,24 +226,11 @@ def _merged(pairs: list[tuple[int, int]]) -> list[dict]:
     return [{"begin": b, "end": e} for b, e in out]
 
 
-def _spread(windows: DataFrame, length: int) -> DataFrame:
-    """Spans of kept suffixes too frequent for one task: window hashes as rows, summed before they are shuffled."""
-    first = windows.schema["first"].dataType
-    schema = T.StructType([T.StructField("w", T.LongType()), T.StructField("first", first), T.StructField("tkey", T.BinaryType()), T.StructField("begin", T.IntegerType())])
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            left = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-            row, a = np.nonzero(left)
-            begin = batch.column(2).to_numpy()[row] - a
-            rows = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(left[row, a].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(begin.astype(np.int32))], names=schema.names)
-
-    flat = windows.select("first", "tkey", "at", "left").mapInArrow(run, schema).withColumn("me", F.struct(F.col("first").isNull(), "first", "tkey", "begin"))
+def _spread(flat: DataFrame, length: int) -> DataFrame:
+    """Spans of kept suffixes too frequent for one task: rows of window hashes, summed before they are shuffled."""
+    flat = flat.withColumn("me", F.struct(F.col("first").isNull(), "first", "tkey", "at"))
     ends = flat.groupBy("w").agg(F.min("me").alias("lo"), F.max("me").alias("hi")).where("lo <> hi").select("w", "lo")
-    return flat.join(ends, "w").select("tkey", "begin", (F.col("begin") + length).alias("end"), (F.col("me") == F.col("lo")).alias("stays"), F.col("lo.first").alias("source"))
+    return flat.join(ends, "w").select("tkey", F.col("at").alias("begin"), (F.col("at") + length).alias("end"), (F.col("me") == F.col("lo")).alias("stays"), F.col("lo.first").alias("source"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -240,10 +250,10 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = H
     found = _keyed(docs).join(wanted, "tkey").where(F.col("doc_id").eqNullSafe(F.col("first"))).select("tkey", "first", "text", "places")
     if rows.groupBy("tkey", "doc_id").count().where("count > 1").limit(1).count():
         found = found.dropDuplicates(["tkey"])
-    windows = _windows(found, k, length)
     size = common.agg(F.sum("m"), F.max("m")).first()
     total, most = size[0] or 0, size[1] or 0
-    hot = max(hot, total // 100_000)  # at most 100,000 starts can be as frequent: the bound of the broadcast below
+    limit = max(hot, total // 100_000)  # so at most 100,000 starts are more frequent: the bound of what is sent below
+    many = np.array([r[0] for r in common.where(F.col("m") > limit).select("starts").collect()] if most > limit else [], np.int64)
     spans = _span_schema(rows.schema["doc_id"].dataType)
 
     def run(batches):
@@ -251,14 +261,10 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = H
         if held:
             yield from neighbour_spans(pa.Table.from_batches(held), length).to_batches()
 
-    plain = windows
-    if most > hot:
-        many = F.broadcast(common.where(F.col("m") > hot).select(F.col("starts").alias("start")))
-        plain = windows.join(many, "start", "left_anti")
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // ROWS_PER_TASK))
-    out = plain.repartition(tasks, "start").mapInArrow(run, spans)
-    if most > hot:
-        out = out.union(_spread(windows.join(many, "start", "left_semi"), length))
+    out = _windows(found, k, length, many, False).repartition(tasks, "start").mapInArrow(run, spans)
+    if len(many):
+        out = out.union(_spread(_windows(found, k, length, many, True), length))
     gathered = out.groupBy("tkey").agg(F.collect_set(F.struct("begin", "end", "stays")).alias("spans"), F.collect_set("source").alias("sources"))
     pair = "array<struct<begin:int,end:int>>"
     schema = T.StructType([T.StructField("tkey", T.BinaryType()), T.StructField("repeated", T._parse_datatype_string(pair)), T.StructField("removed", T._parse_datatype_string(pair)), gathered.schema["sources"]])
