@@ -21,6 +21,10 @@ _ODD_ASCII = ("\t", "\x0b", "\x0c", "\r", "  ", "\n\n", " \n", "\n ")
 _ODD_OTHER = tuple(c for c in map(chr, range(0x80, 0x3001)) if re.fullmatch(f"[{WHITE}]", c))
 
 
+#: Chunks of letters with at most one sign behind them: one word, or a word and a sign.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?")
+
+
 def plain(text: str) -> bool:
     """Whether only single spaces and single line ends separate the words, with none at either end."""
     if text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or any(x in text for x in _ODD_ASCII):
@@ -51,57 +55,103 @@ def load(path: str):
 
 
 class ChunkStore:
-    """Numbers distinct chunks and keeps their ids in flat arrays; emptied once it has ``limit`` chunks.
+    """Numbers distinct chunks and keeps their ids in flat arrays.
+
+    Once it has ``limit`` chunks, the later half goes: frequent chunks come early, rare ones late.
 
     A chunk that opens with one space is stored under its text without that space, and one that opens
     a text under "\\r" before it, so that plain texts need no more than str.split. ("\\r" is white
     space: no plain text has it.)
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         self.tokenizer, self.limit = load(path), limit
-        self._empty()
-
-    def _empty(self) -> None:
+        #: Whether a vocabulary drops white space, so that it does not matter which stands before a chunk.
+        self.drops_white = self._same("a b") and self._same("a\nb")
+        # Tokens by which the ids of joined chunks are told apart: where words end, or where a space begins one.
+        vocabulary = self.tokenizer.get_vocab()
+        self.mark = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.mark[[i for t, i in vocabulary.items() if (t.endswith("</w>") if self.drops_white else t.startswith("\u0120"))]] = True
         self.number: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.start = np.zeros(1, np.int64)
         self.length = np.empty(0, np.int64)
 
-    def _add(self, keys: list[str], texts: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        base, n = len(self.length), len(got)
-        length = np.fromiter(map(len, got), np.int64, n)
+    def _same(self, text: str) -> bool:
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        return ids(text) == ids(text[0]) + ids(text[2:])
+
+    def _halve(self) -> None:
+        kept = self.limit // 2
+        self.number = {k: n for k, n in self.number.items() if n < kept}
+        self.length, self.start = self.length[:kept], self.start[: kept + 1]
+        self.ids = self.ids[: self.start[-1]].copy()
+
+    def _joined(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, numbers of ids) of easy chunks encoded as one text; None if they cannot be told apart in it."""
+        if self.drops_white:
+            words = np.fromiter((2 if k[-1] in ".," else 1 for k in keys), np.int64, len(keys))
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(keys)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.mark[ids]) + 1
+            if len(ends) != words.sum() or (len(ids) and ends[-1] != len(ids)):
+                return None
+            return ids, np.diff(np.concatenate([[0], ends[np.cumsum(words) - 1]]))
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(keys)], add_special_tokens=False)[0].ids, np.uint32)
+        begin = np.flatnonzero(self.mark[ids])
+        if len(begin) != len(keys) or begin[0] != 0:
+            return None
+        return ids, np.diff(np.append(begin, len(ids)))
+
+    def _add(self, keys: list[str]) -> None:
+        easy = _LETTERS.fullmatch if self.drops_white else lambda k: k[0] not in "\n\r"
+        simple = [k for k in keys if easy(k)]
+        found = self._joined(simple) if simple else None
+        if found is None:
+            simple = []
+        else:
+            self._keep(simple, *found)
+        done = set(simple)
+        rest = [k for k in keys if k not in done]
+        if rest:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([self._text(k) for k in rest], add_special_tokens=False)]
+            length = np.fromiter(map(len, got), np.int64, len(got))
+            self._keep(rest, np.fromiter((i for x in got for i in x), np.uint32, int(length.sum())), length)
+
+    def _keep(self, keys: list[str], ids: np.ndarray, length: np.ndarray) -> None:
+        base, n = len(self.length), len(keys)
         ends = np.cumsum(length) + self.start[base]
         if ends[-1] > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), int(ends[-1])), np.uint32)])
-        self.ids[self.start[base] : ends[-1]] = np.fromiter((i for x in got for i in x), np.uint32, int(length.sum()))
+        self.ids[self.start[base] : ends[-1]] = ids
         self.length = np.concatenate([self.length, length])
         self.start = np.concatenate([self.start, ends])
         self.number.update(zip(keys, range(base, base + n), strict=True))
 
     def _keys(self, text: str) -> list[str]:
         if plain(text):
+            if self.drops_white:
+                return text.replace("\n", " ").split(" ")
             return ("\r" + text).replace("\n", " \n").split(" ")
         parts = _CHUNK.findall(text)
         return ["\r\r" + x for x in parts]
 
-    @staticmethod
-    def _text(key: str) -> str:
+    def _text(self, key: str) -> str:
         if key[:2] == "\r\r":
             return key[2:]
+        if self.drops_white:
+            return key
         return key[1:] if key[:1] == "\r" else key if key[:1] == "\n" else " " + key
 
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """For each text the numbers of its chunks; they hold until the next call."""
         if len(self.number) > self.limit:
-            self._empty()
+            self._halve()
         keys = [self._keys(t) if t else [] for t in texts]
         new = {k for x in keys for k in x if k not in self.number}
         if new:
             new = list(new)
             for i in range(0, len(new), 20_000):
-                self._add(new[i : i + 20_000], [self._text(k) for k in new[i : i + 20_000]])
+                self._add(new[i : i + 20_000])
         get = self.number.__getitem__
         return [np.fromiter(map(get, x), np.int64, len(x)) for x in keys]
 
