@@ -32,10 +32,10 @@ from bitlake.llm.common import materialize, scratch
 from bitlake.llm.tokens import text_batches
 
 DEPTH = 5
-MAX_STRINGS = 1 << 20
+MAX_STRINGS = 1 << 19
 MAX_WORDS = 1 << 17
 END = b"\n"
-_STEP = 2 << 20
+_STEP = 1 << 20
 
 
 def normal(text: bytes | None) -> list[bytes]:
@@ -89,7 +89,7 @@ def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 ends += len(split)
                 held.append(_tally(strings([b" ".join(w) for w in split], depth)[0]))
                 size += len(held[-1][0])
-                if size > 4_000_000 or len(words) > 500_000:
+                if size > 1_500_000 or len(words) > 200_000:
                     codes, n = _add(held)
                     yield from rows(words, codes, n)
                     words, held, size = Counter(), [], 0
@@ -147,20 +147,13 @@ class ContextTree:
     def __init__(self, d: np.ndarray, string: np.ndarray, n: np.ndarray, depth: int):
         self.depth, tables = depth, []
         for level in range(depth + 1):
-            code, m = string[d == level].astype(np.uint64), n[d == level].astype(np.float64)
-            context, symbol = code & ~np.uint64(255), code & np.uint64(255)
-            keys, bits = [], []
-            for i in range(8):
-                keys.append(context | np.uint64(1 << i) | (symbol >> np.uint64(8 - i)))
-                bits.append((symbol >> np.uint64(7 - i)) & np.uint64(1))
-            key, at = np.unique(np.concatenate(keys), return_inverse=True) if len(code) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            bit = np.concatenate(bits).astype(bool)
-            m = np.tile(m, 8)
-            tables.append((key, np.bincount(at[~bit], m[~bit], len(key)), np.bincount(at[bit], m[bit], len(key))))
+            rows = np.flatnonzero(d == level)
+            rows = rows[np.argsort(string[rows])]
+            tables.append(self._nodes(string[rows].astype(np.uint64), n[rows].astype(np.float64)))
         self.key, self.one, self.rest, self.stop = [], [], [], []
         below = None
         for level in range(depth, -1, -1):
-            key, a, b = tables[level]
+            key, a, b = tables.pop()
             own = _kt(a, b)
             if below is None:
                 weighted, stop, rest = own, np.ones(len(key)), np.full(len(key), 0.5)
@@ -176,7 +169,26 @@ class ContextTree:
             self.one.insert(0, ((b + 0.5) / (a + b + 1)).astype(np.float32))
             self.rest.insert(0, rest.astype(np.float32))
             self.stop.insert(0, stop.astype(np.float32))
-        self.context = [np.unique(k >> np.uint64(8)) for k in self.key]
+        self.context = [(c := k >> np.uint64(8))[np.flatnonzero(np.diff(c, prepend=c[:1] + np.uint64(1)) != 0)] for k in self.key]
+
+    @staticmethod
+    def _nodes(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, zeros, ones) of the nodes that strings of one depth pass, from sorted codes. For each of a
+        byte's bits the keys of sorted codes are sorted too, so that runs can be summed in place."""
+        if not len(code):
+            return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+        context, symbol = code & ~np.uint64(255), code & np.uint64(255)
+        parts = []
+        for i in range(8):
+            key = context | np.uint64(1 << i) | (symbol >> np.uint64(8 - i))
+            bit = ((symbol >> np.uint64(7 - i)) & np.uint64(1)).astype(np.float64)
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            one = np.add.reduceat(n * bit, head)
+            parts.append((key[head], np.add.reduceat(n, head) - one, one))
+        key, zero, one = (np.concatenate(c) for c in zip(*parts, strict=True))
+        del parts
+        order = np.argsort(key)
+        return key[order], zero[order], one[order]
 
     def shorten(self, code: np.ndarray) -> np.ndarray:
         """Codes with the context bytes that the tree does not have replaced by a mark, so that equal predictions share a code."""
@@ -226,7 +238,7 @@ class ContextTree:
 class Scorer:
     """A tree with a direct-mapped store of predictions, so that frequent strings cost one look-up."""
 
-    def __init__(self, tree: ContextTree, bits: int = 20):
+    def __init__(self, tree: ContextTree, bits: int = 19):
         self.tree, self.shift = tree, np.uint64(64 - bits)
         self.code = np.full(1 << bits, 1 << 63, np.uint64)
         self.value = np.zeros(1 << bits)
@@ -275,7 +287,8 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = DEPTH, ma
     strings_ = kept_strings(table.where("string is not null").select("string", "n"), depth, max_strings).toPandas()
     tree = ContextTree(strings_["d"].to_numpy(np.int64), strings_["string"].to_numpy(np.int64).view(np.uint64), strings_["n"].to_numpy(np.int64), depth)
     del strings_
-    shared = spark.sparkContext.broadcast((tree, {w: float(np.log10((c + 0.5) / below)) for w, c in ((bytes(w), c) for w, c in known.items())}))
+    shared = spark.sparkContext.broadcast((tree, {bytes(w): float(np.log10((c + 0.5) / below)) for w, c in known.items()}))
+    del tree, known
     end_value = float(np.log10((ends + 0.5) / below))
     label = uuid.uuid4().hex  # a worker keeps one model, and knows it by this
 
