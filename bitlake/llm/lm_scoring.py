@@ -6,11 +6,12 @@ over the preceding bytes, up to ``depth``. A node's Krichevsky-Trofimov estimate
 children's weighted probabilities are mixed half and half at every depth, from the counts of the whole
 training part. The weights that follow say, for each node, how far to trust it against longer contexts.
 
-Counts of all (depth + 1)-byte strings of the training part are summed by Spark. Those kept for the
-tree are the frequent ones: the least frequency is chosen so that at most ``max_strings`` strings of
-all depths stay, which bounds what is broadcast, and what falls under it is kept as one more, joint
-child of its node. So the tree grows with the input up to that bound and gets sharper beyond it. The
-word table has no such bound: its frequent words are broadcast (``max_words``), all others joined.
+Counts of all (depth + 1)-byte strings of the training part are summed by Spark, and every one of them
+is in the tree. Its deep levels stand in parts by the last ``TOP`` context bytes, each built on its own;
+the levels above, which hold at most the contexts of two bytes, are summed from all parts and broadcast.
+Each distinct string of any row gets its value once, in its part. Texts then add up values: those of
+the ``max_strings`` most frequent strings are broadcast, all others joined; words likewise (``max_words``).
+The two bounds say what is broadcast and change no result.
 
 Defined cases: null and empty texts have the end token alone; without training documents the tree
 gives each bit one half and the unigram has N = V = 0; a null doc_id counts as the id "" in the fold;
@@ -36,6 +37,8 @@ MAX_STRINGS = 1 << 19
 MAX_WORDS = 1 << 17
 END = b"\n"
 _STEP = 1 << 20
+TOP = 3
+PART = 60_000
 
 
 def normal(text: bytes | None) -> list[bytes]:
@@ -69,7 +72,8 @@ def _tally(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(word, string, n): a row per distinct word (string null), end token (word null, string null) and string (word null)."""
+    """(word, string, n): a row per distinct word (string null), end token (word null, string null) and string (word null)
+    of docs (text, held_out). Strings that only held-out texts have come with n = 0; their words and ends do not count."""
     schema = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("string", T.LongType()), T.StructField("n", T.LongType())])
 
     def rows(words: Counter, codes: np.ndarray, n: np.ndarray):
@@ -82,13 +86,19 @@ def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     def run(batches):
         words, ends, held, size = Counter(), 0, [], 0
         for batch in batches:
-            for _, texts in text_batches(batch.column(0).to_pylist(), _STEP):
-                split = [normal(t) for t in texts]
-                for w in split:
+            apart = batch.column(1).to_pylist()
+            for first, texts in text_batches(batch.column(0).to_pylist(), _STEP):
+                split = [[], []]
+                for t, out in zip(texts, apart[first : first + len(texts)], strict=True):
+                    split[out].append(normal(t))
+                for w in split[0]:
                     words.update(w)
-                ends += len(split)
-                held.append(_tally(strings([b" ".join(w) for w in split], depth)[0]))
-                size += len(held[-1][0])
+                ends += len(split[0])
+                for out, some in enumerate(split):
+                    if some:
+                        codes, n = _tally(strings([b" ".join(w) for w in some], depth)[0])
+                        held.append((codes, n * (1 - out)))
+                        size += len(codes)
                 if size > 1_500_000 or len(words) > 200_000:
                     codes, n = _add(held)
                     yield from rows(words, codes, n)
@@ -98,7 +108,7 @@ def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         if ends:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([ends], pa.int64())], names=schema.names)
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(run, schema).groupBy("word", "string").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("binary"), "held_out").mapInArrow(run, schema).groupBy("word", "string").agg(F.sum("n").alias("n"))
 
 
 def _add(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,13 +130,6 @@ def frequent(table: DataFrame, n: str, most: int) -> DataFrame:
     return table.where(F.lit(False)) if least is None else table.where(F.floor(F.log2(n) * 8) >= least)
 
 
-def kept_strings(table: DataFrame, depth: int = DEPTH, most: int = MAX_STRINGS) -> DataFrame:
-    """(d, string, n) of the frequent strings with d = 0..depth bytes of context, from those of full depth."""
-    every = table.select(F.explode(F.array(*[F.struct(F.lit(d).alias("d"), (F.col("string").bitwiseAND((1 << (8 * d + 8)) - 1)).alias("string")) for d in range(depth + 1)])).alias("s"), "n")
-    return frequent(every.groupBy("s.d", "s.string").agg(F.sum("n").alias("n")), "n", most)
-
-
-
 def _kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of a zeros and b ones, in any order."""
 
@@ -235,34 +238,96 @@ class ContextTree:
         return total
 
 
-class Scorer:
-    """A tree with a direct-mapped store of predictions, so that frequent strings cost one look-up."""
-
-    def __init__(self, tree: ContextTree, bits: int = 19):
-        self.tree, self.shift = tree, np.uint64(64 - bits)
-        self.code = np.full(1 << bits, 1 << 63, np.uint64)
-        self.value = np.zeros(1 << bits)
+class WholeTree(ContextTree):
+    """The tree of all strings: levels are put in from the deepest up, and those of another tree can stand above."""
+
+    def __init__(self, depth: int, above: WholeTree | None = None):
+        self.depth = depth
+        names = ("key", "one", "rest", "stop")
+        for name, kind in zip(names, (np.uint64, float, float, float), strict=True):
+            setattr(self, name, list(getattr(above, name)) if above else [np.zeros(0, kind)] * (depth + 1))
+
+    def put(self, level: int, key: np.ndarray, zero: np.ndarray, one: np.ndarray, longer: np.ndarray | None) -> np.ndarray:
+        """Adds the nodes of a level, longer being the sum over their children's weighted; gives their own."""
+        own = _kt(zero, one)
+        self.key[level], self.one[level], self.rest[level] = key, (one + 0.5) / (zero + one + 1), np.full(len(key), 0.5)
+        if longer is None:
+            self.stop[level] = np.ones(len(key))
+            return own
+        self.stop[level] = 1 / (1 + np.exp(np.clip(longer - own, -700, 700)))
+        return np.logaddexp(own, longer) - np.log(2)
+
+    def climb(self, level: int, nodes: tuple, last: int) -> tuple:
+        """Puts in the levels from this one, with nodes (key, zeros, ones, longer), to last; gives the sums for the one above."""
+        while True:
+            key, zero, one, longer = nodes
+            weighted = self.put(level, key, zero, one, longer)
+            level -= 1
+            up, at = np.unique(key & np.uint64((1 << (8 * max(level, 0) + 8)) - 1), return_inverse=True)
+            nodes = up, *(np.bincount(at, x, len(up)) for x in (zero, one, weighted))
+            if level < last:
+                return nodes
+
+    def grow(self, code: np.ndarray, n: np.ndarray, last: int) -> tuple:
+        """climb() from counted strings of full depth."""
+        code, n = code[n > 0], n[n > 0].astype(np.float64)
+        order = np.argsort(code)
+        return self.climb(self.depth, (*self._nodes(code[order], n[order]), None), last)
+
+
+def values(table: DataFrame, depth: int = DEPTH, part: int = PART) -> DataFrame:
+    """(string, n, value) with the log10 probability of each string's last byte, from (string, n), a row per string."""
+    spark, low = table.sparkSession, min(TOP, depth)
+    parts = int(max(1, -(-table.count() // part)))
+    place = F.shiftrightunsigned("string", 8).bitwiseAND(F.lit((1 << (8 * low)) - 1).cast("long"))
+    groups = table.withColumn("part", F.pmod(F.xxhash64(place), F.lit(parts)).cast("int")).groupBy("part")
+
+    def columns(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return rows.column("string").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+
+    def sums(rows: pa.Table) -> pa.Table:
+        key, *more = WholeTree(depth).grow(*columns(rows), low)
+        return pa.table([pa.array(key.view(np.int64)), *map(pa.array, more)], names=["key", "zero", "one", "longer"])
+
+    top = WholeTree(depth)
+    if low:
+        nodes = groups.applyInArrow(sums, "key long, zero double, one double, longer double")
+        nodes = nodes.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zero", "one", "longer")]).toPandas().sort_values("key")
+        top.climb(low - 1, (nodes["key"].to_numpy(np.int64).view(np.uint64), *(nodes[c].to_numpy(np.float64) for c in ("zero", "one", "longer"))), 0)
+    shared = spark.sparkContext.broadcast(top)
+
+    def evaluate(rows: pa.Table) -> pa.Table:
+        code, n = columns(rows)
+        tree = WholeTree(depth, shared.value)
+        tree.grow(code, n, low)
+        return pa.table({"string": rows.column("string"), "n": rows.column("n"), "value": pa.array(tree.log10(code | np.uint64(depth << 56)))})
+
+    return groups.applyInArrow(evaluate, "string long, n long, value double")
+
+
+class Store:
+    """Values of some codes, found by hash first and by bisection where two share a slot."""
+
+    def __init__(self, code: np.ndarray, value: np.ndarray, bits: int = 21):
+        order = np.argsort(code)
+        self.code, self.value, self.shift = code[order], value[order], np.uint64(64 - bits)
+        self.at = np.zeros(1 << bits, np.int32)
+        self.at[self._slot(self.code)] = np.arange(len(code), dtype=np.int32)
 
     def _slot(self, code: np.ndarray) -> np.ndarray:
         return ((code * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
-    def values(self, code: np.ndarray) -> np.ndarray:
-        slot = self._slot(code)
-        out, miss = self.value[slot], np.flatnonzero(self.code[slot] != code)
-        if len(miss):
-            new, back = np.unique(code[miss], return_inverse=True)
-            short, again = np.unique(self.tree.shorten(new), return_inverse=True)
-            value = self.tree.log10(short)[again]
-            out[miss] = value[back]
-            at = self._slot(new)
-            self.code[at], self.value[at] = new, value
-            # Of codes that share a slot the last one stays, with its own value.
-            self.value[at] = value[np.searchsorted(new, self.code[at])]
-        return out
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        code, begin = strings(texts, self.tree.depth)
-        return np.add.reduceat(self.values(code), begin) if len(texts) else np.zeros(0)
+    def find(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each code's value, 0 where it has none here, and the indexes of those."""
+        if not len(self.code):
+            return np.zeros(len(code)), np.arange(len(code))
+        at = self.at[self._slot(code)]
+        miss = np.flatnonzero(self.code[at] != code)
+        at[miss] = np.minimum(np.searchsorted(self.code, code[miss]), len(self.code) - 1)
+        miss = miss[self.code[at[miss]] != code[miss]]
+        out = self.value[at]
+        out[miss] = 0
+        return out, miss
 
 
 _MODELS: dict[str, tuple] = {}
@@ -277,39 +342,43 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = DEPTH, ma
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), (fold(F.col("doc_id"), folds) == held).alias("held_out"))
-    table = materialize(counts(rows.where(~F.col("held_out")), depth), "counts")
+    table = materialize(counts(rows, depth), "counts")
     words = table.where("word is not null").select("word", "n")
     ends = table.where("word is null and string is null").agg(F.sum("n")).first()[0] or 0
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = total + ends, distinct + (ends > 0)
     below = total + 0.5 * (distinct + 1)
     known = dict(map(tuple, frequent(words, "n", max_words).collect()))
-    strings_ = kept_strings(table.where("string is not null").select("string", "n"), depth, max_strings).toPandas()
-    tree = ContextTree(strings_["d"].to_numpy(np.int64), strings_["string"].to_numpy(np.int64).view(np.uint64), strings_["n"].to_numpy(np.int64), depth)
-    del strings_
-    shared = spark.sparkContext.broadcast((tree, {bytes(w): float(np.log10((c + 0.5) / below)) for w, c in known.items()}))
-    del tree, known
+    every = materialize(values(table.where("string is not null").select("string", "n"), depth), "values")
+    often = frequent(every.where("n > 0"), "n", max_strings).select("string", "value").toPandas()
+    store = often["string"].to_numpy(np.int64).view(np.uint64), often["value"].to_numpy(np.float64)
+    shared = spark.sparkContext.broadcast((store, {bytes(w): float(np.log10((c + 0.5) / below)) for w, c in known.items()}))
+    del often, store, known
     end_value = float(np.log10((ends + 0.5) / below))
     label = uuid.uuid4().hex  # a worker keeps one model, and knows it by this
 
     rare = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("m", T.LongType())]))
     rid = scratch(docs, "rid")
-    schema = T.StructType([T.StructField(rid, T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("known_", T.LongType()), T.StructField("base_", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", rare)])
+    schema = T.StructType([T.StructField(rid, T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("known_", T.LongType()), T.StructField("base_", T.DoubleType()), T.StructField("score_", T.DoubleType()), T.StructField("rare", rare), T.StructField("codes", T.ArrayType(T.LongType()))])
 
     def run(batches):
         if label not in _MODELS:
             _MODELS.clear()
-            tree_, values = shared.value
-            _MODELS[label] = Scorer(tree_), values
-        scorer, values = _MODELS[label]
+            store, known = shared.value
+            _MODELS[label] = Store(*store), known
+        store, known = _MODELS[label]
         kind = pa.struct([("word", pa.binary()), ("m", pa.int64())])
         for batch in batches:
             for first, texts in text_batches(batch.column(3).to_pylist(), _STEP):
                 split = [normal(t) for t in texts]
-                found = scorer.score([b" ".join(w) for w in split])
+                code, begin = strings([b" ".join(w) for w in split], depth)
+                found, miss = store.find(code)
+                at = pa.array(np.searchsorted(miss, np.append(begin, len(code))).astype(np.int32))
+                codes = pa.ListArray.from_arrays(at, pa.array(code[miss].view(np.int64)))
+                found = np.add.reduceat(found, begin)
                 n_known, base, word, many, ends_ = [], [], [], [], [0]
                 for w in split:
-                    value = list(map(values.get, w))
+                    value = list(map(known.get, w))
                     other = Counter([x for x, v in zip(w, value) if v is None]) if None in value else {}
                     n_known.append(len(w) - sum(other.values()) + (ends > 0))
                     base.append(sum(v for v in value if v is not None) + end_value)
@@ -318,13 +387,14 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = DEPTH, ma
                     ends_.append(len(word))
                 part = batch.slice(first, len(texts))
                 lists = pa.ListArray.from_arrays(pa.array(ends_, pa.int32()), pa.StructArray.from_arrays([pa.array(word, pa.binary()), pa.array(many, pa.int64())], fields=list(kind)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([len(w) + 1 for w in split], pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(found, pa.float64()), lists], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([len(w) + 1 for w in split], pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(found, pa.float64()), lists, codes], names=schema.names)
 
     scored = materialize(rows.withColumn(rid, F.monotonically_increasing_id()).select(rid, "doc_id", "held_out", "text").mapInArrow(run, schema), "scored")
     looked = scored.select(rid, F.explode("rare").alias("r")).select(rid, F.col("r.word").alias("word"), F.col("r.m").alias("m")).join(words.withColumnRenamed("n", "c"), "word", "left")
     c = F.coalesce("c", F.lit(0))
     more = looked.groupBy(rid).agg(F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("more_known"), F.sum(F.col("m") * F.log10((c + 0.5) / below)).alias("more_base"))
-    out = scored.drop("rare").join(more, rid, "left")
+    deep = scored.select(rid, F.explode("codes").alias("string")).join(every.select("string", "value"), "string").groupBy(rid).agg(F.sum("value").alias("more_score"))
+    out = scored.drop("rare", "codes").join(more, rid, "left").join(deep, rid, "left")
     return out.select(
         "doc_id",
         "held_out",
@@ -332,5 +402,5 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = DEPTH, ma
         (F.col("known_") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base_") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score_") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

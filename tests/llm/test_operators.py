@@ -277,6 +277,21 @@ def test_context_tree_is_a_distribution():
         assert (10 ** tree.log10(tree.shorten(codes))).sum() == pytest.approx(1)
 
 
+def test_lm_scoring_keeps_every_context(docs, rows):
+    texts = [(i, b" ".join((t or "").encode().lower().split())) for i, t, *_ in rows]
+    train = [t for i, t in texts if zlib.crc32(str("" if i is None else i).encode()) % 5 != 1]
+    u, n = np.unique(lm_scoring.strings(train, 5)[0], return_counts=True)
+    d, s, m = [], [], []
+    for level in range(6):
+        some, at = np.unique(u & np.uint64((1 << 8 * level + 8) - 1), return_inverse=True)
+        d, s, m = d + [level] * len(some), s + some.tolist(), m + np.bincount(at, n).astype(int).tolist()
+    tree = lm_scoring.ContextTree(np.array(d), np.array(s, np.uint64), np.array(m), 5)
+    want = sorted(float(tree.log10(tree.shorten(lm_scoring.strings([t], 5)[0])).sum()) for _, t in texts)
+    for most in (0, 20, 1 << 19):
+        got = sorted(r.score for r in lm_scoring.score(docs, max_strings=most).collect())
+        assert got == pytest.approx(want, rel=1e-4)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
