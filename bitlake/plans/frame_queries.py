@@ -290,6 +290,17 @@ def _lanes(spark, sf_dir):
     return d.select("doc_id", L.of_text(F.col("text")).alias("a"), L.of_text(F.col("text"), 16).alias("b"), L.of_text(F.col("text"), 32).alias("c")).where("c is not null")
 
 
+def _vectors(spark, sf_dir):
+    """Every 16-byte vector of every text as a, the two after it as b and c, zeros past its end; an empty text has one, a null text a null one."""
+    raw = F.col("text").cast("binary")
+    last = F.greatest(F.lit(0), F.floor((F.octet_length(raw) - 1) / 16)).cast("int")
+    parts = F.transform(F.array(raw), lambda t: F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(t, 16 * i + 1, F.lit(48))))[0]
+    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(F.when(raw.isNotNull(), parts)).alias("vector", "part"))
+    h = F.rpad(F.hex("part"), 96, "0")
+    at = lambda k: F.when(F.col("part").isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(F.substring(h, 2 * i + 2 * k + 1, F.lit(2)), 16, 10).cast("int")))
+    return d.select("doc_id", "vector", F.when(F.col("part").isNotNull(), F.least(F.lit(16), F.octet_length("part"))).alias("length"), at(0).alias("a"), at(16).alias("b"), at(32).alias("c"))
+
+
 _HEX = "'0123456789ABCDEF'"
 _bytes = lambda at: f"list_transform(range(16), lambda j: 16 * (instr({_HEX}, substr(h, (2 * ({at} + j) + 1)::BIGINT, 1)) - 1) + instr({_HEX}, substr(h, (2 * ({at} + j) + 2)::BIGINT, 1)) - 1)"
 _LANES = f"WITH l AS (SELECT doc_id, {_bytes(0)} AS a, {_bytes(16)} AS b, {_bytes(32)} AS c FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE strlen(text) >= 48))"
@@ -463,5 +474,10 @@ for _name, (_build, _value) in LANES.items():
         v = build(F.col("a"), F.col("b"), F.col("c"))
         return _lanes(spark, sf_dir).select("doc_id", (v if whole else F.concat_ws(",", v.cast("array<string>"))).alias("v"))
 
+    def _whole(spark, sf_dir, build=_build, whole=_value[0] == "="):
+        v = build(F.col("a"), F.col("b"), F.col("c"))
+        return _vectors(spark, sf_dir).select("doc_id", "vector", "length", F.when(F.col("a").isNotNull(), v if whole else F.concat_ws(",", v.cast("array<string>"))).alias("v"))
+
     QUERIES[_name] = _query
+    QUERIES[f"{_name}_whole"] = _whole
     ORACLES[_name] = f"{_LANES} SELECT doc_id, {_value[1:] if _value[0] == '=' else f"array_to_string({_zip(_value)}, ',')"} AS v FROM l"
