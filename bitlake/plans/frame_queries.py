@@ -249,6 +249,11 @@ def edit_distance_conversations(spark, sf_dir):
     return c.select("conv_id", "turn", "role", fuzzy.distance(F.lit("naïve über search"), F.col("text")).alias("d"))
 
 
+def edit_distance_conversations_whole(spark, sf_dir):
+    """Every turn of any length; null where the text is null."""
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", fuzzy.distance(F.lit("naïve über search"), F.col("text")).alias("d"))
+
+
 def fuzzy_topk(spark, sf_dir):
     return fuzzy.nearest(read(spark, sf_dir, "part").select("p_name").distinct(), F.col("p_name"), "part blue 7", 10).select("p_name", "distance")
 
@@ -413,7 +418,7 @@ for _f in (
     hilbert2_encode, hilbert2_decode, morton2_columns, hilbert_from_morton, morton_from_hilbert, hilbert3_encode, hilbert3_decode, hilbert_path_adjacent, quantise,
     spatial_orders_days, zone_map_prune, quadtree_rollup, spatial_range_join,
     bitmap_from_positions, bitmap_positions, bitmap_count_ones, bitmap_bit, bitmap_set_bits, bitmap_clear_bits, bitmap_rank, bitmap_rank0, bitmap_select, bitmap_next_set, bitmap_find_run, bitmap_directory, bitmap_filter_pack, bitmap_prime_sieve,
-    edit_distance, edit_distance_conversations, fuzzy_topk, fuzzy_join, fuzzy_substring_distance, fuzzy_search, fuzzy_occurrences,
+    edit_distance, edit_distance_conversations, edit_distance_conversations_whole, fuzzy_topk, fuzzy_join, fuzzy_substring_distance, fuzzy_search, fuzzy_occurrences,
     grid_block_starts, grid_find_block, grid_fill_block, grid_clear_block, json_structure, byte_class_counts, byte_map,
 ):
     QUERIES[_f.__name__] = _f

@@ -26,3 +26,19 @@ def test_lanes_of_whole_texts(spark, tmp_path):
 def test_every_lane_query_reads_whole_texts(spark):
     mine = sorted(n for n in QUERIES if n.startswith("lanes_") and not n.endswith("_whole"))
     assert len(mine) == 39 and all(f"{n}_whole" in QUERIES for n in mine)
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        diagonal, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            diagonal, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, diagonal + (x != y))
+    return row[-1]
+
+
+def test_edit_distance_of_every_turn(spark, tmp_path):
+    texts = [None, "", "naive uber search", "é" * 300, "naïve " * 200]
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r.d for r in QUERIES["edit_distance_conversations_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else levenshtein("naïve über search".encode(), t.encode()) for i, t in enumerate(texts)}
