@@ -324,6 +324,21 @@ def wide_wrapping_mul(spark, sf_dir):
     return out.select("id", F.get("a", F.lit(0)).alias("low"), F.get("a", F.lit(1)).alias("high"))
 
 
+def wide_wrapping_mul_whole(spark, sf_dir):
+    """Every row, both operands of two full limbs."""
+    p, q, _, _ = wide_columns()
+    return words(spark, sf_dir).select("id", X.wmul(p, q).alias("a")).select("id", F.get("a", F.lit(0)).alias("low"), F.get("a", F.lit(1)).alias("high"))
+
+
+def bits_next_same_popcount_whole(spark, sf_dir):
+    out = W.layered(words(spark, sf_dir), v=lambda let: B.next_same_popcount(F.col("x"), let=let))
+    return out.select("id", "v")
+
+
+def bits_is_pow2_whole(spark, sf_dir):
+    return words(spark, sf_dir).select("id", B.is_pow2(F.col("x")).alias("v"))
+
+
 def bits_positions(spark, sf_dir):
     return words(spark, sf_dir).select("id", F.explode(B.positions(F.col("x"))).alias("p"))
 
@@ -338,6 +353,7 @@ def bits_subsets(spark, sf_dir):
     return low.select("id", F.explode(B.subsets_of(F.col("s"))).alias("subset"))
 
 
+QUERIES |= {"wide_wrapping_mul_whole": wide_wrapping_mul_whole, "bits_next_same_popcount_whole": bits_next_same_popcount_whole, "bits_is_pow2_whole": bits_is_pow2_whole}
 QUERIES |= {"wide_wrapping_mul": wide_wrapping_mul, "bits_positions": bits_positions, "bits_positions_back": bits_positions_back, "bits_subsets": bits_subsets}
 _prod = "(x::UHUGEINT * (y >> 4)::UHUGEINT)"
 ORACLES |= {

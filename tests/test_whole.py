@@ -42,3 +42,25 @@ def test_edit_distance_of_every_turn(spark, tmp_path):
     spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r.conv_id: r.d for r in QUERIES["edit_distance_conversations_whole"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else levenshtein("naïve über search".encode(), t.encode()) for i, t in enumerate(texts)}
+
+
+def next_same_popcount(x):
+    if not x:
+        return None
+    low = x & -x
+    up = x + low
+    out = up | ((x ^ up) // low >> 2)
+    return out if out < 1 << 64 else None
+
+
+def test_words_whole(spark):
+    from bitlake.plans import word_queries
+
+    rows = [[v if v is None or k == "id" else v % (1 << 64) for k, v in r.asDict().items() if k in ("id", "x", "y", "m")] for r in word_queries.words(spark, SF).collect()]
+    assert any((x | y << 64) * (y | m << 64) >= 1 << 128 for _, x, y, m in rows)
+    got = {r.id: (r.low % (1 << 64), r.high % (1 << 64)) for r in QUERIES["wide_wrapping_mul_whole"](spark, SF).collect()}
+    product = {i: (x | y << 64) * (y | m << 64) % (1 << 128) for i, x, y, m in rows}
+    assert got == {i: (p % (1 << 64), p >> 64) for i, p in product.items()}
+    got = {r.id: None if r.v is None else r.v % (1 << 64) for r in QUERIES["bits_next_same_popcount_whole"](spark, SF).collect()}
+    assert got == {i: next_same_popcount(x) for i, x, _, _ in rows}
+    assert {r.id: r.v for r in QUERIES["bits_is_pow2_whole"](spark, SF).collect()} == {i: x.bit_count() == 1 for i, x, _, _ in rows}
