@@ -194,6 +194,35 @@ def _combine(how):
     return query
 
 
+def _asked_whole(spark, sf_dir):
+    """Positions from all events, over the whole range of each bitmap."""
+    e = _events(spark, sf_dir).select((F.col("user_id") % 20).alias("bitmap_id"), F.col("event_id"))
+    size = e.groupBy("bitmap_id").agg(((F.shiftright(F.max("event_id"), 6) + 1) * 64).alias("size"), F.count_distinct("event_id").alias("ones"))
+    return e.join(size, "bitmap_id").select("bitmap_id", (F.col("event_id") * 3 % F.col("size")).alias("position"), "ones").distinct()
+
+
+def _mask(a):
+    return bitmaps.from_positions(a, F.col("bitmap_id"), F.col("position"))
+
+
+#: name -> (bitmap, positions asked) to result; the bitmap queries below and above over all positions.
+BITMAPS_WHOLE: dict = {
+    "bitmap_bit": lambda b, a: bitmaps.bit(b, a).select("bitmap_id", "position", F.coalesce("bit", F.lit(False)).alias("bit")),
+    "bitmap_set_bits": lambda b, a: bitmaps.set_bits(b, a),
+    "bitmap_clear_bits": lambda b, a: bitmaps.clear_bits(b, a).where("word != 0"),
+    **{f"bitmap_{how}": lambda b, a, how=how: bitmaps.combine(b, _mask(a), how) for how in ("and", "or", "xor", "andnot")},
+    "bitmap_rank": lambda b, a: bitmaps.rank(b, a),
+    "bitmap_rank0": lambda b, a: bitmaps.rank0(b, a),
+    "bitmap_next_set": lambda b, a: bitmaps.next_set_from(b, a),
+    "bitmap_filter_pack": lambda b, a: bitmaps.filter_pack(b, _mask(a)).where("word != 0"),
+}
+
+
+def bitmap_select_whole(spark, sf_dir):
+    asked = _asked_whole(spark, sf_dir).select("bitmap_id", (F.col("position") % F.col("ones")).alias("k")).distinct()
+    return bitmaps.select(_bitmap(spark, sf_dir), asked)
+
+
 def bitmap_rank(spark, sf_dir):
     return bitmaps.rank(_bitmap(spark, sf_dir), _asked(spark, sf_dir))
 
@@ -473,6 +502,9 @@ ORACLES: dict = {
     "byte_class_counts": "SELECT page_id, length(regexp_replace(html, '[^0-9]', '', 'g'))::INT AS digits, length(regexp_replace(html, '[^<>]', '', 'g'))::INT AS brackets, strlen(regexp_replace(html, '[\\x00-\\x7f]', '', 'g'))::INT AS high FROM pages",
     "byte_map": "SELECT p_partkey, translate(p_name, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz') AS name FROM part",
 }
+QUERIES["bitmap_select_whole"] = bitmap_select_whole
+for _name, _build in BITMAPS_WHOLE.items():
+    QUERIES[f"{_name}_whole"] = lambda spark, sf_dir, build=_build: build(_bitmap(spark, sf_dir), _asked_whole(spark, sf_dir).select("bitmap_id", "position"))
 for _name, (_build, _value) in LANES.items():
 
     def _query(spark, sf_dir, build=_build, whole=_value[0] == "="):

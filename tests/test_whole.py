@@ -64,3 +64,37 @@ def test_words_whole(spark):
     got = {r.id: None if r.v is None else r.v % (1 << 64) for r in QUERIES["bits_next_same_popcount_whole"](spark, SF).collect()}
     assert got == {i: next_same_popcount(x) for i, x, _, _ in rows}
     assert {r.id: r.v for r in QUERIES["bits_is_pow2_whole"](spark, SF).collect()} == {i: x.bit_count() == 1 for i, x, _, _ in rows}
+
+
+def test_bitmaps_over_their_whole_range(spark, tmp_path):
+    n = 40_000
+    spark.range(n).select(F.col("id").alias("event_id"), (F.col("id") * 7 % 33).alias("user_id"), F.lit("t").alias("event_type")).write.parquet(str(tmp_path / "events.parquet"))
+    held, ids = {}, range(n)
+    for i in ids:
+        held.setdefault(i * 7 % 33 % 20, []).append(i)
+    size = {b: (max(p) // 64 + 1) * 64 for b, p in held.items()}
+    asked = {b: {i * 3 % size[b] for i in p} for b, p in held.items()}
+    run = lambda name: {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    from bisect import bisect_left
+
+    def words(sets):
+        out = {}
+        for b, ps in sets.items():
+            for p in ps:
+                out[b, p >> 6] = out.get((b, p >> 6), 0) | 1 << (p & 63)
+        return {(*k, v - (1 << 64) if v >> 63 else v) for k, v in out.items()}
+
+    s = {b: set(p) for b, p in held.items()}
+    below = {(b, p): bisect_left(held[b], p) for b in asked for p in asked[b]}
+    assert max(p for _, p in below) > 11_999
+    assert run("bitmap_bit_whole") == {(b, p, p in s[b]) for b, p in below}
+    assert run("bitmap_rank_whole") == {(b, p, r) for (b, p), r in below.items()}
+    assert run("bitmap_rank0_whole") == {(b, p, p - r) for (b, p), r in below.items()}
+    assert run("bitmap_next_set_whole") == {(b, p, held[b][r] if r < len(held[b]) else None) for (b, p), r in below.items()}
+    found = run("bitmap_select_whole")
+    assert found == {(b, k, held[b][k]) for b in asked for k in {p % len(held[b]) for p in asked[b]}} and max(k for _, k, _ in found) > 699
+    for name, sets in {
+        "set_bits": {b: s[b] | asked[b] for b in s}, "clear_bits": {b: s[b] - asked[b] for b in s}, "and": {b: s[b] & asked[b] for b in s}, "or": {b: s[b] | asked[b] for b in s},
+        "xor": {b: s[b] ^ asked[b] for b in s}, "andnot": {b: s[b] - asked[b] for b in s}, "filter_pack": {b: {k for k, p in enumerate(sorted(asked[b])) if p in s[b]} for b in s},
+    }.items():
+        assert run(f"bitmap_{name}_whole") == words(sets), name
