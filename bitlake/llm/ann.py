@@ -149,15 +149,21 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, samp
     indexed = materialize(rows.mapInArrow(assign, "list int, vec_id long, embedding array<double>"), "ann").distinct()
     parts = {at: -(-m // part) for at, m in indexed.groupBy("list").count().collect()}  # at most 4096 rows
     split = np.array([parts.get(i, 0) for i in range(lists)], np.int64)
+    # Ids with several vectors may stand in several lists, so only those with one are counted on.
+    once = indexed.groupBy("vec_id").agg(F.count("*").alias("m"), F.min("list").alias("list")).where("m = 1").groupBy("list").count().collect()
+    single = np.zeros(lists, np.int64)
+    single[[at for at, _ in once]] = [m for _, m in once]
     n_parts = F.element_at(F.array(*[F.lit(int(max(1, s))) for s in split]), F.col("list") + 1)
     indexed = indexed.withColumn("part", F.pmod(F.xxhash64("vec_id"), n_parts).cast("int"))
 
     def probe(batches):
         for batch in batches:
-            at = nearest(_matrix(batch.column(1), dim), center, probes)
+            at = nearest(_matrix(batch.column(1), dim), center, lists)
+            # On to further lists until k candidates are held beside the query itself, or no list is left.
+            enough = (np.cumsum(single[at], axis=1) <= k).sum(1) + 1
             row, list_, part_ = [], [], []
             for i, found in enumerate(at):
-                for j in found:
+                for j in found[: max(probes, int(enough[i]))]:
                     for p in range(split[j]):
                         row.append(i), list_.append(j), part_.append(p)
             rows_ = pa.array(row, pa.int64())

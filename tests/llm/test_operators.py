@@ -246,6 +246,15 @@ def test_contract(spark):
     assert {found[i] for i in range(51)} == {0} and {found[i] for i in range(100, 140)} == {100} and found[201] == 200
 
 
+def test_ann_search_goes_on_until_it_holds_enough(spark):
+    rng = np.random.default_rng(3)
+    far = rng.normal(size=8) * 100
+    x = np.concatenate([far[None], rng.normal(size=(400, 8)), rng.normal(size=(400, 8)) + 30])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = Counter(r.query_id for r in ann.search(df, probes=1).collect())
+    assert found[0] == 10 and set(found.values()) == {10}
+
+
 def test_lm_scoring(docs, none, rows):
     out = lm_scoring.score(docs, max_words=3).collect()
     tokens = [(r[0], (r[1] or "").encode().lower().split()) for r in rows]
