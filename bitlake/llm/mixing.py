@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitlake.llm.common import WORD, materialize, word_count
+from bitlake.llm.common import WORD, materialize, scratch, word_count
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -24,10 +24,11 @@ SEED = "mix"
 ROWS_PER_RANGE = 20_000
 
 
-def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, size, skey (the source, never null) and hash key of every document."""
+def sized(docs: DataFrame, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, skey (the source, never null) and hash key of every document, and the columns to keep."""
     return docs.select(
         "doc_id",
+        *keep,
         F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null")).alias("skey"),
         F.col("source").isNull().alias("snull"),
         word_count(F.col("text")).alias("size"),
@@ -64,9 +65,9 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPO
     return src.select("skey", "source_size", "target", "epochs", "rest")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs (doc_id, source, text)."""
-    rows = materialize(sized(docs, seed), "sized")
+def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, rows_per_range: int = ROWS_PER_RANGE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row of docs (doc_id, source, text), then its columns to keep."""
+    rows = materialize(sized(docs, seed, keep), "sized")
     digits, n = 1, rows.count()
     while n > rows_per_range * 16**digits and digits < 12:
         digits += 1
@@ -78,22 +79,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: st
     within = Window.partitionBy("skey", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.join(ranges, ["skey", "range"]).withColumn("upto", F.sum("size").over(within) - F.col("size") + F.col("before"))
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("upto")))
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"))
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), *keep)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows: a document taken k times stands k times; one cut by its budget keeps its first words.
 
-    Documents that the mix does not take go, and so do those without words. Rows that share a doc_id
-    are told apart by size; rows equal in both are interchangeable, and share their taken words evenly.
+    Documents that the mix does not take go, and so do those without words. Each row has a key of its
+    own, so that rows which share doc_id, source and size keep what each of them was given.
     """
-    columns = docs.columns
-    taken = mix(docs, **options).groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__k"), F.col("size").alias("__size")).agg(F.sum("taken").alias("__taken"), F.count("*").alias("__n"))
-    rows = docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("__size", word_count(F.col("text")))
-    joined = rows.join(taken, ["__k", "__size"]).withColumn("__each", F.expr("__taken div __n"))
-    joined = joined.where("__each > 0").withColumn("__copies", F.expr("(__each + __size - 1) div __size").cast("int"))
+    columns, row = docs.columns, scratch(docs, "row")
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    taken = mix(keyed, **options, keep=(row,)).where("taken > 0").select(row, F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    joined = keyed.join(taken, row).withColumn("__copies", F.expr("(__taken + __size - 1) div __size").cast("int"))
     copies = joined.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    left = F.col("__each") - (F.col("__i") - 1) * F.col("__size")
+    left = F.col("__taken") - (F.col("__i") - 1) * F.col("__size")
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*" + WORD + ")")), 1, left.cast("int")), "")
     text = F.when(left >= F.col("__size"), F.col("text")).otherwise(cut)
     return copies.select(*[(text if c == "text" else F.col(c)).alias(c) for c in columns])

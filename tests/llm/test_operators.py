@@ -99,6 +99,18 @@ def test_mixing(docs, none, rows):
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+def test_mixed_documents_keep_what_each_row_was_given(spark):
+    rows = [(None, f"a{i} b c d e f g", "s0") for i in range(30)] + [(None, f"z{i} b c d e f g", "s1") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = Counter(), Counter()
+    for r in mixing.mix(df).collect():
+        want[r.source_size] += r.taken
+    out = mixing.mixed_documents(df).collect()
+    for r in out:
+        got[210 if r.source == "s0" else 35] += len(r.text.split())
+    assert got == want and sum(len(r.text.split()) < 7 for r in out) <= 2
+
+
 def test_ann(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 12))
