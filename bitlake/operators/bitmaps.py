@@ -16,6 +16,8 @@ from bitlake.functions.words import word
 ID, AT, WORD = "bitmap_id", "word_idx", "word"
 #: Words per block of a directory.
 BLOCK = 4096
+#: select() groups set bits by their number shifted by this.
+GROUP = 4
 
 
 def from_positions(df: DataFrame, bitmap_id: Column, position: Column) -> DataFrame:
@@ -70,17 +72,43 @@ def directory(bitmap: DataFrame, block: int = BLOCK) -> DataFrame:
     return d.join(sums, [ID, "blk"]).select(ID, AT, WORD, "ones", (F.col("base") + F.coalesce(F.sum("ones").over(within), F.lit(0))).alias("before"))
 
 
+def _directory(bitmap: DataFrame) -> DataFrame:
+    """bitmap itself where it is a directory already, such as a stored one; else the directory of its words."""
+    return bitmap if {"before", "ones"} <= set(bitmap.columns) else directory(bitmap)
+
+
+def _merged(words: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(words with the distinct words asked for, flagged ``asked``; the blocks of both). A block has a bounded
+    number of words, so that windows over blocks spread one bitmap over tasks, however often one of its places is asked."""
+    block = F.floor(F.col(AT) / BLOCK)
+    wanted = queries.where("position is not null").select(ID, F.shiftright("position", 6).alias(AT)).distinct().withColumn("asked", F.lit(True))
+    rows = words.withColumn("asked", F.lit(False)).unionByName(wanted, allowMissingColumns=True).withColumn("blk", block)
+    return rows, wanted.select(ID, block.alias("blk")).distinct()
+
+
+def _counted(bitmap: DataFrame, queries: DataFrame) -> DataFrame:
+    """(bitmap_id, word_idx, word, before) of every word asked for, present or not."""
+    d = _directory(bitmap).select(ID, AT, WORD, "before", "ones")
+    rows, blocks = _merged(d, queries)
+    upto = Window.partitionBy(ID, "blk").orderBy(AT, "asked").rowsBetween(Window.unboundedPreceding, 0)
+    near = F.last(F.when(~F.col("asked"), F.struct(AT, WORD, "before", "ones")), ignorenulls=True).over(upto)
+    found = rows.withColumn("near", near).where("asked").select(ID, AT, "blk", "near")
+    # Where a block has no word at or before the one asked for, the blocks before it say how many bits they hold.
+    tops = d.groupBy(ID, F.floor(F.col(AT) / BLOCK).alias("blk")).agg(F.max(F.col("before") + F.col("ones")).alias("top")).unionByName(blocks, allowMissingColumns=True)
+    earlier = Window.partitionBy(ID).orderBy("blk").rangeBetween(Window.unboundedPreceding, -1)
+    tops = tops.withColumn("base", F.max("top").over(earlier)).groupBy(ID, "blk").agg(F.max("base").alias("base"))
+    own = F.col(f"near.{AT}") == F.col(AT)
+    before = F.when(own, F.col("near.before")).otherwise(F.coalesce(F.col("near.before") + F.col("near.ones"), "base", F.lit(0)))
+    return found.join(tops, [ID, "blk"], "left").select(ID, AT, F.when(own, F.col(f"near.{WORD}")).alias(WORD), before.alias("before"))
+
+
 def rank(bitmap: DataFrame, queries: DataFrame) -> DataFrame:
-    """queries (bitmap_id, position) with ``rank``: set bits below the position. Words may be absent, so
-    queries and words are merged in key order and each query takes the last word at or before its own."""
-    d = directory(bitmap)
-    words = d.select(ID, F.col(AT).alias("k"), F.lit(0).alias("q"), F.lit(None).cast("long").alias("position"), F.struct(AT, WORD, "before", "ones").alias("w"))
-    asked = queries.select(ID, F.shiftright("position", 6).alias("k"), F.lit(1).alias("q"), F.col("position").cast("long"), F.lit(None).cast(words.schema["w"].dataType).alias("w"))
-    last = F.last("w", ignorenulls=True).over(Window.partitionBy(ID).orderBy("k", "q").rowsBetween(Window.unboundedPreceding, 0))
-    merged = words.unionByName(asked).withColumn("last", last).where("q = 1")
-    inside = F.bit_count(F.col(f"last.{WORD}").bitwiseAND(W.low_ones(F.col("position").bitwiseAND(F.lit(63)))))
-    value = F.when(F.col(f"last.{AT}") == F.col("k"), F.col("last.before") + inside).otherwise(F.col("last.before") + F.col("last.ones"))
-    return merged.select(ID, "position", F.coalesce(value, F.lit(0)).alias("rank"))
+    """queries (bitmap_id, position) with ``rank``: set bits below the position. bitmap may be a directory, as
+    read_directory() gives it; then nothing is counted anew. A null position has a null rank."""
+    asked = queries.withColumn(AT, F.shiftright("position", 6)).join(_counted(bitmap, queries), [ID, AT], "left")
+    inside = F.bit_count(F.col(WORD).bitwiseAND(W.low_ones(F.col("position").bitwiseAND(F.lit(63)))))
+    value = F.when(F.col("position").isNotNull(), F.coalesce("before", F.lit(0)) + F.coalesce(inside, F.lit(0)))
+    return asked.select(ID, "position", value.alias("rank"))
 
 
 def rank0(bitmap: DataFrame, queries: DataFrame) -> DataFrame:
@@ -91,39 +119,54 @@ def rank0(bitmap: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def select(bitmap: DataFrame, queries: DataFrame) -> DataFrame:
-    """queries (bitmap_id, k) with ``position`` of the k-th set bit (from 0), null past the last."""
-    d = directory(bitmap).where("ones > 0")
-    words = d.select(ID, F.col("before").alias("at"), F.lit(0).alias("q"), F.lit(None).cast("long").alias("k"), F.struct(AT, WORD, "before", "ones").alias("w"))
-    asked = queries.select(ID, F.col("k").cast("long").alias("at"), F.lit(1).alias("q"), F.col("k").cast("long").alias("k"), F.lit(None).cast(words.schema["w"].dataType).alias("w"))
-    last = F.last("w", ignorenulls=True).over(Window.partitionBy(ID).orderBy("at", "q").rowsBetween(Window.unboundedPreceding, 0))
-    merged = words.unionByName(asked).withColumn("last", last).where("q = 1").withColumn("r", F.col("k") - F.col("last.before"))
-    found = W.layered(merged, place=lambda let: W.select_lowest(F.col(f"last.{WORD}"), F.col("r"), let))
-    value = F.when((F.col("k") >= 0) & (F.col("r") < F.col("last.ones")), F.col(f"last.{AT}") * 64 + F.col("place"))
-    return found.select(ID, "k", value.alias("position"))
+    """queries (bitmap_id, k) with ``position`` of the k-th set bit (from 0), null past the last. bitmap may be a directory.
+
+    Words meet queries on groups of GROUP neighbouring bits, of which a word holds five at most and a group's words are as few.
+    """
+    last = F.col("before") + F.col("ones") - 1
+    groups = F.explode(F.sequence(F.shiftright("before", GROUP), F.shiftright(last, GROUP)))
+    held = _directory(bitmap).where("ones > 0").select(ID, AT, WORD, "before", "ones", groups.alias("group"))
+    asked = queries.select(ID, F.col("k").cast("long").alias("k")).distinct().withColumn("group", F.shiftright("k", GROUP))
+    met = asked.join(held, [ID, "group"]).withColumn("r", F.col("k") - F.col("before")).where("r >= 0 and r < ones").drop("group", "ones")
+    # The filter must not be pushed below the rounds, so it comes first.
+    found = W.layered(met, place=lambda let: W.select_lowest(F.col(WORD), F.col("r"), let))
+    found = found.select(ID, "k", (F.col(AT) * 64 + F.col("place")).alias("position"))
+    return queries.select(ID, F.col("k").cast("long").alias("k")).join(found, [ID, "k"], "left").select(ID, "k", "position")
 
 
 def next_set_from(bitmap: DataFrame, queries: DataFrame) -> DataFrame:
-    """queries (bitmap_id, position) with ``next``: the first set bit at or after it, null past the last."""
-    words = bitmap.where(F.col(WORD) != 0).select(ID, F.col(AT).alias("k"), F.lit(1).alias("q"), F.lit(None).cast("long").alias("position"), F.struct(F.col(AT).alias("i"), F.col(WORD).alias("w")).alias("w"))
-    asked = queries.select(ID, F.shiftright("position", 6).alias("k"), F.lit(0).alias("q"), F.col("position").cast("long"), F.lit(None).cast(words.schema["w"].dataType).alias("w"))
-    ahead = Window.partitionBy(ID).orderBy("k", "q").rowsBetween(0, Window.unboundedFollowing)
-    # The own word may hold nothing more; then it is the one after.
-    both = words.unionByName(asked).withColumn("near", F.first("w", ignorenulls=True).over(ahead))
-    both = both.withColumn("far", F.first(F.when(F.col("w").isNotNull(), F.col("w")), ignorenulls=True).over(Window.partitionBy(ID).orderBy("k").rangeBetween(1, Window.unboundedFollowing))).where("q = 0")
-    own = F.when(F.col("near.i") == F.col("k"), F.col("near.w").bitwiseAND(F.bitwise_not(W.low_ones(F.col("position").bitwiseAND(F.lit(63))))))
-    first = lambda w: W.trailing_zeros(w)
-    value = F.when(own != 0, F.col("k") * 64 + first(own)).when(F.col("near.i") > F.col("k"), F.col("near.i") * 64 + first(F.col("near.w"))).otherwise(F.col("far.i") * 64 + first(F.col("far.w")))
-    return both.select(ID, "position", value.alias("next"))
+    """queries (bitmap_id, position) with ``next``: the first set bit at or after it, null past the last or for a null position."""
+    words = bitmap.where(F.col(WORD) != 0).select(ID, AT, WORD)
+    rows, blocks = _merged(words, queries)
+    # From the block's end down: what has been passed lies behind, nearest last.
+    down = Window.partitionBy(ID, "blk").orderBy(F.desc(AT), "asked").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("after", F.last(F.when(~F.col("asked"), F.struct(AT, WORD)), ignorenulls=True).over(down))
+    rows = rows.withColumn("near", F.last(F.when(~F.col("asked"), F.struct(AT, WORD, "after")), ignorenulls=True).over(down)).where("asked")
+    firsts = words.groupBy(ID, F.floor(F.col(AT) / BLOCK).alias("blk")).agg(F.min(F.struct(AT, WORD)).alias("first")).unionByName(blocks, allowMissingColumns=True)
+    later = Window.partitionBy(ID).orderBy(F.desc("blk")).rowsBetween(Window.unboundedPreceding, -1)
+    # A block may stand here as held and as asked for; the one that comes later in this order must not see its own twin.
+    firsts = firsts.groupBy(ID, "blk").agg(F.min("first").alias("first"))
+    firsts = firsts.withColumn("beyond", F.last("first", ignorenulls=True).over(later)).select(ID, "blk", "beyond")
+    own = F.col(f"near.{AT}") == F.col(AT)
+    then = F.coalesce(F.when(own, F.col("near.after")).otherwise(F.struct(f"near.{AT}", f"near.{WORD}")), "beyond")
+    near = rows.join(firsts, [ID, "blk"], "left").select(ID, AT, F.when(own, F.col(f"near.{WORD}")).alias("own"), F.when(F.col("near").isNull(), F.col("beyond")).otherwise(then).alias("then"))
+    asked = queries.withColumn(AT, F.shiftright("position", 6)).join(near, [ID, AT], "left")
+    mine = F.col("own").bitwiseAND(F.bitwise_not(W.low_ones(F.col("position").bitwiseAND(F.lit(63)))))
+    value = F.when(mine != 0, F.col(AT) * 64 + W.trailing_zeros(mine)).otherwise(F.col(f"then.{AT}") * 64 + W.trailing_zeros(F.col(f"then.{WORD}")))
+    return asked.select(ID, "position", value.alias("next"))
 
 
 def find_run(bitmap: DataFrame, k: int) -> DataFrame:
-    """(bitmap_id, start) of the first run of k set bits (1..64), which may go on into the next word."""
+    """(bitmap_id, start) of the first run of k set bits (1..64), which may go on into the next word.
+
+    Every word goes to its own place and, as the next one, to the place before: one grouped sum, no order.
+    """
     W._within(k, 1, 64, "run")
-    ahead = Window.partitionBy(ID).orderBy(AT)
-    d = bitmap.select(ID, AT, WORD, F.lead(AT).over(ahead).alias("na"), F.lead(WORD).over(ahead).alias("nw"))
-    after = F.when(F.col("na") == F.col(AT) + 1, F.col("nw")).otherwise(word(0))
+    halves = F.explode(F.array(F.struct(F.col(AT).alias("at"), F.col(WORD).alias("low"), word(0).alias("high")), F.struct((F.col(AT) - 1).alias("at"), word(0).alias("low"), F.col(WORD).alias("high"))))
+    d = bitmap.select(ID, halves.alias("h")).groupBy(ID, F.col("h.at").alias(AT)).agg(F.bit_or("h.low").alias("low"), F.bit_or("h.high").alias("high"))
+
     def starts(let):
-        low, high, have = F.col(WORD), let(after), 1
+        low, high, have = F.col("low"), F.col("high"), 1
         while have < k:
             # Two words as one of 128 bits: shifting down brings the next word's low bits in.
             step = min(have, k - have)
@@ -131,6 +174,7 @@ def find_run(bitmap: DataFrame, k: int) -> DataFrame:
             low, high = let(low.bitwiseAND(moved)), let(high.bitwiseAND(F.shiftrightunsigned(high, step) if step < 64 else word(0)))
             have += step
         return low
+
     # Words without a start give null; a filter on them would be pushed below the rounds, and repeat them.
     d = W.layered(d, starts=starts)
     first = F.min(F.when(F.col("starts") != 0, F.col(AT) * 64 + W.trailing_zeros(F.col("starts"))))

@@ -98,3 +98,37 @@ def test_bitmaps_over_their_whole_range(spark, tmp_path):
         "xor": {b: s[b] ^ asked[b] for b in s}, "andnot": {b: s[b] - asked[b] for b in s}, "filter_pack": {b: {k for k, p in enumerate(sorted(asked[b])) if p in s[b]} for b in s},
     }.items():
         assert run(f"bitmap_{name}_whole") == words(sets), name
+
+
+def test_look_ups_over_gaps_and_from_a_stored_directory(spark, tmp_path):
+    from bisect import bisect_left
+
+    from bitlake import sources
+    from bitlake.operators import bitmaps
+
+    held = {1: [3, 64 * 5 + 63, 64 * 4096 * 3 + 7, 64 * 4096 * 3 + 64, 64 * 4096 * 9], 2: [0]}
+    asked = [(b, p) for b in (1, 2, 3) for q in held[1] for p in (q - 1, q, q + 1, q + 64, q + 64 * 4096)] + [(1, -70), (1, -1), (1, None), (1, 3)]
+    df = spark.createDataFrame([(b, p) for b, ps in held.items() for p in ps], "b int, p long")
+    words = bitmaps.from_positions(df, F.col("b"), F.col("p"))
+    q = spark.createDataFrame(asked, "bitmap_id int, position long")
+    sources.write_directory(words, str(tmp_path / "d"))
+    stored = sources.read_directory(spark, str(tmp_path / "d"))
+    below = lambda b, p: None if p is None else bisect_left(held.get(b, []), p)
+    rows = lambda d: sorted(map(str, map(tuple, d.collect())))
+    for table in (words, stored):
+        assert rows(bitmaps.rank(table, q)) == sorted(str((b, p, below(b, p))) for b, p in asked)
+        ks = [(b, k) for b in (1, 2, 3) for k in (-1, 0, 1, 4, 5)]
+        found = bitmaps.select(table, spark.createDataFrame(ks, "bitmap_id int, k long"))
+        assert rows(found) == sorted(str((b, k, held[b][k] if b in held and 0 <= k < len(held[b]) else None)) for b, k in ks)
+        after = lambda b, p: None if p is None else next((x for x in held.get(b, []) if x >= p), None)
+        assert rows(bitmaps.next_set_from(table, q)) == sorted(str((b, p, after(b, p))) for b, p in asked)
+
+
+def test_runs_go_on_into_the_next_word(spark):
+    from bitlake.operators import bitmaps
+
+    held = {1: [60, 61, 62, 63, 64, 65], 2: [62, 63, 128, 129, 130], 3: list(range(10, 90))}
+    words = bitmaps.from_positions(spark.createDataFrame([(b, p) for b, ps in held.items() for p in ps], "b int, p long"), F.col("b"), F.col("p"))
+    for k in (1, 3, 6, 64):
+        want = {(b, next(p for p in ps if all(p + i in ps for i in range(k)))) for b, ps in held.items() if any(all(p + i in ps for i in range(k)) for p in ps)}
+        assert {tuple(r) for r in bitmaps.find_run(words, k).collect()} == want
