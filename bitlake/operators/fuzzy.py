@@ -8,6 +8,7 @@ by a test for k + 1 exact pieces first.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,17 +16,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The longest pattern that distance() takes, in bytes.
-LONGEST = 512
+#: Remains of a string after deletions, so many at most, that fuzzy_join() spells out.
+VARIANTS = 2048
 
 
 def as_bytes(s: Column) -> Column:
     return F.decode(F.encode(s, "UTF-8"), "ISO-8859-1")
 
 
-def distance(pattern: Column, text: Column, longest: int = LONGEST) -> Column:
-    """Levenshtein distance in bytes; null for patterns longer than ``longest`` bytes."""
-    return F.when(F.octet_length(pattern) <= longest, F.levenshtein(as_bytes(pattern), as_bytes(text)))
+def distance(pattern: Column, text: Column, longest: int | None = None) -> Column:
+    """Levenshtein distance in bytes; null for patterns longer than ``longest`` bytes, where that is given."""
+    d = F.levenshtein(as_bytes(pattern), as_bytes(text))
+    return d if longest is None else F.when(F.octet_length(pattern) <= longest, d)
 
 
 def within(pattern: Column, text: Column, k: int) -> Column:
@@ -153,24 +155,56 @@ def nearest(df: DataFrame, text: Column, pattern: str, n: int) -> DataFrame:
     return df.withColumn("distance", distance(F.lit(pattern), text)).orderBy("distance", text).limit(n)
 
 
-def fuzzy_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str, k: int) -> DataFrame:
-    """Rows of both sides whose distinct texts are within k edits, with ``distance``.
+def longest_varied(k: int, variants: int = VARIANTS) -> int:
+    """The greatest length of a string that has at most ``variants`` ways to lose up to k places."""
+    if k == 0:
+        return (1 << 31) - 1
+    m = k
+    while sum(math.comb(m + 1, i) for i in range(k + 1)) <= variants:
+        m += 1
+    return m
 
-    A string within k edits of another holds one of its k + 1 pieces unchanged, at most k places off. So
-    pieces are joined on (length, piece number, bytes), not all pairs compared. Texts are compared once
-    per distinct pair; texts too short for k + 1 pieces meet by length.
-    """
-    a = left.select(F.col(left_text).alias("a")).where("a is not null").distinct().withColumn("x", as_bytes(F.col("a")))
-    b = right.select(F.col(right_text).alias("b")).where("b is not null").distinct().withColumn("y", as_bytes(F.col("b")))
+
+def _variants(s: Column, k: int) -> Column:
+    """64-bit hashes of s without any up to k of its characters."""
+    every = step = F.array(s)
+    for _ in range(k):
+        shorter = lambda v: F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.length(v))))
+        step = F.array_distinct(F.flatten(F.transform(F.filter(step, lambda v: F.length(v) > 0), shorter)))
+        every = F.array_union(every, step)
+    return F.transform(every, lambda v: F.xxhash64(v))
+
+
+def _by_pieces(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """Candidate pairs (i, j) of (i, x) and (j, y): a string within k edits of x holds one of k + 1 pieces of x, at most k places off."""
     n = k + 1
     cut = lambda i: f"({i} * m div {n})"
     a = a.withColumn("m", F.length("x"))
     owned = F.expr("CASE WHEN m < " + str(n) + " THEN array(struct(m, -1 AS i, '' AS p)) ELSE array(" + ", ".join(f"struct(m, {i} AS i, substr(x, {cut(i)} + 1, {cut(i + 1)} - {cut(i)}) AS p)" for i in range(n)) + ") END")
-    keyed_a = a.select("a", "x", F.explode(owned).alias("key"))
-    b = b.select("b", "y", F.explode(F.sequence(F.greatest(F.length("y") - k, F.lit(0)), F.length("y") + k)).alias("m"))
+    keyed_a = a.select("i", F.explode(owned).alias("key"))
+    b = b.select("j", "y", F.explode(F.sequence(F.greatest(F.length("y") - k, F.lit(0)), F.length("y") + k)).alias("m"))
     tries = ", ".join(f"struct(m, {i} AS i, substr(y, {cut(i)} + 1 + {d}, {cut(i + 1)} - {cut(i)}) AS p)" for i in range(n) for d in range(-k, k + 1))
     offsets = F.expr(f"CASE WHEN m < {n} THEN array(struct(m, -1 AS i, '' AS p)) ELSE array_distinct(array({tries})) END")
-    keyed_b = b.select("b", "y", F.explode(offsets).alias("key"))
-    pairs = keyed_a.join(keyed_b, "key").select("a", "b", "x", "y").distinct()
-    near = pairs.withColumn("distance", F.levenshtein("x", "y", k)).where("distance >= 0").select("a", "b", "distance")
+    return keyed_a.join(b.select("j", F.explode(offsets).alias("key")), "key").select("i", "j")
+
+
+def fuzzy_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str, k: int, variants: int = VARIANTS) -> DataFrame:
+    """Rows of both sides whose distinct texts are within k edits, with ``distance``.
+
+    Two strings within k edits become equal when each loses some k places or fewer. So strings meet on the
+    hashes of what deletions leave of them, however much of their text all of them share. Texts with more
+    than ``variants`` such remains are long; those meet on one of k + 1 pieces of the left one that the right one
+    must hold unchanged, so that a piece common to very many long texts still makes many candidates. Texts
+    travel as 64-bit hashes until the candidates are known; the distance is then taken from the texts, so
+    that hashes decide nothing. Null texts match nothing.
+    """
+    a = left.select(F.col(left_text).alias("a")).where("a is not null").distinct().withColumn("x", as_bytes(F.col("a"))).withColumn("i", F.xxhash64("a"))
+    b = right.select(F.col(right_text).alias("b")).where("b is not null").distinct().withColumn("y", as_bytes(F.col("b"))).withColumn("j", F.xxhash64("b"))
+    most = longest_varied(k, variants)
+    short, long = F.length("x") <= most, F.length("x") > most
+    met = lambda d, me, s, keep: d.where(keep).select(me, F.explode(_variants(F.col(s), k)).alias("key"))
+    pairs = met(a, "i", "x", short).join(met(b, "j", "y", F.length("y") <= most + k), "key").select("i", "j")
+    if k:
+        pairs = pairs.union(_by_pieces(a.where(long).select("i", "x"), b.where(F.length("y") > most - k).select("j", "y"), k))
+    near = pairs.distinct().join(a, "i").join(b, "j").withColumn("distance", F.levenshtein("x", "y", k)).where("distance >= 0").select("a", "b", "distance")
     return left.join(near, F.col(left_text) == F.col("a")).join(right, F.col(right_text) == F.col("b")).drop("a", "b")

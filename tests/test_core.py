@@ -89,9 +89,38 @@ def test_cover_and_intersects():
         cover.cover("morton", 4, (0, 1), (0, 1), 0)
 
 
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        diagonal, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            diagonal, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, diagonal + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("k", [0, 1, 2])
+def test_fuzzy_join_against_all_pairs(spark, k):
+    rng = random.Random(k)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(0, 7)))
+    left = [(i, None if i == 3 else word()) for i in range(60)]
+    right = [(i, None if i == 5 else word()) for i in range(60)]
+    want = sorted((i, j, d) for i, a in left for j, b in right if a is not None and b is not None and (d := levenshtein(a.encode(), b.encode())) <= k)
+    l, r = spark.createDataFrame(left, "i long, s string"), spark.createDataFrame(right, "j long, t string")  # noqa: E741
+    for variants in (1, 12, 2048):
+        assert sorted(map(tuple, fuzzy.fuzzy_join(l, r, "s", "t", k, variants).select("i", "j", "distance").collect())) == want
+
+
 def test_approximate_search():
-    assert fuzzy.search(b"hello", b"say helo there", 2) == [(7, 2), (8, 1), (9, 2)]
-    assert fuzzy.occurrences(b"quick brown fox", b"the quick brown fox and the quikc brown fox", 2) == [(4, 19, 0), (28, 43, 2)]
+    rng = random.Random(7)
+    for _ in range(40):
+        needle, text = (bytes(rng.choice(b"abc") for _ in range(rng.randint(*n))) for n in ((1, 6), (0, 25)))
+        k = rng.randint(0, 2)
+        least = {e: min(levenshtein(needle, text[s:e]) for s in range(e + 1)) for e in range(1, len(text) + 1)}
+        assert fuzzy.search(needle, text, k) == [(e, d) for e, d in least.items() if d <= k]
+        found = fuzzy.occurrences(needle, text, k)
+        assert all(levenshtein(needle, text[s:e]) == d == least[e] for s, e, d in found)
+        runs = [e for e in least if least[e] <= k and least.get(e - 1, k + 1) > k]
+        assert len(found) == len(runs) and fuzzy.substring_distance(needle, text) == min([len(needle), *least.values()])
     assert fuzzy.substring_distance(b"abc", b"") == 3 and fuzzy.substring_distance(b"", b"x") == 0
 
 
