@@ -1,15 +1,12 @@
 """Space-filling-curve keys as columns: Morton and Hilbert, in two and three dimensions.
 
 2D keys take ``order`` bits per axis (31 by default, so that keys are never negative and BIGINT order is
-key order); 3D keys take 21. Coordinates must lie below 2**order: higher bits are dropped. All but the
-3D Hilbert curve stay in generated JVM code; build them with words.layered() so that each round is a
-projection of its own, or use with_key().
+key order); 3D keys take 21. Coordinates must lie below 2**order: higher bits are dropped. All stay in
+generated JVM code; build them with words.layered() so that each round is a projection of its own, or use with_key().
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -184,39 +181,35 @@ def tables3() -> tuple[list[int], list[int]]:
     return encode, decode
 
 
-def _walk(decode: bool, order: int):
-    table = tables3()[decode]
+def _walk(code: Column, table: list[int], order: int, let: Let) -> Column:
+    """Three bits per level from the top through a table of steps, one lookup a level."""
+    steps, entry, out = F.array(*map(F.lit, table)), F.lit(0), word(0)
+    for level in range(order - 1, -1, -1):
+        digit = F.shiftrightunsigned(code, 3 * level).bitwiseAND(F.lit(7)).cast("int")
+        entry = let(F.get(steps, entry.bitwiseAND(F.lit(~7)).bitwiseOR(digit)))
+        out = let(out.bitwiseOR(F.shiftleft(entry.bitwiseAND(F.lit(7)).cast("long"), 3 * level)))
+    return out
 
-    @F.pandas_udf("long")
-    def walk(code: pd.Series) -> pd.Series:
-        steps = np.array(table, np.int64)
-        known = code.notna().to_numpy()
-        v = code.fillna(0).to_numpy(np.int64)
-        frame, out = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64)
-        for level in range(order - 1, -1, -1):
-            found = steps[8 * frame + ((v >> 3 * level) & 7)]
-            out, frame = out << 3 | (found & 7), found >> 3
-        return pd.Series(out).astype("Int64").where(known)
 
-    return walk
+def hilbert3_from_morton(key: Column, order: int = ORDER3, let: Let = inline) -> Column:
+    W._within(order, 1, 21, "order")
+    return _walk(key, tables3()[0], order, let)
 
 
-def _rotated(c: tuple, k: int) -> tuple:
-    return tuple(c[(i - k) % 3] for i in range(3))
+def morton3_from_hilbert(key: Column, order: int = ORDER3, let: Let = inline) -> Column:
+    W._within(order, 1, 21, "order")
+    return _walk(key, tables3()[1], order, let)
 
 
 def hilbert3(x: Column, y: Column, z: Column, order: int = ORDER3, let: Let = inline) -> Column:
-    """Index on the 3D curve: twelve frames, one table step per level, on numpy arrays in Arrow batches.
-
-    Orders under 21 are the start of the full curve, whose leading zero levels turn the axes.
-    """
+    """Index on the 3D curve of ``order`` levels: twelve frames, the walk starts in the first at every order."""
     W._within(order, 1, 21, "order")
     m = word(ones(order))
-    return _walk(False, order)(morton3(*_rotated(tuple(c.bitwiseAND(m) for c in (x, y, z)), 21 - order), let))
+    return hilbert3_from_morton(let(morton3(*(c.bitwiseAND(m) for c in (x, y, z)), let)), order, let)
 
 
 def hilbert3_xyz(key: Column, order: int = ORDER3, let: Let = inline) -> tuple[Column, Column, Column]:
-    return _rotated(morton3_xyz(let(_walk(True, order)(key)), let), 2 * (21 - order))
+    return morton3_xyz(let(morton3_from_hilbert(key, order, let)), let)
 
 
 def with_key(df: DataFrame, out: str, x: Column, y: Column, curve: str = "hilbert", order: int = ORDER2) -> DataFrame:

@@ -61,6 +61,22 @@ def hilbert3_decode(spark, sf_dir):
     return p.select("o", "n", "dx", "dy", "dz")
 
 
+def hilbert3_from_morton(spark, sf_dir):
+    p = W.layered(_points(spark, sf_dir), m=lambda let: curves.morton3(F.col("x"), F.col("y"), F.col("n").cast("long"), let))
+    return W.layered(p, v=lambda let: curves.hilbert3_from_morton(F.col("m"), 17, let)).select("o", "n", "v")
+
+
+def morton3_from_hilbert(spark, sf_dir):
+    """The way back from indexes of order 20 that the line's own numbers make up: decoded cells, as Morton codes."""
+    h = (F.col("x") * 1000003 + F.col("y") * 777).bitwiseAND(W.word((1 << 60) - 1))
+    return W.layered(_points(spark, sf_dir), v=lambda let: curves.morton3_from_hilbert(h, 20, let)).select("o", "n", "v")
+
+
+def morton2_decode_columns(spark, sf_dir):
+    p = _points(spark, sf_dir).withColumn("m", F.col("x") * 1000003 + F.col("y") * 777)
+    return curves.with_xy(p, F.col("m"), "dx", "dy", "morton", ORDER).select("o", "n", "dx", "dy")
+
+
 def hilbert_path_adjacent(spark, sf_dir):
     """Steps of the curve that do not lead to a neighbouring cell: none."""
     h = spark.range(1 << 16).withColumnRenamed("id", "h")
@@ -87,6 +103,30 @@ h AS (SELECT x0 AS x, y0 AS y, d AS v FROM s WHERE l = -1)
 {select}"""
 
 
+#: A published state table of the 3D curve, frame | octant to frame | digit, with its own numbering of
+#: frames (eight entries each), and its inverse.
+CELL_TO_INDEX3 = [
+    48, 33, 27, 34, 47, 78, 28, 77, 66, 29, 51, 52, 65, 30, 72, 63, 76, 95, 75, 24, 53, 54, 82, 81, 18, 3, 17, 80, 61, 4, 62, 15,
+    0, 59, 71, 60, 49, 50, 86, 85, 84, 83, 5, 90, 79, 56, 6, 89, 32, 23, 1, 94, 11, 12, 2, 93, 42, 41, 13, 14, 35, 88, 36, 31,
+    92, 37, 87, 38, 91, 74, 8, 73, 46, 45, 9, 10, 7, 20, 64, 19, 70, 25, 39, 16, 69, 26, 44, 43, 22, 55, 21, 68, 57, 40, 58, 67,
+]
+INDEX_TO_CELL3 = [
+    48, 33, 35, 26, 30, 79, 77, 44, 78, 68, 64, 50, 51, 25, 29, 63, 27, 87, 86, 74, 72, 52, 53, 89, 83, 18, 16, 1, 5, 60, 62, 15,
+    0, 52, 53, 57, 59, 87, 86, 66, 61, 95, 91, 81, 80, 2, 6, 76, 32, 2, 6, 12, 13, 95, 91, 17, 93, 41, 40, 36, 38, 10, 11, 31,
+    14, 79, 77, 92, 88, 33, 35, 82, 70, 10, 11, 23, 21, 41, 40, 4, 19, 25, 29, 47, 46, 68, 64, 34, 45, 60, 62, 71, 67, 18, 16, 49,
+]
+
+
+def _hilbert3_sql(code: str, order: int, table: list[int]) -> str:
+    """A code's digits of three bits through the table, from the top."""
+    return f"""WITH RECURSIVE p AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS x, l_suppkey AS y FROM lineitem),
+c AS (SELECT o, n, {code} AS c FROM p),
+s AS (SELECT c AS c0, c, 0::BIGINT AS v, 0 AS f, {order - 1} AS l FROM (SELECT DISTINCT c FROM c)
+ UNION ALL SELECT c0, c, v * 8 + (e & 7), e & 120, l - 1 FROM (SELECT *, list_extract({table}, f + ((c >> (3 * l)) & 7) + 1) AS e FROM s WHERE l >= 0))
+SELECT c.o, c.n, s.v FROM c JOIN s ON s.c0 = c.c WHERE s.l = -1"""
+
+
+_MORTON3 = "list_sum(list_transform(range({n}), lambda j: (((x >> j) & 1) << (3 * j)) | (((y >> j) & 1) << (3 * j + 1)) | (((n::BIGINT >> j) & 1) << (3 * j + 2))))::BIGINT"
 _MORTON = "list_sum(list_transform(range({n}), lambda j: ((({x} >> j) & 1) << (2 * j)) | ((({y} >> j) & 1) << (2 * j + 1))))::BIGINT"
 
 # --- rectangles ---------------------------------------------------------------
@@ -444,7 +484,7 @@ QUERIES: dict = {
     **{f"bitmap_{how}": _combine(how) for how in ("and", "or", "xor", "andnot")},
 }
 for _f in (
-    hilbert2_encode, hilbert2_decode, morton2_columns, hilbert_from_morton, morton_from_hilbert, hilbert3_encode, hilbert3_decode, hilbert_path_adjacent, quantise,
+    hilbert2_encode, hilbert2_decode, morton2_columns, hilbert_from_morton, morton_from_hilbert, hilbert3_encode, hilbert3_decode, hilbert3_from_morton, morton3_from_hilbert, morton2_decode_columns, hilbert_path_adjacent, quantise,
     spatial_orders_days, zone_map_prune, quadtree_rollup, spatial_range_join,
     bitmap_from_positions, bitmap_positions, bitmap_count_ones, bitmap_bit, bitmap_set_bits, bitmap_clear_bits, bitmap_rank, bitmap_rank0, bitmap_select, bitmap_next_set, bitmap_find_run, bitmap_directory, bitmap_filter_pack, bitmap_prime_sieve,
     edit_distance, edit_distance_conversations, edit_distance_conversations_whole, fuzzy_topk, fuzzy_join, fuzzy_substring_distance, fuzzy_search, fuzzy_occurrences,
@@ -460,6 +500,10 @@ ORACLES: dict = {
     "morton2_columns": _P + f" SELECT o, n, {_MORTON.format(x='x', y='y', n=31)} AS v FROM p",
     "hilbert_from_morton": _hilbert_sql("SELECT p.o, p.n, h.v FROM p JOIN h USING (x, y)"),
     "morton_from_hilbert": _P + f" SELECT o, n, {_MORTON.format(x='x', y='y', n=31)} AS v FROM p",
+    "hilbert3_encode": _hilbert3_sql(_MORTON3.format(n=16), 16, CELL_TO_INDEX3),
+    "hilbert3_from_morton": _hilbert3_sql(_MORTON3.format(n=17), 17, CELL_TO_INDEX3),
+    "morton3_from_hilbert": _hilbert3_sql("((x * 1000003 + y * 777) & 1152921504606846975)", 20, INDEX_TO_CELL3),
+    "morton2_decode_columns": _P + f" SELECT o, n, {'list_sum(list_transform(range(31), lambda j: (((x * 1000003 + y * 777) >> (2 * j)) & 1) << j))::BIGINT'} AS dx, {'list_sum(list_transform(range(31), lambda j: (((x * 1000003 + y * 777) >> (2 * j + 1)) & 1) << j))::BIGINT'} AS dy FROM p",
     "hilbert3_decode": _P + " SELECT o, n, x AS dx, y AS dy, n::BIGINT AS dz FROM p",
     "hilbert_path_adjacent": "SELECT 0::BIGINT AS breaks",
     "quantise": "SELECT c_custkey, least(greatest(floor((c_acctbal - -1000.0) / (10000.0 - -1000.0) * 1048575), 0), 1048575)::BIGINT AS cell FROM customer",

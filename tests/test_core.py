@@ -58,18 +58,25 @@ def test_hilbert2_is_the_textbook_curve(spark, order):
         assert r.h == words.signed(xy2d(r.x, r.y, order)) and (r.a, r.b) == (r.x, r.y)
 
 
-def test_hilbert3_steps_are_neighbours():
-    encode, _ = curves.tables3()
-    for order in (1, 2, 3):
-        n, at = 1 << order, {}
-        for cell in ((x, y, z) for x in range(n) for y in range(n) for z in range(n)):
-            x, y, z = curves._rotated(cell, 21 - order)
-            frame = index = 0
-            for level in range(order - 1, -1, -1):
-                step = encode[8 * frame + ((x >> level & 1) | (y >> level & 1) << 1 | (z >> level & 1) << 2)]
-                index, frame = index << 3 | step & 7, step >> 3
-            at[index] = cell
-        assert all(sum(abs(a - b) for a, b in zip(at[i], at[i + 1], strict=True)) == 1 for i in range(n**3 - 1))
+def walk3(code, order, table):
+    frame = out = 0
+    for level in range(order - 1, -1, -1):
+        step = table[frame | (code >> 3 * level & 7)]
+        frame, out = step & ~7, out << 3 | step & 7
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4, 5, 16, 20, 21])
+def test_hilbert3_is_the_published_curve(spark, order):
+    from bitlake.plans.frame_queries import CELL_TO_INDEX3, INDEX_TO_CELL3
+
+    rng = random.Random(order)
+    cells = [(x, y, z) for x in range(1 << order) for y in range(1 << order) for z in range(1 << order)] if order < 4 else [tuple(rng.getrandbits(order) for _ in range(3)) for _ in range(300)]
+    df = words.layered(spark.createDataFrame(cells, "x long, y long, z long"), h=lambda let: curves.hilbert3(F.col("x"), F.col("y"), F.col("z"), order, let))
+    df = words.layered(df, m=lambda let: curves.morton3_from_hilbert(F.col("h"), order, let))
+    for r in words.layered(df, back=lambda let: curves.hilbert3_from_morton(F.col("m"), order, let)).collect():
+        code = sum((c >> i & 1) << 3 * i + j for j, c in enumerate((r.x, r.y, r.z)) for i in range(order))
+        assert (r.h, r.m, r.back) == (walk3(code, order, CELL_TO_INDEX3), code, r.h) and walk3(r.h, order, INDEX_TO_CELL3) == code
 
 
 def test_cover_and_intersects():
