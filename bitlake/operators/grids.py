@@ -9,15 +9,24 @@ from bitlake.functions import bits as B
 from bitlake.functions import words as W
 from bitlake.functions.words import word
 
+#: Rows of a grid that one task looks at together.
+BAND = 4096
+
 
 def block_starts(grid: DataFrame, w: int, h: int) -> DataFrame:
     """grid with ``starts``: columns where a block of w x h set cells starts; zero in rows with fewer than h rows from them on."""
     W._within(w, 1, 64, "width")
     if h < 1:
         raise ValueError("a block has one row at least")
-    down = Window.partitionBy("grid_id").orderBy("row").rowsBetween(0, h - 1)
+    # Bands of rows, each with copies of the h - 1 rows below it, so that one grid spreads over tasks.
+    rows = max(BAND, h)
+    band = F.floor(F.col("row") / rows)
+    more = F.array_compact(F.array(band, F.when(F.col("row") - band * rows < h - 1, band - 1)))
+    cut = grid.withColumn("__band", F.explode(more))
+    down = Window.partitionBy("grid_id", "__band").orderBy("row").rowsBetween(0, h - 1)
     tall = F.when((F.count("*").over(down) == h) & (F.max("row").over(down) == F.col("row") + h - 1), F.bit_and("word").over(down)).otherwise(word(0))
-    return W.layered(grid.withColumn("tall", tall), starts=lambda let: B.run_starts(F.col("tall"), w, let=let)).drop("tall")
+    own = cut.withColumn("tall", tall).where(F.floor(F.col("row") / rows) == F.col("__band")).drop("__band")
+    return W.layered(own, starts=lambda let: B.run_starts(F.col("tall"), w, let=let)).drop("tall")
 
 
 def find_block(grid: DataFrame, w: int, h: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitlake.operators import curves
@@ -39,21 +39,35 @@ def range_query(df: DataFrame, x: str, y: str, xs: tuple, ys: tuple, key: str =
     return df.where(key_predicate(F.col(key), ranges)).where(exact)
 
 
-def zone_map(df: DataFrame, key: str, rows: int = 1024) -> DataFrame:
-    """(block, first, last, rows) of runs of about ``rows`` keys in key order.
+def zones_of_keys(df: DataFrame, key: str, rows: int = 1024) -> DataFrame:
+    """(key, block, n) for every run of ``rows`` rows in key order: how many rows of a key stand in a block.
 
-    Blocks are cut by the key's quantiles, which come from a distributed sketch; the bounds are exact.
+    Equal keys are counted first. Ranges of keys, written sorted, give each range the rows before it and each
+    key its first place; a frequent key spans many blocks, which are spelt out in two steps.
     """
-    n = df.count()
-    blocks = max(1, -(-n // rows))
-    cuts = df.approxQuantile(key, [i / blocks for i in range(1, blocks)], 0.25 / blocks) if 1 < blocks <= 10_000 else []
-    if blocks > 10_000:
-        numbered = df.repartitionByRange(blocks, key).withColumn("block", F.spark_partition_id())
-    else:
-        cuts = sorted({int(c) for c in cuts})
-        below = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-        numbered = df.withColumn("block", F.size(F.filter(below, lambda c: c < F.col(key))) if cuts else F.lit(0))
-    return numbered.groupBy("block").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("rows"))
+    from bitlake import sources
+
+    spark = df.sparkSession
+    counted = df.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("c"))
+    parts = max(1, spark.sparkContext.defaultParallelism)
+    path = sources.scratch_path(spark, "keys")
+    counted.repartitionByRange(parts, "key").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    held = spark.read.schema("key long, c long, part int").parquet(path)
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    before = held.groupBy("part").agg(F.sum("c").alias("s")).select("part", F.coalesce(F.sum("s").over(upto), F.lit(0)).alias("before"))
+    within = Window.partitionBy("part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = held.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.coalesce(F.sum("c").over(within), F.lit(0)))
+    first, last = F.expr(f"start div {rows}"), F.expr(f"(start + c - 1) div {rows}")
+    step = 1 << 16
+    runs = placed.select("key", "start", "c", F.explode(F.sequence(first, last, F.lit(step).cast("long"))).alias("b"), last.alias("last"))
+    blocks = runs.select("key", "start", "c", F.explode(F.sequence("b", F.least(F.col("b") + step - 1, F.col("last")))).alias("block"))
+    n = F.least(F.col("start") + F.col("c"), (F.col("block") + 1) * rows) - F.greatest("start", F.col("block") * rows)
+    return blocks.select("key", "block", n.alias("n"))
+
+
+def zone_map(df: DataFrame, key: str, rows: int = 1024) -> DataFrame:
+    """(block, first, last, rows) of runs of ``rows`` rows in key order; the last may be shorter. Null keys stand first."""
+    return zones_of_keys(df, key, rows).groupBy("block").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.sum("n").alias("rows"))
 
 
 def prune(zones: DataFrame, xs: tuple, ys: tuple, curve: str = "hilbert", order: int = curves.ORDER2) -> DataFrame:
@@ -72,22 +86,22 @@ def prune(zones: DataFrame, xs: tuple, ys: tuple, curve: str = "hilbert", order:
     return zones.mapInArrow(run, schema)
 
 
-def range_join(points: DataFrame, boxes: DataFrame, x: str, y: str, cells: int = 64) -> DataFrame:
+def range_join(points: DataFrame, boxes: DataFrame, x: str, y: str) -> DataFrame:
     """points joined to every box (x0, x1, y0, y1, inclusive) they lie in.
 
-    Both sides meet on cells of a grid, so that the join is an equi-join: a box stands in each cell that
-    it touches. The cell's side is chosen from the largest box, so that a box touches ``cells`` cells at
-    most; points get one cell each.
+    Both sides meet on cells of grids, so that the join is an equi-join. Each box has the level of its own longer
+    side: its cells are at least as long as that, so that it touches four at most, however large other boxes are.
+    Points get one cell on each level that a box has, of which there are at most 64.
     """
-    most = boxes.agg(F.max(F.col("x1") - F.col("x0")), F.max(F.col("y1") - F.col("y0"))).first()
-    shift = 0
-    while ((int(most[0] or 0) >> shift) + 2) * ((int(most[1] or 0) >> shift) + 2) > cells:
-        shift += 1
-    down = lambda c: F.shiftright(F.col(c).cast("long"), shift)
-    b = boxes.where("x0 <= x1 and y0 <= y1").withColumn("__cx", F.explode(F.sequence(down("x0"), down("x1")))).withColumn("__cy", F.explode(F.sequence(down("y0"), down("y1"))))
-    p = points.withColumn("__cx", down(x)).withColumn("__cy", down(y))
+    b = boxes.where("x0 <= x1 and y0 <= y1")
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).cast("long") + 1
+    b = b.withColumn("__level", F.length(F.bin(side)))
+    levels = sorted(r[0] for r in b.select("__level").distinct().collect())  # at most 64 numbers
+    down = lambda c: F.call_function("shiftright", F.floor(c).cast("long"), F.col("__level"))
+    b = b.withColumn("__cx", F.explode(F.sequence(down("x0"), down("x1")))).withColumn("__cy", F.explode(F.sequence(down("y0"), down("y1"))))
+    p = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("__cx", down(x)).withColumn("__cy", down(y))
     inside = F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1"))
-    return p.join(b, ["__cx", "__cy"]).where(inside).drop("__cx", "__cy")
+    return p.join(b, ["__level", "__cx", "__cy"]).where(inside).drop("__level", "__cx", "__cy")
 
 
 def quadtree_rollup(df: DataFrame, key: str, levels: int) -> DataFrame:

@@ -90,10 +90,10 @@ def quantise(spark, sf_dir):
     return c.select("c_custkey", curves.quantise(F.col("c_acctbal"), -1000.0, 10000.0, 20).alias("cell"))
 
 
-def _hilbert_sql(select: str) -> str:
+def _hilbert_sql(select: str, cells: str = "SELECT x, y FROM p") -> str:
     """The index digit by digit from the top: rotate and reflect what is left after each quadrant."""
     return f"""WITH RECURSIVE p AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS x, l_suppkey AS y FROM lineitem),
-s AS (SELECT x AS x0, y AS y0, x, y, 0::BIGINT AS d, {ORDER - 1}::BIGINT AS l FROM (SELECT DISTINCT x, y FROM p)
+s AS (SELECT x AS x0, y AS y0, x, y, 0::BIGINT AS d, {ORDER - 1}::BIGINT AS l FROM (SELECT DISTINCT x, y FROM ({cells}))
  UNION ALL SELECT x0, y0,
    CASE WHEN ry = 1 THEN x & b WHEN rx = 1 THEN b - (y & b) ELSE y & b END,
    CASE WHEN ry = 1 THEN y & b WHEN rx = 1 THEN b - (x & b) ELSE x & b END,
@@ -155,11 +155,16 @@ def spatial_orders_days(spark, sf_dir):
 
 def zone_map_prune(spark, sf_dir):
     """Points in the rectangle, counted over the blocks that may hold them and over all: the same."""
-    p = _indexed(_points(spark, sf_dir))
-    zones = spatial.prune(spatial.zone_map(p, "cell_key"), *BOX)
-    inside = p.where(F.col("x").between(*BOX[0]) & F.col("y").between(*BOX[1])).groupBy("cell_key").count()
-    met = inside.join(F.broadcast(zones), F.col("cell_key").between(F.col("first"), F.col("last")))
-    return met.agg(F.sum("count").alias("n"))
+    keyed = _indexed(_points(spark, sf_dir))
+    zones = spatial.prune(spatial.zone_map(keyed, "cell_key"), *BOX)
+    inside = keyed.where(F.col("x").between(*BOX[0]) & F.col("y").between(*BOX[1])).select(F.col("cell_key").alias("key")).distinct()
+    met = spatial.zones_of_keys(keyed, "cell_key").join(inside, "key", "left_semi").join(zones.select("block"), "block")
+    return met.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def zone_map_blocks(spark, sf_dir):
+    """The blocks of 1024 rows in key order that may hold a point of the rectangle."""
+    return spatial.prune(spatial.zone_map(_indexed(_points(spark, sf_dir)), "cell_key"), *BOX)
 
 
 def quadtree_rollup(spark, sf_dir):
@@ -485,7 +490,7 @@ QUERIES: dict = {
 }
 for _f in (
     hilbert2_encode, hilbert2_decode, morton2_columns, hilbert_from_morton, morton_from_hilbert, hilbert3_encode, hilbert3_decode, hilbert3_from_morton, morton3_from_hilbert, morton2_decode_columns, hilbert_path_adjacent, quantise,
-    spatial_orders_days, zone_map_prune, quadtree_rollup, spatial_range_join,
+    spatial_orders_days, zone_map_prune, zone_map_blocks, quadtree_rollup, spatial_range_join,
     bitmap_from_positions, bitmap_positions, bitmap_count_ones, bitmap_bit, bitmap_set_bits, bitmap_clear_bits, bitmap_rank, bitmap_rank0, bitmap_select, bitmap_next_set, bitmap_find_run, bitmap_directory, bitmap_filter_pack, bitmap_prime_sieve,
     edit_distance, edit_distance_conversations, edit_distance_conversations_whole, fuzzy_topk, fuzzy_join, fuzzy_substring_distance, fuzzy_search, fuzzy_occurrences,
     grid_block_starts, grid_find_block, grid_fill_block, grid_clear_block, json_structure, byte_class_counts, byte_map,
@@ -511,6 +516,13 @@ ORACLES: dict = {
     "spatial_range_morton": _FLAG,
     "spatial_orders_days": "SELECT * FROM (SELECT o_orderkey, o_custkey AS x, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS y FROM orders) WHERE x BETWEEN 50 AND 400 AND y BETWEEN 300 AND 900",
     "zone_map_prune": f"SELECT count(*) AS n FROM lineitem WHERE {_BOX_SQL}",
+    # A block may hold a point of the rectangle where the rectangle has a cell between its first and last key.
+    "zone_map_blocks": _hilbert_sql(
+        """, k AS (SELECT v, (row_number() OVER (ORDER BY v) - 1) // 1024 AS block FROM p JOIN h USING (x, y)),
+z AS (SELECT block, min(v) AS first, max(v) AS last, count(*) AS rows FROM k GROUP BY block)
+SELECT * FROM z WHERE EXISTS (SELECT 1 FROM h WHERE x BETWEEN %d AND %d AND y BETWEEN %d AND %d AND v BETWEEN first AND last)""" % (*BOX[0], *BOX[1]),
+        "SELECT x, y FROM p UNION ALL SELECT i AS x, j AS y FROM range(%d, %d) a(i), range(%d, %d) b(j)" % (BOX[0][0], BOX[0][1] + 1, BOX[1][0], BOX[1][1] + 1),
+    ),
     "quadtree_rollup": _P + f" SELECT {_MORTON.format(x='(x >> 5)', y='(y >> 5)', n=26)} AS cell, count(*) AS n FROM p GROUP BY 1",
     "spatial_range_join": "SELECT o_orderkey, s_suppkey AS box FROM orders, supplier WHERE o_custkey BETWEEN s_suppkey * 13 % 1200 AND s_suppkey * 13 % 1200 + 40 AND o_orderkey % 1000 BETWEEN s_suppkey * 7 % 900 AND s_suppkey * 7 % 900 + 25",
     "bitmap_from_positions": _words_sql("SELECT * FROM e"),

@@ -132,3 +132,39 @@ def test_runs_go_on_into_the_next_word(spark):
     for k in (1, 3, 6, 64):
         want = {(b, next(p for p in ps if all(p + i in ps for i in range(k)))) for b, ps in held.items() if any(all(p + i in ps for i in range(k)) for p in ps)}
         assert {tuple(r) for r in bitmaps.find_run(words, k).collect()} == want
+
+
+def test_zone_map_of_a_frequent_key(spark):
+    from bitlake.operators import spatial
+
+    keys = sorted([7] * 50 + [i * i % 31 for i in range(40)])
+    got = sorted(tuple(r) for r in spatial.zone_map(spark.createDataFrame([(k,) for k in keys], "k long"), "k", 8).collect())
+    assert got == [(i, min(b), max(b), len(b)) for i, b in enumerate(keys[j : j + 8] for j in range(0, len(keys), 8))]
+
+
+def test_range_join_of_boxes_of_all_sizes(spark):
+    import random
+
+    from bitlake.operators import spatial
+
+    rng = random.Random(4)
+    points = [(i, rng.randrange(-50, 400), rng.randrange(0, 400)) for i in range(150)]
+    boxes = [(i, x := rng.randrange(-60, 300), x + rng.choice([-1, 0, 3, 200]), y := rng.randrange(0, 300), y + rng.choice([0, 5, 90])) for i in range(40)]
+    want = sorted((p, b) for p, x, y in points for b, x0, x1, y0, y1 in boxes if x0 <= x <= x1 and y0 <= y <= y1)
+    got = spatial.range_join(spark.createDataFrame(points, "p int, x long, y long"), spark.createDataFrame(boxes, "b int, x0 long, x1 long, y0 long, y1 long"), "x", "y")
+    assert sorted(map(tuple, got.select("p", "b").collect())) == want
+
+
+def test_blocks_over_bands_of_rows(spark, monkeypatch):
+    import random
+
+    from bitlake.operators import grids
+
+    monkeypatch.setattr(grids, "BAND", 4)
+    rng = random.Random(5)
+    rows = {(g, r): rng.getrandbits(6) | rng.getrandbits(6) for g in (1, 2) for r in range(-5, 30) if rng.random() < 0.95}
+    df = spark.createDataFrame([(g, r, w) for (g, r), w in rows.items()], "grid_id int, row long, word long")
+    for w, h in ((1, 1), (2, 3), (1, 6)):
+        block = ((1 << w) - 1)
+        want = {(g, r, sum(1 << c for c in range(64) if all(rows.get((g, r + i), 0) >> c & block == block for i in range(h)))) for g, r in rows}
+        assert {(x.grid_id, x.row, x.starts) for x in grids.block_starts(df, w, h).collect()} == want
