@@ -38,6 +38,8 @@ K = 20
 #: Kept suffixes a task sorts, and those of one k-word start that a single task may get.
 ROWS_PER_TASK = 50_000
 HOT = 50_000
+#: Bits of the filter that tells which texts have a partner in a join.
+FILTER_BITS = 27
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that its powers can be undone modulo 2**64
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -226,11 +228,32 @@ def _merged(pairs: list[tuple[int, int]]) -> list[dict]:
     return [{"begin": b, "end": e} for b, e in out]
 
 
-def _spread(flat: DataFrame, length: int) -> DataFrame:
-    """Spans of kept suffixes too frequent for one task: rows of window hashes, summed before they are shuffled."""
-    flat = flat.withColumn("me", F.struct(F.col("first").isNull(), "first", "tkey", "at"))
-    ends = flat.groupBy("w").agg(F.min("me").alias("lo"), F.max("me").alias("hi")).where("lo <> hi").select("w", "lo")
-    return flat.join(ends, "w").select("tkey", F.col("at").alias("begin"), (F.col("at") + length).alias("end"), (F.col("me") == F.col("lo")).alias("stays"), F.col("lo.first").alias("source"))
+def _spread(flat: DataFrame, length: int, total: int) -> DataFrame:
+    """Spans of kept suffixes too frequent for one task: rows of window hashes, summed before they are shuffled.
+
+    Windows that make up a hundred-thousandth of all rows or more are few, and go to the rows; the others are joined.
+    """
+    flat = materialize(flat.withColumn("me", F.struct(F.col("first").isNull(), "first", "tkey", "at")), "flat")
+    ends = flat.groupBy("w").agg(F.min("me").alias("lo"), F.max("me").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("w", "lo", "m")
+    ends = materialize(ends, "ends")
+    often = max(1_000, total * (LENGTH - K + 1) // 100_000)
+    hot, rest = F.broadcast(ends.where(F.col("m") >= often).drop("m")), ends.where(F.col("m") < often).drop("m")
+    met = flat.join(hot, "w").unionByName(flat.join(hot.select("w"), "w", "left_anti").join(rest, "w"))
+    return met.select("tkey", F.col("at").alias("begin"), (F.col("at") + length).alias("end"), (F.col("me") == F.col("lo")).alias("stays"), F.col("lo.first").alias("source"))
+
+
+def _marked(df: DataFrame, key: str, keys: DataFrame, out: str) -> DataFrame:
+    """df with a flag that is false only where the key (binary) is not among keys (one column), so that rows
+    without a partner need not move. The filter has a fixed number of bits: 4096 rows of 4 KB at most."""
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    bucket, bits = scratch(df, "bucket"), scratch(df, "bits")
+    chosen = keys.select(place(F.col(keys.columns[0])).alias("p")).distinct().select(F.shiftright("p", 15).cast("int").alias(bucket), F.col("p").bitwiseAND(F.lit(32767)).alias("p"))
+    held = chosen.repartition(bucket).groupBy(bucket).agg(F.call_function("bitmap_construct_agg", F.col("p")).alias(bits))
+    at = place(F.col(key))
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.shiftright(at.bitwiseAND(F.lit(32767)), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    flag = F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1
+    joined = df.join(F.broadcast(held), F.shiftright(at, 15).cast("int") == F.col(bucket), "left")
+    return joined.withColumn(out, F.coalesce(F.col(key).isNotNull() & flag, F.lit(False))).drop(bucket, bits)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -246,8 +269,10 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = H
     kept = rows.groupBy("tkey").agg(F.first(F.arrays_zip("starts", "at")).alias("s")).select("tkey", F.explode("s").alias("s")).select("tkey", "s.starts", "s.at")
     common = materialize(kept.groupBy("starts").agg(F.count("*").alias("m")).where("m > 1"), "common")
     places = kept.join(common.select("starts"), "starts", "left_semi").groupBy("tkey").agg(F.collect_list("at").alias("places"))
-    wanted = places.join(texts.select("tkey", "first"), "tkey")
-    found = _keyed(docs).join(wanted, "tkey").where(F.col("doc_id").eqNullSafe(F.col("first"))).select("tkey", "first", "text", "places")
+    wanted = materialize(places.join(texts.select("tkey", "first"), "tkey"), "wanted")
+    # Texts without a start in common stay where they are.
+    found = _marked(_keyed(docs), "tkey", wanted.select("tkey"), "maybe").where("maybe").drop("maybe")
+    found = found.join(wanted.hint("merge"), "tkey").where(F.col("doc_id").eqNullSafe(F.col("first"))).select("tkey", "first", "text", "places")
     if rows.groupBy("tkey", "doc_id").count().where("count > 1").limit(1).count():
         found = found.dropDuplicates(["tkey"])
     size = common.agg(F.sum("m"), F.max("m")).first()
@@ -264,7 +289,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = H
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // ROWS_PER_TASK))
     out = _windows(found, k, length, many, False).repartition(tasks, "start").mapInArrow(run, spans)
     if len(many):
-        out = out.union(_spread(_windows(found, k, length, many, True), length))
+        out = out.union(_spread(_windows(found, k, length, many, True), length, total))
     gathered = out.groupBy("tkey").agg(F.collect_set(F.struct("begin", "end", "stays")).alias("spans"), F.collect_set("source").alias("sources"))
     pair = "array<struct<begin:int,end:int>>"
     schema = T.StructType([T.StructField("tkey", T.BinaryType()), T.StructField("repeated", T._parse_datatype_string(pair)), T.StructField("removed", T._parse_datatype_string(pair)), gathered.schema["sources"]])
@@ -324,17 +349,16 @@ def cut_words(text: str, spans: list[dict]) -> str:
 def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
     """docs with only the first occurrence of each repeated passage; documents left without words go."""
     _, texts = find_repeats(docs, length, k, hot)
-    tkey, first, removed = scratch(docs, "tkey"), scratch(docs, "first"), scratch(docs, "removed")
-    changed = texts.where("copies > 1 or size(removed) > 0").select(F.col("tkey").alias(tkey), F.col("first").alias(first), F.col("removed").alias(removed), (F.col("copies") > 1).alias("__many"))
-    # Rows without text have no key to meet, and differ so that they do not meet in one task.
-    key = F.when(F.col("text").isNotNull(), F.unhex(F.md5(F.col("text").cast("binary")))).otherwise(F.unhex(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    joined = docs.withColumn(tkey, key).join(changed, tkey, "left")
-    copy = F.coalesce(F.col("__many") & ~F.col("doc_id").eqNullSafe(F.col(first)), F.lit(False))
-    kept = joined.where(~copy | F.col("text").isNull())
-    if _repeated_rows(docs, changed, tkey, first):
-        again = F.when(F.coalesce("__many", F.lit(False)) & F.col("text").isNotNull(), F.row_number().over(Window.partitionBy(tkey).orderBy(F.lit(1)))).otherwise(1)
-        kept = kept.withColumn("__again", again).where("__again = 1").drop("__again")
-    kept = kept.drop(tkey, first, "__many")
+    tkey, first, removed, many, again, maybe = (scratch(docs, x) for x in ("tkey", "first", "removed", "many", "again", "maybe"))
+    changed = texts.where("copies > 1 or size(removed) > 0").select(F.col("tkey").alias(tkey), F.col("first").alias(first), F.col("removed").alias(removed), (F.col("copies") > 1).alias(many))
+    # Only texts that may have a verdict move to it; null texts have none.
+    marked = _marked(docs.withColumn(tkey, F.unhex(F.md5(F.col("text").cast("binary")))), tkey, changed.select(tkey), maybe)
+    joined = marked.where(F.col(maybe)).join(changed.hint("merge"), tkey, "left")
+    copy = F.coalesce(F.col(many) & ~F.col("doc_id").eqNullSafe(F.col(first)), F.lit(False))
+    kept = joined.where(~copy)
+    if _repeated_rows(docs, changed.where(F.col(many)), tkey, first):
+        place = F.when(F.coalesce(F.col(many), F.lit(False)), F.row_number().over(Window.partitionBy(tkey).orderBy(F.lit(1)))).otherwise(1)
+        kept = kept.withColumn(again, place).where(F.col(again) == 1)
     at, names = docs.columns.index("text"), docs.columns
 
     def run(batches):
@@ -345,11 +369,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int
             columns = [pa.array(new, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(stay)
 
-    return kept.select(*names, removed).mapInArrow(run, docs.schema)
+    return marked.where(~F.col(maybe)).select(*names).union(kept.select(*names, removed).mapInArrow(run, docs.schema))
 
 
-def _repeated_rows(docs: DataFrame, changed: DataFrame, tkey: str, first: str) -> bool:
+def _repeated_rows(docs: DataFrame, copied: DataFrame, tkey: str, first: str) -> bool:
     """Whether a first copy stands in several rows."""
-    many = changed.where("__many").select(F.col(tkey).alias("tkey"), F.col(first).alias("first"))
+    many = copied.select(F.col(tkey).alias("tkey"), F.col(first).alias("first"))
     rows = _keyed(docs).select("doc_id", "tkey").join(many, "tkey").where(F.col("doc_id").eqNullSafe(F.col("first")))
     return bool(rows.groupBy("tkey").count().where("count > 1").limit(1).count())
