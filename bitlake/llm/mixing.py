@@ -71,7 +71,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: st
     digits, n = 1, rows.count()
     while n > rows_per_range * 16**digits and digits < 12:
         digits += 1
-    rows = rows.withColumn("range", F.substring("key", 1, digits))
+    # Rows without an id share one key: beside the ranges below and above it they make ranges by their size, next in the order.
+    none = F.md5(F.lit(f"{seed}:"))
+    side = F.when(F.col("key") < none, "0").when(F.col("key") > none, "2").otherwise(F.concat(F.lit("1"), F.lpad(F.col("size").cast("string"), 12, "0")))
+    rows = rows.withColumn("range", F.concat(F.substring("key", 1, digits), F.lit("-"), side))
     ranges = rows.groupBy("skey", "range").agg(F.sum("size").alias("range_size"), F.first("snull").alias("snull"))
     targets = source_targets(ranges.groupBy("skey").agg(F.first("snull").alias("snull"), F.sum("range_size").alias("source_size")), weights, max_epochs)
     before = F.sum("range_size").over(Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("range_size")
@@ -88,15 +91,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Documents that the mix does not take go, and so do those without words. Each row has a key of its
     own, so that rows which share doc_id, source and size keep what each of them was given.
     """
-    columns, row = docs.columns, scratch(docs, "row")
+    columns = docs.columns
+    row, size, taken, i = (scratch(docs, x) for x in ("row", "size", "taken", "i"))
     keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
-    taken = mix(keyed, **options, keep=(row,)).where("taken > 0").select(row, F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    joined = keyed.join(taken, row).withColumn("__copies", F.expr("(__taken + __size - 1) div __size").cast("int"))
-    copies = joined.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    left = F.col("__taken") - (F.col("__i") - 1) * F.col("__size")
+    given = mix(keyed, **options, keep=(row,)).where("taken > 0").select(row, F.col("size").alias(size), F.col("taken").alias(taken))
+    joined = keyed.join(given.hint("merge"), row)
+    copies = joined.withColumn(i, F.explode(F.sequence(F.lit(1), F.expr(f"cast((`{taken}` + `{size}` - 1) div `{size}` as int)"))))
+    left = F.col(taken) - (F.col(i) - 1) * F.col(size)
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*" + WORD + ")")), 1, left.cast("int")), "")
-    text = F.when(left >= F.col("__size"), F.col("text")).otherwise(cut)
-    return copies.select(*[(text if c == "text" else F.col(c)).alias(c) for c in columns])
+    text = F.when(left >= F.col(size), F.col("text")).otherwise(cut)
+    return copies.select(*[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in columns])
 
 
 #: DuckDB SQL for mix() over documents.

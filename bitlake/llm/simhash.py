@@ -251,11 +251,12 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = materialize(fingerprints(docs), "fp")
     classes = _classes(rows, radius)
     if not rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        stays = rows.join(classes, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-        return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+        name = scratch(docs, "id")
+        stays = rows.join(classes, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name))
+        return docs.join(stays, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
     # Rows that share a doc_id are told apart by their fingerprints, and within a component by their texts.
-    fp = scratch(docs, "fp")
-    named = classes.select(F.col("fp").alias(fp), F.col("root").alias("__root"), F.col("component_id").alias("__component"))
-    least = _with_fingerprint(docs, fp).join(named, fp).where(F.col("doc_id").eqNullSafe(F.col("__component")))
-    first = F.row_number().over(Window.partitionBy("__root").orderBy("text"))
-    return least.withColumn("__first", first).where("__first = 1").select(*docs.columns)
+    fp, root, component, first = (scratch(docs, x) for x in ("fp", "root", "component", "first"))
+    named = classes.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(component))
+    least = _with_fingerprint(docs, fp).join(named, fp).where(F.col("doc_id").eqNullSafe(F.col(component)))
+    place = F.row_number().over(Window.partitionBy(root).orderBy("text"))
+    return least.withColumn(first, place).where(F.col(first) == 1).select(*docs.columns)

@@ -82,6 +82,30 @@ def test_quality_rules(docs, none, labels, rows):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in out)
 
 
+def test_quality_rules_certify_planted_labels(spark):
+    """Bad texts shout; so does one good text in fifty. A stratum with few labels applies no rule."""
+    rng, rows, labelled = random.Random(6), [], []
+    for i in range(2200):
+        lang, good = ("aa" if i < 1400 else "bb" if i < 2150 else "cc"), i % 5 > 0
+        text = words(rng, 30)
+        rows.append((i, text.upper() if not good or rng.random() < 0.02 else text, lang))
+        labelled.append((i, int(good), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in quality_rules.apply_rules(docs, spark.createDataFrame(labelled, "doc_id long, quality int, toxic int")).collect()}
+    for lang, rejects in (("aa", True), ("bb", True), ("cc", False)):
+        kept = {good: [out[i].kept for i, _, l in rows if l == lang and (i % 5 > 0) == good and not out[i].base_failed] for good in (True, False)}
+        lost, caught = (1 - sum(k) / len(k) for k in (kept[True], kept[False]))
+        assert lost < quality_rules.ALPHA and caught == (1 if rejects else 0) and (lost > 0) == rejects
+
+
+def test_columns_may_have_the_names_of_helpers(spark, rows, labels):
+    names = ["__k", "__q", "__size", "__taken", "__n", "__i", "__id", "__many", "__c", "__stratum", "__row", "__first", "__root", "__component", "__again", "__tkey", "__fp", "__removed"]
+    docs = spark.createDataFrame([(*r[:5], *[f"{r[0]}:{n}" for n in names]) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for made in (quality_rules.kept_documents(docs, labels), simhash.one_of_each(docs), suffix_dedup.without_repeats(docs), mixing.mixed_documents(docs)):
+        out = made.collect()
+        assert made.columns == docs.columns and out and all(r[n] == f"{r.doc_id}:{n}" for r in out for n in names)
+
+
 def test_binomial_tail(spark):
     cases = spark.createDataFrame([(200, 0), (200, 3), (1000, 20), (5000, 60)], "n long, k long")
     for r in cases.withColumn("p", quality_rules.binomial_tail(F.col("n"), F.col("k"), 0.02)).collect():
@@ -316,9 +340,10 @@ def test_lm_scoring_keeps_every_context(docs, rows):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
+    sf = SF.replace("0.001", "0.01")  # so much that quality rules are certified for a stratum
     for t in ("documents", "labels", "embeddings"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    mine, want = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLES[name])
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    mine, want = queries.QUERIES[name](spark, sf), con.sql(queries.ORACLES[name])
     columns = sorted(mine.columns)
     rows = [dict(zip(want.columns, r, strict=True)) for r in want.fetchall()]
     assert sorted(str(tuple(r[c] for c in columns)) for r in mine.collect()) == sorted(str(tuple(r[c] for c in columns)) for r in rows)
