@@ -48,6 +48,8 @@ RULES: dict[str, tuple[float, ...]] = {
 STEPS = (0.0, 0.0025, 0.005, 0.01, 0.02, 0.03)
 #: The part that lays out the path: ids whose MD5 begins with a hexadecimal digit below this one.
 LAYS = "5"
+#: A table of strata is sent to all rows up to so many strata; more are joined.
+MAX_SENT = 10_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -154,10 +156,12 @@ def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
         return F.array_min(F.array_compact(F.array(*options)))
 
     path = counts.select("stratum", F.array(*[F.struct(*[tightest(r, step).alias(r) for r in rules]) for step in steps]).alias("path"))
-    tested = held.where(~F.col("lays")).join(path, "stratum")
+    path = materialize(path, "path")  # a row per stratum
+    few = path.count() <= MAX_SENT
+    tested = held.where(~F.col("lays")).join(F.broadcast(path) if few else path, "stratum")
     out = lambda j: reduce(lambda a, b: a | b, [F.coalesce(F.col(f"__q.{r}") > F.col("path")[j][r], F.lit(False)) for r in rules])
     sums = [F.count_if(out(j) & side).alias(f"{name}_{j}") for j in range(len(steps)) for side, name in ((good, "lost"), (bad, "caught"))]
-    counts = tested.groupBy("stratum").agg(F.first("path").alias("path"), *totals, *sums).withColumn("strata", F.count("*").over(Window.partitionBy()))
+    counts = tested.groupBy("stratum").agg(*totals, *sums).withColumn("strata", F.count("*").over(Window.partitionBy())).join(path, "stratum")
     sure, options = F.col("good") > 0, []
     for j in range(len(steps)):
         lost = F.col(f"lost_{j}")
