@@ -1,303 +1,125 @@
 """Token ids in compressed files: an adaptive context-mixing range coder over independent blocks.
 
-A block holds up to ``block`` ids and knows nothing of any other. For each id the coder asks three
-predictors: the id last seen after the same two ids (order 2), the one last seen after the same id
-(order 1), and the frequencies of ids so far (order 0). Whether order 2 is right is coded with the mean
-of two adaptive estimates, one by each predictor's confidence; failing that, whether order 1 is right;
-failing that, the id in four nibbles under adaptive order-0 distributions. Decisions drive a 32-bit
-range coder with 16-bit words. Blocks of a segment go through the coder side by side, one numpy lane
-each, which is what makes an adaptive model affordable without compiled code.
-
-File format. A file is a Parquet file with one segment a row: ``shard`` and ``segment`` order the
-segments, ``tokens`` counts their ids, ``body`` is the segment: the magic, the lengths of index and
-blocks, an Arrow IPC stream with doc_id and n_tokens of its documents in order, then the blocks. Each
-block has its number of ids, the crc32 of the ids as little-endian unsigned 32-bit numbers, its number
-of words and the words. Readers check every block's checksum.
+The coder is IdCoder.java beside this file: orders 2 and 1 guess an id, whether a guess is right is decided by a
+logistic mix of estimates of orders 0 to 2, and what neither guesses goes by its order-0 rank. It is a function of
+Spark SQL from binary to binary. The compiler that Spark itself brings for generated code compiles it once per
+session; the class goes to the executors as a jar in the shared folder. That takes a driver in the same JVM as the
+session (not a remote one).
+
+File format. A file is a Parquet file with one segment a row: ``shard`` and ``segment`` order the segments,
+``tokens`` counts their ids, ``documents`` is an Arrow IPC stream with doc_id and n_tokens of its documents in order,
+``body`` holds the blocks. Each block has its number of ids, the crc32 of the ids as little-endian unsigned 32-bit
+numbers, the bits per id and its number of bytes (four little-endian 32-bit numbers), then its code, and knows nothing
+of any other. Readers check every block's checksum.
 
 Defined cases: null and empty texts have the end id alone; null doc_ids come first and rows that share a
-doc_id come in the order of their texts; an empty table gives no segments and an empty result; ids must
-be below 65536.
+doc_id come in the order of their texts; an empty table gives no segments and an empty result; ids may have 32 bits;
+a text of any length is in one segment, so that a task holds its ids at once.
 """
 
 from __future__ import annotations
 
-import struct
+import io
 import uuid
+import zipfile
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bitlake.llm.common import shared_dir
 from bitlake.llm.tokens import store, text_batches, vocabulary_path
 
-BLOCK = 4096
-LANES = 1024
+BLOCK = 1 << 16
+#: Ids of a segment; the document that reaches it ends it.
+SEGMENT = 1 << 20
 END_ID = 2
-MAGIC = b"IDCM\x01\0\0\0"
-_HEAD = struct.Struct("<8sIII")  # magic, bytes of the index, blocks, bytes of all blocks
-_BLOCK = struct.Struct("<III")  # ids, crc32, words
-_ONE = 1 << 15  # probabilities have 15 bits
-_SLOTS = 4096
-_RATE = 5
-_NODES = 1 + 16 + 256 + 1024
-
-
-class _Coder:
-    """Lanes of a range coder with their models. Encoding and decoding take the same steps."""
-
-    def __init__(self, lanes: int):
-        self.n = lanes
-        self.low = np.zeros(lanes, np.int64)
-        self.range = np.full(lanes, 1 << 32, np.int64)
-        self.at = np.zeros(lanes, np.int64)
-        self.id1 = np.zeros(lanes * _SLOTS, np.uint16)
-        self.id2 = np.zeros(lanes * _SLOTS, np.uint16)
-        self.sure1 = np.zeros(lanes * _SLOTS, np.uint8)
-        self.sure2 = np.zeros(lanes * _SLOTS, np.uint8)
-        self.hit2 = np.full(lanes * 8, _ONE // 4, np.int32)
-        self.hit21 = np.full(lanes * 16, _ONE // 4, np.int32)
-        self.hit1 = np.full(lanes * 8, _ONE // 4, np.int32)
-        self.cdf = np.tile((np.arange(16) * (_ONE // 16)).astype(np.int16), (lanes * _NODES, 1))
-        # Where a distribution moves once symbol s was seen: every symbol keeps at least one part in 2**15.
-        j = np.arange(16)
-        self.aim = np.where(j[None, :] <= j[:, None], j[None, :], _ONE - 16 + j[None, :]).astype(np.int16)
-
-    def _literal_nodes(self, lane: np.ndarray):
-        """Distributions of the four nibbles, each from the nibbles before it."""
-        base = lane * _NODES
-        first = yield base
-        second = yield base + 1 + first
-        high = first * 16 + second
-        third = yield base + 17 + high
-        yield base + 273 + ((high * 5 + third * 67) & 1023)
-
-    def run(self, steps: int, lengths: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        """Lanes must be sorted by length, longest first. ids: (lanes, steps) to encode, None to decode."""
-        n, out = self.n, None if ids is not None else np.zeros((self.n, steps), np.int32)
-        lane_all = np.arange(n)
-        base_all, p1, p2 = lane_all * _SLOTS, np.zeros(n, np.int64), np.zeros(n, np.int64)
-        counts = np.searchsorted(-lengths, -np.arange(steps), side="left")  # lanes longer than t
-        columns = None if ids is None else np.ascontiguousarray(ids.T)
-        for t in range(steps):
-            k = int(counts[t])
-            lane, base, q1, q2 = lane_all[:k], base_all[:k], p1[:k], p2[:k]
-            s1 = base + ((q1 * 40503 >> 3) & (_SLOTS - 1))
-            s2 = base + (((q1 * 52711 + q2 * 40507) >> 3) & (_SLOTS - 1))
-            a, b, ca, cb = self.id2[s2], self.id1[s1], self.sure2[s2], self.sure1[s1]
-            e2, e21 = lane * 8 + ca, lane * 16 + (cb * 2 + (a == b))
-            w2, w21 = self.hit2[e2], self.hit21[e21]
-            p = np.clip((w2 + w21) >> 1, 64, _ONE - 64)
-            if ids is not None:
-                want = columns[t, :k]
-                hit = want == a
-                self._put(lane, np.where(hit, 0, p), np.where(hit, p, _ONE - p))
-            else:
-                hit = self._bit(lane, p)
-                want = a.astype(np.int32)
-            goal = np.where(hit, _ONE - 1, 0)
-            self.hit2[e2] = w2 + ((goal - w2) >> _RATE)
-            self.hit21[e21] = w21 + ((goal - w21) >> _RATE)
-            other = np.flatnonzero(~hit & (a != b))
-            miss = np.flatnonzero(~hit)
-            if len(other):
-                e1 = other * 8 + cb[other]
-                w1 = self.hit1[e1]
-                p = np.clip(w1, 64, _ONE - 64)
-                if ids is not None:
-                    hit1 = want[other] == b[other]
-                    self._put(other, np.where(hit1, 0, p), np.where(hit1, p, _ONE - p))
-                else:
-                    hit1 = self._bit(other, p)
-                    want[other[hit1]] = b[other[hit1]]
-                self.hit1[e1] = w1 + ((np.where(hit1, _ONE - 1, 0) - w1) >> _RATE)
-                hit[other[hit1]] = True
-                miss = np.flatnonzero(~hit)
-            if len(miss):
-                nodes, value, x = self._literal_nodes(miss), None, 0
-                for shift in (12, 8, 4, 0):
-                    node = nodes.send(value)
-                    rows = self.cdf[node]
-                    if ids is not None:
-                        value = (want[miss] >> shift) & 15
-                        self._put(miss, *self._span(rows, value))
-                    else:
-                        value = self._symbol(miss, rows)
-                        x = x * 16 + value
-                    self.cdf[node] = rows + ((self.aim[value] - rows) >> 4)
-                if ids is None:
-                    want[miss] = x
-            for sure, held, slot, c, guess in ((self.sure2, self.id2, s2, ca, a), (self.sure1, self.id1, s1, cb, b)):
-                right = want == guess
-                c = np.where(right, np.minimum(c + 1, 7), c >> 1)
-                sure[slot] = c
-                held[slot] = np.where(right | (c > 0), guess, want)
-            if out is not None:
-                out[:k, t] = want
-            p2[:k], p1[:k] = q1, want
-        return out
-
-    @staticmethod
-    def _span(rows: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i = np.arange(len(value))
-        low = rows[i, value].astype(np.int64)
-        high = np.where(value < 15, rows[i, np.minimum(value + 1, 15)].astype(np.int64), _ONE)
-        return low, high - low
-
-    # Encoding: words keep a carry bit above their 16; finish() adds the carries up.
-    def start_encoding(self, room: int) -> None:
-        self.words = np.zeros((self.n, room), np.int32)
-
-    def _put(self, lane: np.ndarray, low: np.ndarray, size: np.ndarray) -> None:
-        r = self.range[lane] >> 15
-        x, r = self.low[lane] + r * low, r * size
-        out = np.flatnonzero(r < 1 << 16)
-        if len(out):
-            at, y = lane[out], x[out]
-            self.words[at, self.at[at]] = y >> 16
-            self.at[at] += 1
-            x[out] = (y & 0xFFFF) << 16
-            r[out] <<= 16
-        self.low[lane], self.range[lane] = x, r
-
-    def finish(self) -> list[bytes]:
-        out = []
-        for i in range(self.n):
-            n, low = int(self.at[i]), int(self.low[i])
-            words = np.concatenate([[0], self.words[i, :n], [low >> 16, low & 0xFFFF]])
-            plain, carry = (words & 0xFFFF).astype(">u2").tobytes(), (words >> 16).astype(">u2").tobytes()
-            total = int.from_bytes(plain) + (int.from_bytes(carry) << 16)
-            out.append(total.to_bytes(len(plain))[2:])
-        return out
-
-    # Decoding: low holds the code's distance from the coder's low end.
-    def start_decoding(self, bodies: list[bytes]) -> None:
-        room = max(len(b) for b in bodies) // 2 + 4
-        self.words = np.zeros((self.n, room), np.int64)
-        for i, b in enumerate(bodies):
-            self.words[i, : len(b) // 2] = np.frombuffer(b, ">u2")
-        self.low = self.words[:, 0] << 16 | self.words[:, 1]
-        self.at[:] = 2
-
-    def _take(self, lane: np.ndarray, x: np.ndarray, r: np.ndarray) -> None:
-        more = np.flatnonzero(r < 1 << 16)
-        if len(more):
-            at = lane[more]
-            x[more] = x[more] << 16 | self.words[at, self.at[at]]
-            self.at[at] += 1
-            r[more] <<= 16
-        self.low[lane], self.range[lane] = x, r
-
-    def _bit(self, lane: np.ndarray, p: np.ndarray) -> np.ndarray:
-        r, x = self.range[lane] >> 15, self.low[lane]
-        edge = r * p
-        hit = x < edge
-        self._take(lane, np.where(hit, x, x - edge), np.where(hit, edge, r * (_ONE - p)))
-        return hit
-
-    def _symbol(self, lane: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        r, x = self.range[lane] >> 15, self.low[lane]
-        value = (rows <= np.minimum(x // r, _ONE - 1)[:, None]).sum(1) - 1
-        low, size = self._span(rows, value)
-        self._take(lane, x - r * low, r * size)
-        return value
-
-
-def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """The ids of a segment as coded blocks."""
-    if not len(ids):
-        return []
-    parts = [ids[i : i + block] for i in range(0, len(ids), block)]
-    lengths = np.array([len(p) for p in parts])
-    table = np.zeros((len(parts), int(lengths[0])), np.int32)
-    for i, p in enumerate(parts):
-        table[i, : len(p)] = p
-    coder = _Coder(len(parts))
-    coder.start_encoding(6 * table.shape[1] + 4)
-    coder.run(table.shape[1], lengths, table)
-    return [_BLOCK.pack(len(p), zlib.crc32(p.astype("<u4").tobytes()), len(b) // 2) + b for p, b in zip(parts, coder.finish(), strict=True)]
-
-
-def decode_blocks(raw: bytes, blocks: int) -> np.ndarray:
-    """The ids of all blocks, each checked."""
-    if not blocks:
-        return np.zeros(0, np.uint32)
-    heads, bodies, at = [], [], 0
-    for _ in range(blocks):
-        heads.append(_BLOCK.unpack_from(raw, at))
-        at += _BLOCK.size
-        bodies.append(raw[at : at + 2 * heads[-1][2]])
-        at += 2 * heads[-1][2]
-    lengths = np.array([h[0] for h in heads])
-    order = np.argsort(-lengths, kind="stable")
-    coder = _Coder(blocks)
-    coder.start_decoding([bodies[i] for i in order])
-    table = coder.run(int(lengths.max()), lengths[order], None)
-    parts: list = [None] * blocks
-    for row, i in enumerate(order):
-        parts[i] = table[row, : lengths[i]].astype(np.uint32)
-        if zlib.crc32(parts[i].astype("<u4").tobytes()) != heads[i][1]:
-            raise ValueError(f"block {i}: checksum does not match")
-    return np.concatenate(parts)
-
-
-def _segment(index: pa.Table, ids: np.ndarray, block: int) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, index.schema) as w:
-        w.write_table(index)
-    head, blocks = sink.getvalue().to_pybytes(), encode_blocks(ids, block)
-    body = b"".join(blocks)
-    return _HEAD.pack(MAGIC, len(head), len(blocks), len(body)) + head + body
-
-
-def read_segment(raw: bytes) -> tuple[pa.Table, np.ndarray]:
-    """(doc_id and n_tokens of its documents, all their ids)."""
-    magic, head, blocks, body = _HEAD.unpack_from(raw)
-    if magic != MAGIC or len(raw) != _HEAD.size + head + body:
-        raise ValueError("not a segment of token ids")
-    index = pa.ipc.open_stream(raw[_HEAD.size : _HEAD.size + head]).read_all()
-    return index, decode_blocks(raw[_HEAD.size + head :], blocks)
-
-
-def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, block: int = BLOCK, lanes: int = LANES) -> None:
+_SOURCE = Path(__file__).with_name("IdCoder.java")
+_CLASS = "bitlake.IdCoder"
+
+
+def _functions(spark: SparkSession, block: int) -> tuple[str, str]:
+    """The names of the session's functions that encode and decode."""
+    encode, decode = f"bitlake_encode_ids_{block}", "bitlake_decode_ids"
+    if spark.catalog.functionExists(encode):
+        return encode, decode
+    jvm = spark._jvm
+    compiler = jvm.org.codehaus.janino.SimpleCompiler()
+    compiler.setParentClassLoader(jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    compiler.cook(_SOURCE.read_text())
+    jar = io.BytesIO()
+    with zipfile.ZipFile(jar, "w") as z:
+        for name, code in dict(compiler.getBytecodes()).items():
+            z.writestr(name.replace(".", "/") + ".class", bytes(code))
+    path = f"{shared_dir(spark)}/bitlake-id-coder-{uuid.uuid4().hex}.jar"
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(jar.getvalue()))
+    out.close()
+    spark.sql(f"ADD JAR '{path}'")
+    make = compiler.getClassLoader().loadClass(_CLASS).getConstructors()[0]
+    for name, encodes in ((encode, True), (decode, False)):
+        given = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 2)
+        given[0], given[1] = encodes, block
+        spark._jsparkSession.udf().register(name, make.newInstance(given), jvm.org.apache.spark.sql.types.DataTypes.BinaryType)
+    return encode, decode
+
+
+def encoded(ids: Column, spark: SparkSession, block: int = BLOCK) -> Column:
+    """Blocks (binary) of ids (binary, little-endian unsigned 32-bit); null for null."""
+    return F.call_function(_functions(spark, block)[0], ids)
+
+
+def decoded(body: Column, spark: SparkSession) -> Column:
+    """The ids of blocks; an error where a checksum does not match."""
+    return F.call_function(_functions(spark, BLOCK)[1], body)
+
+
+def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, block: int = BLOCK, segment: int = SEGMENT) -> None:
     """Encode all texts of docs (doc_id, text) and write their ids to path in ascending doc_id order."""
     vocabulary = vocabulary or vocabulary_path("byte_bpe_50k.json")
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("segment", T.IntegerType()), T.StructField("tokens", T.LongType()), T.StructField("body", T.BinaryType())])
+    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("segment", T.IntegerType()), T.StructField("tokens", T.LongType()), T.StructField("documents", T.BinaryType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches):
         from pyspark import TaskContext
 
-        shard, segment, full = TaskContext.get().partitionId(), 0, block * lanes
-        chunks, index, held, size = store(vocabulary), [], [], 0
+        shard, number, chunks = TaskContext.get().partitionId(), 0, store(vocabulary)
+        index, held, size = [], [], 0
         end = np.array([end_id], np.uint32)
 
         def flush():
-            body = _segment(pa.Table.from_batches(index), np.concatenate(held), block)
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([size], pa.int64()), pa.array([body], pa.binary())], names=schema.names)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, index[0].schema) as w:
+                w.write_table(pa.Table.from_batches(index))
+            row = (shard, number, size, sink.getvalue().to_pybytes(), np.concatenate(held).astype("<u4").tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=schema.names)
 
         for batch in batches:
             for first, texts in text_batches(batch.column(1).to_pylist(), 1 << 20):
                 ids = [x for numbers in chunks.numbers(texts) for x in (chunks.encode(numbers), end)]
                 n = [len(x) + 1 for x in ids[::2]]
                 index.append(pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"]))
-                held.append(np.concatenate(ids))
-                size += len(held[-1])
-                if size >= full:
+                held += ids
+                size += sum(n)
+                if size >= segment:
                     yield flush()
-                    segment, index, held, size = segment + 1, [], [], 0
+                    number, index, held, size = number + 1, [], [], 0
         if index:
             yield flush()
 
     shards = max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
-    ordered = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
+    # Ranges by the id and the head of the text, so that rows that share an id spread and no whole text goes into a sample.
+    ordered = docs.select("doc_id", "text", F.left("text", F.lit(32)).alias("head")).repartitionByRange(shards, "doc_id", "head").sortWithinPartitions("doc_id", "text").drop("head")
+    made = ordered.mapInArrow(run, schema)
+    made.select("shard", "segment", "tokens", "documents", encoded(F.col("ids"), docs.sparkSession, block).alias("body")).write.option("compression", "none").parquet(path)
 
 
-def read_ids(spark: SparkSession, path: str, doc_type: T.DataType) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the files at path."""
+def read_ids(spark: SparkSession, path: str, doc_type: T.DataType, ids: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document in the files at path; with ids also its ids (little-endian 32-bit binary)."""
     segments = spark.read.parquet(path)
     sizes = segments.select("shard", "segment", "tokens")
     shards = sizes.groupBy("shard").agg(F.sum("tokens").alias("t"))  # a row per file
@@ -306,20 +128,25 @@ def read_ids(spark: SparkSession, path: str, doc_type: T.DataType) -> DataFrame:
     starts = sizes.withColumnRenamed("tokens", "t").select("shard", "segment", before(Window.partitionBy("shard").orderBy("segment")).alias("segment_start"))
     starts = starts.join(shards, "shard").select("shard", "segment", (F.col("shard_start") + F.col("segment_start")).alias("base"))
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("segment", T.IntegerType()), T.StructField("doc_id", doc_type), T.StructField("at", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+    if ids:
+        schema = schema.add("ids", T.BinaryType())
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                index, ids = read_segment(batch.column(2)[i].as_py())
-                n = index.column("n_tokens").to_numpy()
-                raw, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(n)
+                index = pa.ipc.open_stream(batch.column(2)[i].as_py()).read_all()
+                raw, n = memoryview(batch.column(3)[i].as_buffer()), index.column("n_tokens").to_numpy()
+                ends = np.cumsum(n)
                 at = ends - n
-                crc = [zlib.crc32(raw[4 * a : 4 * e]) for a, e in zip(at.tolist(), ends.tolist(), strict=True)]
+                if len(raw) != 4 * ends[-1]:
+                    raise ValueError("a segment's documents and ids differ in number")
+                parts = [raw[4 * a : 4 * e] for a, e in zip(at.tolist(), ends.tolist(), strict=True)]
                 rows = pa.array(np.full(len(n), i))
-                yield from pa.table([batch.column(0).take(rows), batch.column(1).take(rows), index.column("doc_id"), pa.array(at), pa.array(n), pa.array(crc, pa.int64())], names=schema.names).combine_chunks().to_batches()
+                columns = [batch.column(0).take(rows), batch.column(1).take(rows), index.column("doc_id"), pa.array(at), pa.array(n), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+                yield from pa.table(columns + [pa.array(map(bytes, parts), pa.binary())] * ids, names=schema.names).combine_chunks().to_batches()
 
-    docs = segments.select("shard", "segment", "body").mapInArrow(run, schema)
-    return docs.join(starts, ["shard", "segment"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    docs = segments.select("shard", "segment", "documents", decoded(F.col("body"), spark).alias("ids")).mapInArrow(run, schema)
+    return docs.join(starts, ["shard", "segment"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids)
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:

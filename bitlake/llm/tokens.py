@@ -54,6 +54,19 @@ def load(path: str):
     return tokenizer
 
 
+class _Numbers(dict):
+    """Numbers chunks as they are first asked for, and keeps those that are new."""
+
+    def __init__(self, known=()):
+        super().__init__(known)
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
 class ChunkStore:
     """Numbers distinct chunks and keeps their ids in flat arrays.
 
@@ -72,10 +85,9 @@ class ChunkStore:
         vocabulary = self.tokenizer.get_vocab()
         self.mark = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.mark[[i for t, i in vocabulary.items() if (t.endswith("</w>") if self.drops_white else t.startswith("\u0120"))]] = True
-        self.number: dict[str, int] = {}
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.start = np.zeros(1, np.int64)
-        self.length = np.empty(0, np.int64)
+        self.number = _Numbers()
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+        self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _same(self, text: str) -> bool:
         ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
@@ -83,9 +95,10 @@ class ChunkStore:
 
     def _halve(self) -> None:
         kept = self.limit // 2
-        self.number = {k: n for k, n in self.number.items() if n < kept}
-        self.length, self.start = self.length[:kept], self.start[: kept + 1]
-        self.ids = self.ids[: self.start[-1]].copy()
+        self.number = _Numbers((k, n) for k, n in self.number.items() if n < kept)
+        self.ids, self.length = self.encode(np.arange(kept)), self.length[:kept]
+        self.used = len(self.ids)
+        self.start = np.cumsum(self.length) - self.length
 
     def _joined(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """(ids, numbers of ids) of easy chunks encoded as one text; None if they cannot be told apart in it."""
@@ -103,29 +116,28 @@ class ChunkStore:
         return ids, np.diff(np.append(begin, len(ids)))
 
     def _add(self, keys: list[str]) -> None:
-        easy = _LETTERS.fullmatch if self.drops_white else lambda k: k[0] not in "\n\r"
-        simple = [k for k in keys if easy(k)]
-        found = self._joined(simple) if simple else None
+        """Encodes keys, which have the next numbers in order."""
+        easy = (lambda k: _LETTERS.fullmatch(k) is not None) if self.drops_white else lambda k: k[0] not in "\n\r"
+        base, plain_ = len(self.length), np.fromiter(map(easy, keys), bool, len(keys))
+        self.start, self.length = (np.concatenate([x, np.zeros(len(keys), np.int64)]) for x in (self.start, self.length))
+        at = np.flatnonzero(plain_)
+        found = self._joined([keys[i] for i in at]) if len(at) else None
         if found is None:
-            simple = []
+            at = at[:0]
         else:
-            self._keep(simple, *found)
-        done = set(simple)
-        rest = [k for k in keys if k not in done]
-        if rest:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([self._text(k) for k in rest], add_special_tokens=False)]
+            self._keep(base + at, *found)
+        rest = np.setdiff1d(np.arange(len(keys)), at, assume_unique=True)
+        if len(rest):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([self._text(keys[i]) for i in rest], add_special_tokens=False)]
             length = np.fromiter(map(len, got), np.int64, len(got))
-            self._keep(rest, np.fromiter((i for x in got for i in x), np.uint32, int(length.sum())), length)
-
-    def _keep(self, keys: list[str], ids: np.ndarray, length: np.ndarray) -> None:
-        base, n = len(self.length), len(keys)
-        ends = np.cumsum(length) + self.start[base]
-        if ends[-1] > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), int(ends[-1])), np.uint32)])
-        self.ids[self.start[base] : ends[-1]] = ids
-        self.length = np.concatenate([self.length, length])
-        self.start = np.concatenate([self.start, ends])
-        self.number.update(zip(keys, range(base, base + n), strict=True))
+            self._keep(base + rest, np.fromiter((i for x in got for i in x), np.uint32, int(length.sum())), length)
+
+    def _keep(self, numbers: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(max(self.used, len(ids)), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.length[numbers], self.start[numbers] = length, np.cumsum(length) - length + self.used
+        self.used += len(ids)
 
     def _keys(self, text: str) -> list[str]:
         if plain(text):
@@ -146,14 +158,14 @@ class ChunkStore:
         """For each text the numbers of its chunks; they hold until the next call."""
         if len(self.number) > self.limit:
             self._halve()
-        keys = [self._keys(t) if t else [] for t in texts]
-        new = {k for x in keys for k in x if k not in self.number}
-        if new:
-            new = list(new)
-            for i in range(0, len(new), 20_000):
-                self._add(new[i : i + 20_000])
-        get = self.number.__getitem__
-        return [np.fromiter(map(get, x), np.int64, len(x)) for x in keys]
+        get, out = self.number.__getitem__, []
+        for t in texts:
+            keys = self._keys(t) if t else []
+            out.append(np.fromiter(map(get, keys), np.int64, len(keys)))
+        new, self.number.new = self.number.new, []
+        for i in range(0, len(new), 20_000):
+            self._add(new[i : i + 20_000])
+        return out
 
     def encode(self, numbers: np.ndarray) -> np.ndarray:
         """The ids of one text, from the numbers of its chunks."""

@@ -224,17 +224,33 @@ def test_packing(docs, none, rows):
     assert (used == counts).all()
 
 
-def test_id_files(docs, none, byte_bpe, rows):
+def test_id_blocks(spark):
     rng = np.random.default_rng(0)
-    for n in (1, 4096, 9000):
-        x = rng.integers(0, 50257, n).astype(np.uint32)
-        x[::3] = 7
-        blocks = id_coder.encode_blocks(x)
-        assert (id_coder.decode_blocks(b"".join(blocks), len(blocks)) == x).all()
-    broken = bytearray(b"".join(blocks))
-    broken[40] ^= 1
-    with pytest.raises(ValueError):
-        id_coder.decode_blocks(bytes(broken), len(blocks))
+    some = [rng.integers(0, 1 << bits, n, np.uint32) for bits in (1, 8, 16, 17, 24, 31, 32) for n in (1, 1000, 5000)]
+    some += [np.zeros(0, np.uint32), np.full(9000, 50256, np.uint32), np.tile(rng.integers(0, 50257, 300, np.uint32), 40), rng.zipf(1.3, 3_000_000).clip(0, 50256).astype(np.uint32)]
+    df = spark.createDataFrame([(i, x.astype("<u4").tobytes()) for i, x in enumerate(some)], "i int, ids binary")
+    for block in (1, 700, id_coder.BLOCK):
+        part = df if block > 1 else df.where("i % 3 = 0")
+        body = part.where("i < 24").select("i", "ids", id_coder.encoded(F.col("ids"), spark, block).alias("body")) if block < 1000 else df.select("i", "ids", id_coder.encoded(F.col("ids"), spark).alias("body"))
+        for r in body.select("*", id_coder.decoded(F.col("body"), spark).alias("back")).collect():
+            assert r.back == r.ids
+            heads, at = 0, 0
+            while at < len(r.body):
+                n, crc, bits, size = np.frombuffer(r.body[at : at + 16], "<u4").tolist()
+                part_ids = r.ids[4 * heads : 4 * (heads + n)]
+                assert n <= block and crc == zlib.crc32(part_ids) and bits == max(1, int(np.frombuffer(part_ids, "<u4").max()).bit_length())
+                # Every block can be read by itself.
+                heads, at = heads + n, at + 16 + size
+            assert 4 * heads == len(r.ids)
+    body = bytearray(df.where("i = 20").select(id_coder.encoded(F.col("ids"), spark)).first()[0])
+    body[60] ^= 1
+    for broken in (bytes(body), bytes(body[:-1])):
+        with pytest.raises(Exception, match="checksum|not a block"):
+            spark.createDataFrame([(broken,)], "b binary").select(id_coder.decoded(F.col("b"), spark)).collect()
+    assert len(spark.createDataFrame([(some[-2].astype("<u4").tobytes(),)], "b binary").select(id_coder.encoded(F.col("b"), spark)).first()[0]) < len(some[-2]) / 2
+
+
+def test_id_files(docs, none, byte_bpe, rows, tmp_path):
     got = sorted(id_coder.round_trip(docs).collect(), key=lambda r: r.start)
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     start = 0
@@ -243,6 +259,10 @@ def test_id_files(docs, none, byte_bpe, rows):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert id_coder.round_trip(none).count() == 0
+    path = str(tmp_path / "ids")
+    id_coder.write_ids(docs, path, segment=500)
+    for r in id_coder.read_ids(docs.sparkSession, path, docs.schema["doc_id"].dataType, ids=True).collect():
+        assert len(r.ids) == 4 * r.n_tokens and zlib.crc32(r.ids) == r.ids_crc32 and (r.start, r.n_tokens, r.ids_crc32) in {(g.start, g.n_tokens, g.ids_crc32) for g in got}
 
 
 def test_simhash(docs, none, rows):
