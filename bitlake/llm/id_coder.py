@@ -36,8 +36,10 @@ from bitlake.llm.tokens import store, text_batches, vocabulary_path
 
 BLOCK = 1 << 16
 #: Ids of a segment; the document that reaches it ends it.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 END_ID = 2
+#: Rows that a worker takes out of a batch at once.
+ROWS = 512
 _SOURCE = Path(__file__).with_name("IdCoder.java")
 _CLASS = "bitlake.IdCoder"
 
@@ -98,7 +100,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id:
             row = (shard, number, size, sink.getvalue().to_pybytes(), np.concatenate(held).astype("<u4").tobytes())
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=schema.names)
 
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             for first, texts in text_batches(batch.column(1).to_pylist(), 1 << 20):
                 ids = [x for numbers in chunks.numbers(texts) for x in (chunks.encode(numbers), end)]
                 n = [len(x) + 1 for x in ids[::2]]
