@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests, local mode) is one made."""
+    """The folder all executors share. Only in local mode, where the session may name none (tests), is one made."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="bitlake-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
@@ -30,12 +32,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path of its own under the shared folder. What stands there goes when the driver's program ends."""
+    if not _WRITTEN:
+        atexit.register(_remove_written)
+    path = f"{shared_dir(spark)}/bitlake-{label}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
+
+
+def _remove_written() -> None:
+    for path, spark in _WRITTEN.items():
+        if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+            return
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, label: str = "part") -> DataFrame:
     """Write df once under the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/bitlake-{label}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body) -> Column:

@@ -20,7 +20,6 @@ a text of any length is in one segment, so that a task holds its ids at once.
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 import zlib
 from pathlib import Path
@@ -31,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitlake.llm.common import shared_dir
+from bitlake.llm.common import fresh_path
 from bitlake.llm.tokens import store, text_batches, vocabulary_path
 
 BLOCK = 1 << 16
@@ -57,7 +56,7 @@ def _functions(spark: SparkSession, block: int) -> tuple[str, str]:
     with zipfile.ZipFile(jar, "w") as z:
         for name, code in dict(compiler.getBytecodes()).items():
             z.writestr(name.replace(".", "/") + ".class", bytes(code))
-    path = f"{shared_dir(spark)}/bitlake-id-coder-{uuid.uuid4().hex}.jar"
+    path = fresh_path(spark, "id-coder") + ".jar"
     target = jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
     out.write(bytearray(jar.getvalue()))
@@ -154,6 +153,6 @@ def read_ids(spark: SparkSession, path: str, doc_type: T.DataType, ids: bool = F
 def round_trip(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Write the ids of docs and return what the files hold."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/bitlake-ids-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "ids")
     write_ids(docs, path, vocabulary, end_id)
     return read_ids(spark, path, docs.schema["doc_id"].dataType)

@@ -51,7 +51,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 200_000:
             self.clear()
-        shape = _SHAPES.sub(rb"\1", word[:64].translate(_LETTERS))
+        shape = _SHAPES.sub(rb"\1", word.translate(_LETTERS))
         self[word] = both = zlib.crc32(b"w" + word.lower()) % BUCKETS | (zlib.crc32(b"s" + shape) % BUCKETS) << 32
         return both
 
@@ -201,7 +201,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: int
     pooler = Pooler(context_sums(docs))
     shared = docs.sparkSession.sparkContext.broadcast(pooler.table)
     chosen = labels.where(F.col("quality").isin(0, 1) & (fold(folds) != held)).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("quality", F.col("text").cast("binary").alias("text"))
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.col("text").cast("binary").alias("text"))
+    # Ids may repeat among the documents, so the rows are bounded once more.
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("text")).limit(max_rows).select("quality", "text")
 
     def run(batches):
         pool = Pooler.__new__(Pooler)

@@ -54,6 +54,24 @@ def test_suffix_dedup(docs, none, rows):
     assert got == [x for x in want if x[2]]
     spread = suffix_dedup.repeats(docs, hot=1).collect()
     assert sorted(map(str, spread)) == sorted(map(str, found))
+    # Removed are all repeated windows but the first of each, by doc_id, then by place; sources are the ids of those firsts.
+    whole = {}
+    for i, w in sorted(((i, w) for i, w in texts if i is not None and len(w) >= 50), key=lambda x: x[0]):
+        whole.setdefault(tuple(w), i)
+    first = {}
+    for w, i in whole.items():
+        for s in range(len(w) - 49):
+            first.setdefault(w[s : s + 50], (i, s))
+    once = Counter(w[s : s + 50] for w in whole for s in range(len(w) - 49))
+    for r in (r for r in found if r.doc_id is not None):
+        w = next(tuple(w) for i, w in texts if i == r.doc_id)
+        at = {p for a, e in r.removed for p in range(a, e)}
+        if whole[w] != r.doc_id:
+            assert at == set(range(len(w))) and r.sources == [whole[w]]
+        elif sum(i == r.doc_id for i, _ in texts) == 1:
+            again = [s for s in range(len(w) - 49) if once[w[s : s + 50]] > 1]
+            assert at == {s + d for s in again if first[w[s : s + 50]] != (r.doc_id, s) for d in range(50)}
+            assert set(r.sources) == ({first[w[s : s + 50]][0] for s in again} or {r.doc_id})
     left = {r.doc_id: r.text for r in suffix_dedup.without_repeats(docs).where("doc_id is not null").collect()}
     again = Counter(tuple(w[s : s + 50]) for t in left.values() for w in [(t or "").split()] for s in range(len(w) - 49))
     assert max(again.values()) == 1 or all(k == ("a",) * 50 for k, n in again.items() if n > 1)
@@ -165,6 +183,37 @@ def test_quality_model(docs, none, labels, rows):
     assert {r.score for r in quality_model.classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_context_sums_against_plain_loops(spark):
+    texts = ["Ab ab 12 x", None, "", "x y", "ab"]
+    got = quality_model.context_sums(spark.createDataFrame([(t,) for t in texts], "text string"))
+    place, sign = quality_model.index_vectors()
+    want = np.zeros_like(got)
+    shapes = {"Ab": "Aa", "ab": "a", "12": "0", "x": "a", "y": "a"}
+    for t in texts:
+        kinds = [(zlib.crc32(b"w" + w.lower().encode()) % quality_model.BUCKETS, zlib.crc32(b"s" + shapes[w].encode()) % quality_model.BUCKETS) for w in (t or "").split()]
+        for i, me in enumerate(kinds):
+            for j, other in enumerate(kinds):
+                if 0 < abs(i - j) <= quality_model.REACH:
+                    for a in me:
+                        for b in other:
+                            np.add.at(want[a], place[b], sign[b])
+    assert np.allclose(got, want)
+
+
+def test_quality_model_ranks_held_out_texts(spark):
+    """Texts of two vocabularies; labels repeat, and one text is very long. Held-out ones must be told apart."""
+    rng = random.Random(9)
+    good = [words(rng, 1) for _ in range(300)]
+    bad = [w[::-1].upper() + "#" for w in good]
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad) for _ in range(60_000 if i == 6 else 40))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    given = spark.createDataFrame([(i % 600, i % 2, 0) for i in range(900)], "doc_id long, quality int, toxic int")
+    held = [r for r in quality_model.classify(df, given).collect() if r.held_out]
+    ones, zeros = ([r.score for r in held if r.doc_id % 2 == q] for q in (1, 0))
+    assert len(held) > 100 and sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / (len(ones) * len(zeros)) > 0.97
+    assert len(quality_model.classify(df, given, max_rows=50).collect()) == 600
+
+
 @pytest.fixture(scope="module")
 def byte_bpe():
     return load(vocabulary_path("byte_bpe_50k.json"))
@@ -265,9 +314,19 @@ def test_id_files(docs, none, byte_bpe, rows, tmp_path):
         assert len(r.ids) == 4 * r.n_tokens and zlib.crc32(r.ids) == r.ids_crc32 and (r.start, r.n_tokens, r.ids_crc32) in {(g.start, g.n_tokens, g.ids_crc32) for g in got}
 
 
+def plain_fingerprint(text):
+    import re
+
+    import xxhash
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    h = [xxhash.xxh64(" ".join(s).encode(), 42).intdigest() for s in ([w[i : i + 3] for i in range(len(w) - 2)] or ([w] if w else []))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 def test_simhash(docs, none, rows):
     got = simhash.components(docs).collect()
-    prints = [(r[0], simhash.fingerprint((r[1] or "").encode())) for r in rows]
+    prints = [(r[0], plain_fingerprint(r[1] or "")) for r in rows]
     group = list(range(len(prints)))
     for a in range(len(prints)):
         for b in range(a):
@@ -342,6 +401,59 @@ def test_context_tree_is_a_distribution():
         assert (10 ** tree.log10(tree.shorten(codes))).sum() == pytest.approx(1)
 
 
+def plain_ctw(train, text, depth):
+    """Code length of a text, decision by decision, from counts of the training texts in plain dictionaries."""
+    counts = {}
+    for t in train:
+        raw = b"\n" * depth + t + b"\n"
+        for i in range(depth, len(raw)):
+            for bit in range(8):
+                node = 1 << bit | raw[i] >> 8 - bit
+                for d in range(depth + 1):
+                    counts.setdefault((raw[i - d : i], node), [0, 0])[raw[i] >> 7 - bit & 1] += 1
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    below = {}
+    for c, node in counts:
+        if c:
+            below.setdefault((c[1:], node), []).append((c, node))
+    weighted, longer = {}, {}
+    for key in sorted(counts, key=lambda k: -len(k[0])):
+        own = kt(*counts[key])
+        if len(key[0]) == depth:
+            weighted[key] = own
+            continue
+        longer[key] = sum(weighted[k] for k in below[key])
+        high = max(own, longer[key])
+        weighted[key] = high + math.log(math.exp(own - high) + math.exp(longer[key] - high)) - math.log(2)
+
+    def one(raw, i, node, d):
+        key = raw[i - d : i], node
+        if key not in counts:
+            return 0.5
+        a, b = counts[key]
+        mine = (b + 0.5) / (a + b + 1)
+        if d == depth:
+            return mine
+        stop = 1 / (1 + math.exp(min(700, longer[key] - kt(a, b))))
+        return stop * mine + (1 - stop) * one(raw, i, node, d + 1)
+
+    raw, total = b"\n" * depth + text + b"\n", 0.0
+    for i in range(depth, len(raw)):
+        for bit in range(8):
+            p = one(raw, i, 1 << bit | raw[i] >> 8 - bit, 0)
+            total += math.log10(p if raw[i] >> 7 - bit & 1 else 1 - p)
+    return total
+
+
+def test_lm_scoring_against_plain_context_tree_weighting(spark):
+    rng = random.Random(8)
+    rows = [(i, None if i == 7 else words(rng, rng.randint(0, 25))) for i in range(40)]
+    got = {r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), max_strings=30).collect()}
+    texts = {i: (t or "").encode() for i, t in rows}
+    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert all(got[i] == pytest.approx(plain_ctw(train, t, lm_scoring.DEPTH), rel=1e-6) for i, t in list(texts.items())[:12])
+
+
 def test_lm_scoring_keeps_every_context(docs, rows):
     texts = [(i, b" ".join((t or "").encode().lower().split())) for i, t, *_ in rows]
     train = [t for i, t in texts if zlib.crc32(str("" if i is None else i).encode()) % 5 != 1]
