@@ -34,6 +34,18 @@ def count_ones(bitmap: DataFrame) -> DataFrame:
     return bitmap.groupBy(ID).agg(F.sum(F.bit_count(WORD)).alias("ones"))
 
 
+def extent(bitmap: DataFrame) -> DataFrame:
+    """(bitmap_id, words, bits, is_empty): the length up to the last word held, absent words included, and whether no bit is set."""
+    words = F.max(AT) + 1
+    return bitmap.groupBy(ID).agg(words.alias("words"), (words * 64).alias("bits"), (F.bit_or(WORD) == 0).alias("is_empty"))
+
+
+def followed(bitmap: DataFrame, gap: int) -> DataFrame:
+    """(bitmap_id, position) of the set bits whose next set bit is exactly ``gap`` places on."""
+    asked = positions(bitmap).select(ID, (F.col("position") + 1).alias("position"))
+    return next_set_from(bitmap, asked).where(F.col("next") == F.col("position") + gap - 1).select(ID, (F.col("position") - 1).alias("position"))
+
+
 def bit(bitmap: DataFrame, queries: DataFrame) -> DataFrame:
     """queries (bitmap_id, position) with ``bit``; null past the last word."""
     return _at(bitmap.select(ID, AT, WORD), queries).withColumn("bit", F.getbit(WORD, F.col("position").bitwiseAND(F.lit(63)).cast("int")) == 1).drop(AT, WORD)

@@ -203,6 +203,9 @@ _WORDS = "list_sum(list_transform(list_distinct(list(position & 63)), lambda j:
 _SIGNED = "CASE WHEN w >= 9223372036854775808 THEN (w::HUGEINT - 18446744073709551616)::BIGINT ELSE w::BIGINT END"
 
 
+_PRIMES = "WITH primes AS (SELECT i AS p FROM range(2, 100000) r(i) WHERE NOT EXISTS (SELECT 1 FROM range(2, 317) f(j) WHERE j * j <= i AND i % j = 0))"
+
+
 def _words_sql(positions: str) -> str:
     return f"WITH {_E} SELECT bitmap_id, word_idx, {_SIGNED} AS word FROM (SELECT bitmap_id, position >> 6 AS word_idx, {_WORDS} AS w FROM ({positions}) GROUP BY ALL)"
 
@@ -299,13 +302,38 @@ def bitmap_filter_pack(spark, sf_dir):
     return bitmaps.filter_pack(_bitmap(spark, sf_dir), bitmaps.from_positions(asked, F.col("bitmap_id"), F.col("position"))).where("word != 0")
 
 
-def bitmap_prime_sieve(spark, sf_dir):
-    """Primes under 10^5 by a bitmap of composites: their number, and the last of them by select."""
+def _primes(spark):
     n = 100_000
     factors = spark.range(2, 317).withColumnRenamed("id", "p")
     composite = factors.select(F.explode(F.sequence(F.col("p") * F.col("p"), F.lit(n - 1), F.col("p"))).alias("position"))
     full = bitmaps.from_positions(spark.range(2, n).withColumnRenamed("id", "position"), F.lit(0), F.col("position"))
-    primes = bitmaps.combine(full, bitmaps.from_positions(composite, F.lit(0), F.col("position")), "andnot")
+    return bitmaps.combine(full, bitmaps.from_positions(composite, F.lit(0), F.col("position")), "andnot")
+
+
+def bitmap_twin_primes(spark, sf_dir):
+    """Primes under 10^5 whose next prime is two further."""
+    return bitmaps.followed(_primes(spark), 2).select("position")
+
+
+def bitmap_extent(spark, sf_dir):
+    return bitmaps.extent(_bitmap(spark, sf_dir))
+
+
+def sql_functions(spark, sf_dir):
+    """The functions of SQL over keys of orders."""
+    from bitlake.functions import sql
+
+    sql.register(spark)
+    read(spark, sf_dir, "orders").createOrReplaceTempView("bitlake_orders")
+    return spark.sql(
+        "SELECT o_orderkey, word_add(o_orderkey, 9223372036854775807) AS a, word_rank(o_orderkey * 77, 9) AS r, word_clear_lowest_set(o_orderkey) AS c, word_trailing_zeros(o_orderkey) AS t, "
+        "word_gray_encode(o_orderkey) AS g, word_parity(o_custkey) AS p, morton2_key(o_orderkey, o_custkey) AS m, byte_distance(o_orderpriority, 'ségment') AS d FROM bitlake_orders"
+    )
+
+
+def bitmap_prime_sieve(spark, sf_dir):
+    """Primes under 10^5 by a bitmap of composites: their number, and the last of them by select."""
+    primes = _primes(spark)
     ones = bitmaps.count_ones(primes).select("bitmap_id", F.col("ones").alias("n"), (F.col("ones") - 1).alias("k"))
     return bitmaps.select(primes, ones).join(ones, "bitmap_id").select("n", F.col("position").alias("last"))
 
@@ -491,7 +519,7 @@ QUERIES: dict = {
 for _f in (
     hilbert2_encode, hilbert2_decode, morton2_columns, hilbert_from_morton, morton_from_hilbert, hilbert3_encode, hilbert3_decode, hilbert3_from_morton, morton3_from_hilbert, morton2_decode_columns, hilbert_path_adjacent, quantise,
     spatial_orders_days, zone_map_prune, zone_map_blocks, quadtree_rollup, spatial_range_join,
-    bitmap_from_positions, bitmap_positions, bitmap_count_ones, bitmap_bit, bitmap_set_bits, bitmap_clear_bits, bitmap_rank, bitmap_rank0, bitmap_select, bitmap_next_set, bitmap_find_run, bitmap_directory, bitmap_filter_pack, bitmap_prime_sieve,
+    bitmap_from_positions, bitmap_positions, bitmap_count_ones, bitmap_bit, bitmap_set_bits, bitmap_clear_bits, bitmap_rank, bitmap_rank0, bitmap_select, bitmap_next_set, bitmap_find_run, bitmap_directory, bitmap_filter_pack, bitmap_prime_sieve, bitmap_twin_primes, bitmap_extent, sql_functions,
     edit_distance, edit_distance_conversations, edit_distance_conversations_whole, fuzzy_topk, fuzzy_join, fuzzy_substring_distance, fuzzy_search, fuzzy_occurrences,
     grid_block_starts, grid_find_block, grid_fill_block, grid_clear_block, json_structure, byte_class_counts, byte_map,
 ):
@@ -510,7 +538,11 @@ ORACLES: dict = {
     "morton3_from_hilbert": _hilbert3_sql("((x * 1000003 + y * 777) & 1152921504606846975)", 20, INDEX_TO_CELL3),
     "morton2_decode_columns": _P + f" SELECT o, n, {'list_sum(list_transform(range(31), lambda j: (((x * 1000003 + y * 777) >> (2 * j)) & 1) << j))::BIGINT'} AS dx, {'list_sum(list_transform(range(31), lambda j: (((x * 1000003 + y * 777) >> (2 * j + 1)) & 1) << j))::BIGINT'} AS dy FROM p",
     "hilbert3_decode": _P + " SELECT o, n, x AS dx, y AS dy, n::BIGINT AS dz FROM p",
-    "hilbert_path_adjacent": "SELECT 0::BIGINT AS breaks",
+    # The cells of successive indexes, digit by digit from the lowest: what is there is turned, then moved to its quadrant.
+    "hilbert_path_adjacent": f"""WITH RECURSIVE s AS (SELECT h, h AS t, 0::BIGINT AS x, 0::BIGINT AS y, 0 AS l FROM range({(1 << 16) + 1}) r(h)
+ UNION ALL SELECT h, t >> 2, CASE WHEN ry = 1 THEN x WHEN rx = 1 THEN n - 1 - y ELSE y END + n * rx, CASE WHEN ry = 1 THEN y WHEN rx = 1 THEN n - 1 - x ELSE x END + n * ry, l + 1
+ FROM (SELECT *, (t >> 1) & 1 AS rx, xor(t, t >> 1) & 1 AS ry, 1::BIGINT << l AS n FROM s WHERE l < {ORDER}))
+SELECT count(*) FILTER (abs(x - u) + abs(y - v) <> 1) AS breaks FROM (SELECT x, y, lead(x) OVER (ORDER BY h) AS u, lead(y) OVER (ORDER BY h) AS v FROM s WHERE l = {ORDER}) WHERE u IS NOT NULL""",
     "quantise": "SELECT c_custkey, least(greatest(floor((c_acctbal - -1000.0) / (10000.0 - -1000.0) * 1048575), 0), 1048575)::BIGINT AS cell FROM customer",
     "spatial_range_hilbert": _FLAG,
     "spatial_range_morton": _FLAG,
@@ -542,7 +574,12 @@ SELECT * FROM z WHERE EXISTS (SELECT 1 FROM h WHERE x BETWEEN %d AND %d AND y BE
     "bitmap_find_run": "WITH e AS (SELECT DISTINCT user_id % 2 AS bitmap_id, event_id // 3 AS p FROM events), r AS (SELECT *, lead(p, 4) OVER (PARTITION BY bitmap_id ORDER BY p) AS q FROM e) SELECT bitmap_id, min(p) AS start FROM r WHERE q = p + 4 GROUP BY 1",
     "bitmap_directory": f"WITH {_E}, w AS (SELECT bitmap_id, position >> 6 AS word_idx, count(*) AS ones FROM e GROUP BY ALL) SELECT bitmap_id, word_idx, (sum(ones) OVER (PARTITION BY bitmap_id ORDER BY word_idx) - ones)::BIGINT AS before, ones FROM w",
     "bitmap_filter_pack": f"WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY bitmap_id ORDER BY position) - 1 AS k FROM a), s AS (SELECT r.bitmap_id, r.k AS position FROM r JOIN e USING (bitmap_id, position)) SELECT bitmap_id, word_idx, {_SIGNED} AS word FROM (SELECT bitmap_id, position >> 6 AS word_idx, {_WORDS} AS w FROM s GROUP BY ALL)",
-    "bitmap_prime_sieve": "SELECT 9592::BIGINT AS n, 99991::BIGINT AS last",
+    "bitmap_prime_sieve": f"{_PRIMES} SELECT count(*) AS n, max(p) AS last FROM primes",
+    "bitmap_twin_primes": f"{_PRIMES} SELECT p AS position FROM (SELECT p, lead(p) OVER (ORDER BY p) AS q FROM primes) WHERE q = p + 2",
+    "bitmap_extent": f"WITH {_E} SELECT bitmap_id, max(position) // 64 + 1 AS words, (max(position) // 64 + 1) * 64 AS bits, false AS is_empty FROM e GROUP BY 1",
+    "sql_functions": "SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN 9223372036854775807 ELSE (o_orderkey::HUGEINT + 9223372036854775807 - 18446744073709551616)::BIGINT END AS a, bit_count((o_orderkey * 77) & 511)::INT AS r, "
+    "(CASE WHEN o_orderkey = 0 THEN 0 ELSE o_orderkey & (o_orderkey - 1) END)::BIGINT AS c, CASE WHEN o_orderkey = 0 THEN 64 ELSE list_position(list_transform(range(64), lambda j: (o_orderkey >> j) & 1), 1) - 1 END::INT AS t, "
+    f"xor(o_orderkey, o_orderkey >> 1) AS g, bit_count(o_custkey) % 2 = 1 AS p, {_MORTON.format(x='o_orderkey', y='o_custkey', n=31)} AS m, levenshtein(o_orderpriority, 'ségment')::INT AS d FROM orders",
     "edit_distance": "SELECT p_partkey, levenshtein(p_name, p_type)::INT AS d FROM part",
     "edit_distance_conversations": "SELECT conv_id, turn, role, levenshtein('naïve über search', text)::INT AS d FROM conversations WHERE length(text) <= 300",
     "fuzzy_topk": "SELECT DISTINCT p_name, levenshtein('part blue 7', p_name)::INT AS distance FROM part ORDER BY distance, p_name LIMIT 10",

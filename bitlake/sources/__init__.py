@@ -29,12 +29,30 @@ def read_directory(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_WRITTEN: dict[str, SparkSession] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that all executors share; only where the session names none, in a local one."""
+    """A fresh path in the folder that all executors share; only in local mode, where the session may name none, in
+    a local one. What stands there goes when the driver's program ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="bitlake-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/bitlake-{label}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_remove_written)
+    path = f"{base}/bitlake-{label}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
+
+
+def _remove_written() -> None:
+    for path, spark in _WRITTEN.items():
+        if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+            return
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

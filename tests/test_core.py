@@ -117,6 +117,25 @@ def test_fuzzy_join_against_all_pairs(spark, k):
         assert sorted(map(tuple, fuzzy.fuzzy_join(l, r, "s", "t", k, variants).select("i", "j", "distance").collect())) == want
 
 
+def test_morton_runs_without_a_walk():
+    rng = random.Random(3)
+    for _ in range(300):
+        o = rng.choice([1, 2, 4, 7])
+        x, y = (tuple(sorted(rng.randrange((1 << o) + 2) for _ in range(2))) for _ in range(2))
+        assert cover.morton_runs(o, x, y) == len(cover.cover("morton", o, x, y, 1 << 14))
+
+
+def test_morton_cover_and_intersects():
+    rng = random.Random(12)
+    code = lambda a, b: sum((a >> i & 1) << 2 * i | (b >> i & 1) << 2 * i + 1 for i in range(4))
+    for _ in range(60):
+        x, y = (sorted(rng.randrange(16) for _ in range(2)) for _ in range(2))
+        cells = {code(a, b) for a in range(x[0], x[1] + 1) for b in range(y[0], y[1] + 1)}
+        assert {k for a, b in cover.cover("morton", 4, x, y, 2048) for k in range(a, b + 1)} == cells
+        a = rng.randrange(256)
+        assert cover.intersects("morton", 4, (a, a + 5), x, y) == any(a <= c <= a + 5 for c in cells)
+
+
 def test_approximate_search():
     rng = random.Random(7)
     for _ in range(40):
@@ -153,13 +172,13 @@ def test_gather_factor():
     assert bits.gather_factor(0b11, 63) is None
 
 
-def test_streaming_scan(spark, tmp_path):
+def test_streaming_scan_waits_for_earlier_chunks(spark, tmp_path):
     from bitlake.streaming import json_structure
 
-    source, out = str(tmp_path / "in"), []
-    spark.createDataFrame([("s", 0, '{"a\\'), ("s", 1, '"[": 1}')], "stream_id string, chunk long, text string").coalesce(1).write.json(source)
-    stream = spark.readStream.schema("stream_id string, chunk long, text string").json(source)
-    query = json_structure(stream).writeStream.foreachBatch(lambda df, _: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).start()
-    query.processAllAvailable()
-    query.stop()
-    assert sorted((r.chunk, r.structure) for r in out) == [(0, [0]), (1, [3, 6])]
+    source, out, kinds = str(tmp_path / "in"), [], "stream_id string, chunk long, text string"
+    for rows in ([("s", 2, "]}"), ("t", 0, "[")], [("s", 0, '{"a\\'), ("t", 0, "{{"), ("t", 1, None)], [("s", 1, '"[": [1'), ("s", 0, "[[[["), ("t", None, "[")]):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").json(source)
+        stream = spark.readStream.schema(kinds).json(source)
+        query = json_structure(stream).writeStream.foreachBatch(lambda df, _: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert sorted((r.stream_id, r.chunk, r.structure) for r in out) == [("s", 0, [0]), ("s", 1, [3, 5]), ("s", 2, [0, 1]), ("t", 0, [0]), ("t", 1, [])]
