@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,25 +85,17 @@ def wsub(x: Column, y: Column, count: int) -> Column:
     return F.array(*out)
 
 
-def _numbers(op):
-    """An Arrow function over Python integers of any width, for what limbs make long-winded."""
-    @F.pandas_udf("array<bigint>")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        def one(a, b):
-            if a is None or b is None:
-                return None
-            n = len(a)
-            number = lambda v: sum((int(p) & W.ones(64)) << 64 * i for i, p in enumerate(v))
-            z = op(number(a), number(b), 64 * n) & W.ones(64 * n)
-            return [W.signed(z >> 64 * i) for i in range(n)]
-
-        return pd.Series([one(a, b) for a, b in zip(x, y, strict=True)])
-
-    return run
-
-
-def wmul(x: Column, y: Column) -> Column:
-    return _numbers(lambda a, b, _: a * b)(x, y)
+def wmul(x: Column, y: Column, count: int, let: Let = inline) -> Column:
+    """x * y modulo the width of ``count`` limbs, by digits of 16 bits: sums of their products never overflow a BIGINT."""
+    digits = lambda v: [let(F.shiftrightunsigned(a, 16 * i).bitwiseAND(F.lit(0xFFFF))) for a in limbs(v, count) for i in range(4)]
+    a, b = digits(x), digits(y)
+    out, carry = [], word(0)
+    for k in range(4 * count):
+        total = let(sum((a[i] * b[k - i] for i in range(k + 1)), carry))
+        out.append(let(total.bitwiseAND(F.lit(0xFFFF))))
+        carry = F.shiftrightunsigned(total, 16)
+    join = lambda d: d[0].bitwiseOR(F.shiftleft(d[1], 16)).bitwiseOR(F.shiftleft(d[2], 32)).bitwiseOR(F.shiftleft(d[3], 48))
+    return F.array(*[join(out[4 * i : 4 * i + 4]) for i in range(count)])
 
 
 def count_ones(x: Column) -> Column:

@@ -2,7 +2,7 @@
 
 Distances between whole strings run in the JVM: the bytes of the UTF-8 form, read as ISO-8859-1, are
 characters, one each. Search within texts advances one bit-parallel column per byte in Python integers,
-which hold patterns of any length; texts that cannot contain the pattern within k edits are passed over
+which hold patterns of any length; texts that cannot contain the pattern within k edits are dropped in the JVM
 by a test for k + 1 exact pieces first.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -107,7 +108,8 @@ def pieces(pattern: bytes, k: int) -> list[bytes]:
 def find(df: DataFrame, text: str, pattern: str, k: int, what: str = "occurrences") -> DataFrame:
     """df with a row for each occurrence (start, end, distance), or for each end (end, distance) with what = "search".
 
-    Patterns must not be empty. Null texts have none.
+    Patterns must not be empty. Null texts have none. Texts without any of k + 1 pieces of the pattern cannot
+    hold it and are dropped before they leave the JVM.
     """
     needle = pattern.encode()
     if not needle:
@@ -122,19 +124,17 @@ def find(df: DataFrame, text: str, pattern: str, k: int, what: str = "occurrence
         for batch in batches:
             row, found = [], []
             for i, t in enumerate(batch.column(at).to_pylist()):
-                if t is None:
-                    continue
-                raw = t.encode()
-                if parts is not None and not any(p in raw for p in parts):
-                    continue
-                hits = run_one(needle, raw, k)
+                hits = run_one(needle, t.encode(), k)
                 row += [i] * len(hits)
                 found += hits
             rows_ = pa.array(row, pa.int64())
             cols = [pa.array([f[j] for f in found], pa.int32()) for j in range(len(fields))]
             yield pa.RecordBatch.from_arrays([c.take(rows_) for c in batch.columns] + cols, names=names)
 
-    return df.mapInArrow(run, schema)
+    kept = df.where(F.col(text).isNotNull())
+    if parts is not None:
+        kept = kept.where(reduce(lambda a, b: a | b, [F.contains(as_bytes(F.col(text)), F.lit(p.decode("latin-1"))) for p in parts]))
+    return kept.mapInArrow(run, schema)
 
 
 def with_substring_distance(df: DataFrame, text: str, pattern: str, out: str = "distance") -> DataFrame:

@@ -320,14 +320,15 @@ for _name, (_build, _value, _kind) in WIDE_SCALARS.items():
 
 
 def wide_wrapping_mul(spark, sf_dir):
-    out = words(spark, sf_dir).where("id % 16 = 0").select("id", X.wmul(F.array(F.col("x"), W.word(0)), F.array(F.shiftrightunsigned("y", 4), W.word(0))).alias("a"))
+    p, q = F.array(F.col("x"), W.word(0)), F.array(F.shiftrightunsigned("y", 4), W.word(0))
+    out = W.layered(words(spark, sf_dir).where("id % 16 = 0"), a=lambda let: X.wmul(p, q, 2, let))
     return out.select("id", F.get("a", F.lit(0)).alias("low"), F.get("a", F.lit(1)).alias("high"))
 
 
 def wide_wrapping_mul_whole(spark, sf_dir):
     """Every row, both operands of two full limbs."""
     p, q, _, _ = wide_columns()
-    return words(spark, sf_dir).select("id", X.wmul(p, q).alias("a")).select("id", F.get("a", F.lit(0)).alias("low"), F.get("a", F.lit(1)).alias("high"))
+    return W.layered(words(spark, sf_dir), a=lambda let: X.wmul(p, q, 2, let)).select("id", F.get("a", F.lit(0)).alias("low"), F.get("a", F.lit(1)).alias("high"))
 
 
 def bits_next_same_popcount_whole(spark, sf_dir):
