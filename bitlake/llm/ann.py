@@ -3,7 +3,7 @@
 Vectors are turned by a fixed random rotation, so that any run of dimensions is a fair sample of the
 whole distance, and dealt to the list of their nearest centroid. A query probes the nearest lists.
 Within a list the scan goes through blocks of columns: after each block a candidate's partial distance,
-scaled up to all dimensions, is tested against the query's tenth best so far, and the candidate is
+scaled up to all dimensions, is tested against the query's tenth best so far in its list, and the candidate is
 abandoned once the test is surer than its margin ``epsilon`` allows to doubt. Survivors' distances are
 computed anew from the original vectors in double precision.
 
@@ -33,6 +33,8 @@ SAMPLE = 20_000
 BLOCK = 16
 EPSILON = 2.1
 PART = 20_000
+#: Candidates that a query is held against before its bound is drawn tighter.
+STEP = 2_048
 #: Share of a sample's nearest neighbours that the probed lists must hold.
 SHARE = 0.98
 
@@ -83,35 +85,40 @@ def choose_probes(x: np.ndarray, center: np.ndarray, k: int, share: float = SHAR
     return int(np.quantile(need, share, method="higher")) + 1 if need else len(center)
 
 
-def scan(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, block: int = BLOCK, epsilon: float = EPSILON, turn: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query (ids, distances) of its k nearest among vectors, ties to smaller ids, its own id left out."""
+def scan(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, block: int = BLOCK, epsilon: float = EPSILON, turn: np.ndarray | None = None, step: int = STEP) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query (ids, distances) of its k nearest among vectors, ties to smaller ids, its own id left out.
+
+    Candidates come in steps; after each the k-th best distance so far is the bound that the next are tested against.
+    """
     dim = vectors.shape[1]
     turn = rotation(dim) if turn is None else turn
     columns = np.ascontiguousarray((vectors @ turn).T)  # column blocks: one dimension after the other
     out = []
     for q, me in zip(queries, own, strict=True):
-        p = q @ turn
-        alive = np.flatnonzero(ids != me)
-        part = np.zeros(len(alive))
-        bound = np.inf
-        # The first candidates, scanned in full, give the bound that the others are tested against.
-        head = alive[: 4 * k]
-        if len(head) >= k:
-            bound = np.sort(((columns[:, head] - p[:, None]) ** 2).sum(0))[k - 1]
-        for s in range(0, dim, block):
-            e = min(s + block, dim)
-            part += ((columns[s:e, alive] - p[s:e, None]) ** 2).sum(0)
-            if e < dim:
-                limit = bound * (1 + 1e-9) * min(1.0, e / dim * (1 + epsilon / np.sqrt(e)) ** 2)
-                stay = part <= limit
-                alive, part = alive[stay], part[stay]
-        if len(alive) > k:
-            # Distances after the rotation differ by rounding only; ties at the edge stay for the exact comparison.
-            edge = np.partition(part, k - 1)[k - 1] * (1 + 1e-9) + 1e-12
-            alive = alive[part <= edge]
-        exact = np.sqrt(((vectors[alive] - q) ** 2).sum(1))
-        best = np.lexsort((ids[alive], exact))[:k]
-        out.append((ids[alive][best], exact[best]))
+        p, others = q @ turn, np.flatnonzero(ids != me)
+        # The first candidates, scanned in full, give the first bound.
+        head = others[: 4 * k]
+        held, far, bound = head, ((columns[:, head] - p[:, None]) ** 2).sum(0), np.inf
+        for first in range(len(head), len(others) + step, step):
+            if len(held) > k:
+                # Distances after the rotation differ by rounding only; ties at the edge stay for the exact comparison.
+                edge = np.partition(far, k - 1)[k - 1] * (1 + 1e-9) + 1e-12
+                held, far = held[far <= edge], far[far <= edge]
+            if len(held) >= k:
+                bound = far.max()
+            alive = others[first : first + step]
+            part = np.zeros(len(alive))
+            for s in range(0, dim, block):
+                e = min(s + block, dim)
+                part += ((columns[s:e, alive] - p[s:e, None]) ** 2).sum(0)
+                if e < dim and bound < np.inf:
+                    stay = part <= bound * (1 + 1e-9) * min(1.0, e / dim * (1 + epsilon / np.sqrt(e)) ** 2)
+                    alive, part = alive[stay], part[stay]
+            near = part <= bound
+            held, far = np.concatenate([held, alive[near]]), np.concatenate([far, part[near]])
+        exact = np.sqrt(((vectors[held] - q) ** 2).sum(1))
+        best = np.lexsort((ids[held], exact))[:k]
+        out.append((ids[held][best], exact[best]))
     return out
 
 
@@ -161,13 +168,13 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, samp
             at = nearest(_matrix(batch.column(1), dim), center, lists)
             # On to further lists until k candidates are held beside the query itself, or no list is left.
             enough = (np.cumsum(single[at], axis=1) <= k).sum(1) + 1
-            row, list_, part_ = [], [], []
-            for i, found in enumerate(at):
-                for j in found[: max(probes, int(enough[i]))]:
-                    for p in range(split[j]):
-                        row.append(i), list_.append(j), part_.append(p)
-            rows_ = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list_, pa.int32()), batch.column(0).take(rows_), batch.column(1).take(rows_), pa.array(part_, pa.int32())], names=["list", "vec_id", "embedding", "part"])
+            row, place = np.nonzero(np.arange(lists) < np.maximum(probes, enough)[:, None])
+            list_ = at[row, place]
+            # Every part of a list that is probed.
+            row, list_, n = np.repeat(row, split[list_]), np.repeat(list_, split[list_]), split[list_]
+            part_ = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            rows_ = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(list_.astype(np.int32)), batch.column(0).take(rows_), batch.column(1).take(rows_), pa.array(part_.astype(np.int32))], names=["list", "vec_id", "embedding", "part"])
 
     asked = rows.where(F.pmod("vec_id", F.lit(step)) == 0).distinct().mapInArrow(probe, "list int, vec_id long, embedding array<double>, part int")
 

@@ -166,7 +166,7 @@ def pack(made: DataFrame, capacity: int = CAPACITY, rows_per_range: int = ROWS_P
     key, first, sequence, offset = slots(pack_histogram(counts, capacity), capacity)
     # Pieces of one length are numbered within ranges of a hash, then ranges are put one after the other.
     ranges = max(1, -(-int(counts.max()) // rows_per_range))
-    placed = made.withColumn("__range", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(ranges)))
+    placed = made.withColumn("__range", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(ranges)))
     sums = placed.groupBy("length", "__range").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy("length").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("length", "__range", F.coalesce(before, F.lit(0)).alias("__before"))
