@@ -4,14 +4,16 @@ A passage counts as repeated where a window of ``length`` words occurs twice or
 other documents or in the same one. Of all suffixes only those at minimisers are kept: positions whose
 k-word hash is least in some run of ``length - k + 1`` such hashes. Content alone selects them, so
 every window holds one, at the same place in each of its copies. Kept suffixes are sorted by their
-first k words; those that stand alone cannot be in a repeat and go. The others are extended to the left
-by every number of words that still leaves the minimiser inside the window, and to the right up to its
-length; for each extension they are sorted and neighbours compared. The union of the matching windows
-is the union of the maximal matches of at least ``length`` words.
+first k words; those that stand alone cannot be in a repeat and go. The others take along the words around
+them. A task sorts its suffixes word by word and compares neighbours: how many words they have in common from
+the kept place on. It sorts them once more by the words to the left, read backwards, and compares neighbours
+likewise. Two suffixes then share a window of ``length`` words that begins a words to the left just where
+they are in one run of at least length - a common words in the one order, and in one run of at least a in
+the other. The union of the shared windows is the union of the maximal matches of at least ``length`` words.
 
 Equal texts are one text here, with a count; each kept suffix of very frequent first words (more than
-``hot``) goes through a grouped aggregate with map-side sums instead of a sort within one task.
-Words and windows are compared by 64-bit hashes, texts by MD5.
+``hot``) goes through a grouped aggregate with map-side sums instead of a sort within one task; there whole
+windows are compared by a 64-bit hash. Elsewhere each word is compared by its own 64-bit hash; texts by MD5.
 
 The first occurrence of a window, by least doc_id (nulls last), then by place, stays; the words of its
 other occurrences are removed.
@@ -75,8 +77,15 @@ class Grams:
         self.n = len(words)
         up, self.down = _powers(self.n + 1)
         h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, self.n)
+        self.words = h
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: self.n])])
 
+    def around(self, places: np.ndarray, left: int, right: int) -> np.ndarray:
+        """A row per place with the hashes of the words from left before it up to right after, 0 past either end."""
+        at = places[:, None] + np.arange(-left, right)
+        inside = (at >= 0) & (at < self.n)
+        return np.where(inside, np.maximum(self.words, np.uint64(1))[np.clip(at, 0, self.n - 1)], np.uint64(0))
+
     def hashes(self, length: int) -> np.ndarray:
         m = self.n - length + 1
         if m <= 0:
@@ -141,16 +150,15 @@ def _row_words(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[start : start + len(column) * width * 8].view(np.uint64).reshape(len(column), width)
 
 
-def _windows(texts: DataFrame, k: int, length: int, hot: np.ndarray, flat: bool) -> DataFrame:
-    """Per kept place the hashes of the windows with 0, 1, ... words to its left, 0 where none fits.
-
-    flat = False: (start, tkey, first, at, left) for starts that are not hot, the hashes in one binary;
-    flat = True: (w, tkey, first, at) for hot ones, a row for each window, at the place where it begins.
+def _windows(texts: DataFrame, k: int, length: int, flat: bool) -> DataFrame:
+    """flat = False: (start, tkey, first, at, around) of the kept places, with the hashes of the words around each in one
+    binary; flat = True: (w, tkey, first, at) of those with hot starts (often), a row for each window around the place,
+    at the place where it begins, with the window's hash.
     """
     first = texts.schema["first"].dataType
     schema = T.StructType([T.StructField("w" if flat else "start", T.LongType()), T.StructField("tkey", T.BinaryType()), T.StructField("first", first), T.StructField("at", T.IntegerType())])
     if not flat:
-        schema = schema.add("left", T.BinaryType())
+        schema = schema.add("around", T.BinaryType())
     w = length - k + 1
 
     def run(batches):
@@ -160,19 +168,13 @@ def _windows(texts: DataFrame, k: int, length: int, hot: np.ndarray, flat: bool)
                 start, at, left, n = [], [], [], []
                 for text, places in zip(part.column(2), part.column(3).to_pylist(), strict=True):
                     g, p = Grams(text.as_py()), np.array(places, np.int64)
-                    h = g.hashes(k)[p].view(np.int64)
-                    wanted = np.isin(h, hot) == flat
-                    h, p, x = h[wanted], p[wanted], g.hashes(length)
-                    s = p[:, None] - np.arange(w)
-                    fits = (s >= 0) & (s < len(x))
-                    # 0 marks a window that does not exist; a hash is 0 once in 2**64.
-                    hashes = np.where(fits, x[np.clip(s, 0, len(x) - 1)], np.uint64(0))
                     if flat:
                         # Windows around neighbouring places overlap: each counts once.
-                        begin, where = np.unique(s[fits], return_index=True)
-                        left.append(hashes[fits][where].view(np.int64)), at.append(begin.astype(np.int32)), n.append(len(begin))
+                        x, begin = g.hashes(length), np.unique(p[:, None] - np.arange(w))
+                        begin = begin[(begin >= 0) & (begin < len(x))]
+                        left.append(x[begin].view(np.int64)), at.append(begin.astype(np.int32)), n.append(len(begin))
                     else:
-                        left.append(hashes), start.append(h), at.append(p.astype(np.int32)), n.append(len(p))
+                        left.append(g.around(p, w - 1, length)), start.append(g.hashes(k)[p].view(np.int64)), at.append(p.astype(np.int32)), n.append(len(p))
                 rows = pa.array(np.repeat(np.arange(part.num_rows), n))
                 keys = [part.column(0).take(rows), part.column(1).take(rows), pa.array(np.concatenate(at))]
                 if flat:
@@ -180,30 +182,47 @@ def _windows(texts: DataFrame, k: int, length: int, hot: np.ndarray, flat: bool)
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(start)), *keys, _binary_rows(np.concatenate(left))], names=schema.names)
 
-    return texts.select("tkey", "first", "text", "places").mapInArrow(run, schema)
+    places = "often" if flat else "places"
+    return texts.where(F.size(places) > 0).select("tkey", "first", "text", places).mapInArrow(run, schema)
 
 
 def _span_schema(first) -> T.StructType:
     return T.StructType([T.StructField("tkey", T.BinaryType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("stays", T.BooleanType()), T.StructField("source", first)])
 
 
+def in_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted word by word, and how many leading words each has in common with the one before it (-1: the first)."""
+    order = np.lexsort(words.T[::-1])
+    same = words[order[1:]] == words[order[:-1]]
+    return order, np.concatenate([[-1], np.where(same.all(1), words.shape[1], same.argmin(1))])
+
+
 def neighbour_spans(rows: pa.Table, length: int) -> pa.Table:
-    """Sorts the extended suffixes of a task for each number of words to the left and compares neighbours."""
+    """Sorts the suffixes of a task to the right and to the left, compares neighbours, and gives the spans they share."""
     rows = rows.sort_by([("first", "ascending"), ("tkey", "ascending"), ("at", "ascending")]).combine_chunks()
     n = rows.num_rows
     at = rows.column("at").to_numpy()
-    w = len(rows.column("left")[0].as_py()) // 8
-    left = _row_words(rows.column("left").chunk(0), w)
-    source = np.full((n, w), -1, np.int32)  # row of the first occurrence of each repeated window
+    width = len(rows.column("around")[0].as_py()) // 8
+    w = width - length + 1
+    around = _row_words(rows.column("around").chunk(0), width)
+    sides = []
+    for words in (around[:, w - 1 :], around[:, : w - 1][:, ::-1]):
+        order, common = in_order(words)
+        sides.append((order, common, (words != 0).sum(1)))
+    source = np.full((n, w), -1, np.int32)  # row of the first occurrence of each shared window
     for a in range(w):
-        column = np.ascontiguousarray(left[:, a])
-        order = np.argsort(column, kind="stable")
-        sorted_ = column[order]
-        head = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
-        begin = np.flatnonzero(head)
-        group = np.cumsum(head) - 1
-        size = np.diff(np.append(begin, n))
-        twice = (size[group] > 1) & (sorted_ != 0)
+        key, whole = np.zeros(n, np.int64), np.ones(n, bool)
+        for (order, common, held), least in zip(sides, (length - a, a), strict=True):
+            run = np.empty(n, np.int64)
+            run[order] = np.cumsum(common < least)
+            key, whole = key * (n + 1) + run, whole & (held >= least)
+        here = np.flatnonzero(whole)
+        if not len(here):
+            continue
+        order = here[np.argsort(key[here], kind="stable")]
+        head = np.concatenate([[True], np.diff(key[order]) != 0])
+        begin, group = np.flatnonzero(head), np.cumsum(head) - 1
+        twice = np.diff(np.append(begin, len(order)))[group] > 1
         source[order[twice], a] = order[begin[group[twice]]]
     # Windows that differ by one word to the left and share a source make one span.
     turn = np.ones((n, w + 1), bool)
@@ -228,7 +247,7 @@ def _merged(pairs: list[tuple[int, int]]) -> list[dict]:
     return [{"begin": b, "end": e} for b, e in out]
 
 
-def _spread(flat: DataFrame, length: int, total: int) -> DataFrame:
+def _spread(flat: DataFrame, length: int, windows: int) -> DataFrame:
     """Spans of kept suffixes too frequent for one task: rows of window hashes, summed before they are shuffled.
 
     Windows that make up a hundred-thousandth of all rows or more are few, and go to the rows; the others are joined.
@@ -236,7 +255,7 @@ def _spread(flat: DataFrame, length: int, total: int) -> DataFrame:
     flat = materialize(flat.withColumn("me", F.struct(F.col("first").isNull(), "first", "tkey", "at")), "flat")
     ends = flat.groupBy("w").agg(F.min("me").alias("lo"), F.max("me").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("w", "lo", "m")
     ends = materialize(ends, "ends")
-    often = max(1_000, total * (LENGTH - K + 1) // 100_000)
+    often = max(1_000, windows // 100_000)
     hot, rest = F.broadcast(ends.where(F.col("m") >= often).drop("m")), ends.where(F.col("m") < often).drop("m")
     met = flat.join(hot, "w").unionByName(flat.join(hot.select("w"), "w", "left_anti").join(rest, "w"))
     return met.select("tkey", F.col("at").alias("begin"), (F.col("at") + length).alias("end"), (F.col("me") == F.col("lo")).alias("stays"), F.col("lo.first").alias("source"))
@@ -268,17 +287,16 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = H
     texts = rows.groupBy("tkey").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"))
     kept = rows.groupBy("tkey").agg(F.first(F.arrays_zip("starts", "at")).alias("s")).select("tkey", F.explode("s").alias("s")).select("tkey", "s.starts", "s.at")
     common = materialize(kept.groupBy("starts").agg(F.count("*").alias("m")).where("m > 1"), "common")
-    places = kept.join(common.select("starts"), "starts", "left_semi").groupBy("tkey").agg(F.collect_list("at").alias("places"))
+    of = lambda flag: F.collect_list(F.when(flag, F.col("at")))
+    places = kept.join(common.select("starts", (F.col("m") > hot).alias("hot")), "starts").groupBy("tkey").agg(of(~F.col("hot")).alias("places"), of(F.col("hot")).alias("often"))
     wanted = materialize(places.join(texts.select("tkey", "first"), "tkey"), "wanted")
     # Texts without a start in common stay where they are.
     found = _marked(_keyed(docs), "tkey", wanted.select("tkey"), "maybe").where("maybe").drop("maybe")
-    found = found.join(wanted.hint("merge"), "tkey").where(F.col("doc_id").eqNullSafe(F.col("first"))).select("tkey", "first", "text", "places")
+    found = found.join(wanted.hint("merge"), "tkey").where(F.col("doc_id").eqNullSafe(F.col("first"))).select("tkey", "first", "text", "places", "often")
     if rows.groupBy("tkey", "doc_id").count().where("count > 1").limit(1).count():
         found = found.dropDuplicates(["tkey"])
     size = common.agg(F.sum("m"), F.max("m")).first()
     total, most = size[0] or 0, size[1] or 0
-    limit = max(hot, total // 100_000)  # so at most 100,000 starts are more frequent: the bound of what is sent below
-    many = np.array([r[0] for r in common.where(F.col("m") > limit).select("starts").collect()] if most > limit else [], np.int64)
     spans = _span_schema(rows.schema["doc_id"].dataType)
 
     def run(batches):
@@ -287,9 +305,9 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = H
             yield from neighbour_spans(pa.Table.from_batches(held), length).to_batches()
 
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // ROWS_PER_TASK))
-    out = _windows(found, k, length, many, False).repartition(tasks, "start").mapInArrow(run, spans)
-    if len(many):
-        out = out.union(_spread(_windows(found, k, length, many, True), length, total))
+    out = _windows(found, k, length, False).repartition(tasks, "start").mapInArrow(run, spans)
+    if most > hot:
+        out = out.union(_spread(_windows(found, k, length, True), length, total * (length - k + 1)))
     gathered = out.groupBy("tkey").agg(F.collect_set(F.struct("begin", "end", "stays")).alias("spans"), F.collect_set("source").alias("sources"))
     pair = "array<struct<begin:int,end:int>>"
     schema = T.StructType([T.StructField("tkey", T.BinaryType()), T.StructField("repeated", T._parse_datatype_string(pair)), T.StructField("removed", T._parse_datatype_string(pair)), gathered.schema["sources"]])
