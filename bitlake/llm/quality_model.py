@@ -202,8 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: int
     shared = docs.sparkSession.sparkContext.broadcast(pooler.table)
     chosen = labels.where(F.col("quality").isin(0, 1) & (fold(folds) != held)).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.col("text").cast("binary").alias("text"))
-    # Ids may repeat among the documents, so the rows are bounded once more.
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("text")).limit(max_rows).select("quality", "text")
+    if rows.count() > max_rows:  # ids may repeat among the documents, so the rows are bounded once more
+        rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("text")).limit(max_rows).repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    rows = rows.select("quality", "text")
 
     def run(batches):
         pool = Pooler.__new__(Pooler)
