@@ -195,10 +195,21 @@ def _bitmap(spark, sf_dir, kind=None):
 
 
 def _asked(spark, sf_dir):
-    return read(spark, sf_dir, "events").where("event_id % 10 = 3").select((F.col("user_id") % 20).alias("bitmap_id"), (F.col("event_id") * 3 % 12000).alias("position")).distinct()
+    """Positions from all events, over the whole range of each bitmap, and the bitmap's number of ones."""
+    e = _events(spark, sf_dir).select((F.col("user_id") % 20).alias("bitmap_id"), F.col("event_id"))
+    size = e.groupBy("bitmap_id").agg(((F.shiftright(F.max("event_id"), 6) + 1) * 64).alias("size"), F.count_distinct("event_id").alias("ones"))
+    return e.join(size, "bitmap_id").select("bitmap_id", (F.col("event_id") * 3 % F.col("size")).alias("position"), "ones").distinct()
+
 
+def _positions(spark, sf_dir):
+    return _asked(spark, sf_dir).select("bitmap_id", "position")
 
-_E = "e AS (SELECT DISTINCT user_id % 20 AS bitmap_id, event_id AS position FROM events), a AS (SELECT DISTINCT user_id % 20 AS bitmap_id, event_id * 3 % 12000 AS position FROM events WHERE event_id % 10 = 3)"
+
+_E = """e AS (SELECT DISTINCT user_id % 20 AS bitmap_id, event_id AS position FROM events),
+s AS (SELECT bitmap_id, (max(position) // 64 + 1) * 64 AS size, count(*) AS ones FROM e GROUP BY 1),
+a AS (SELECT DISTINCT bitmap_id, position * 3 % size AS position FROM e JOIN s USING (bitmap_id)),
+u AS (SELECT *, 1 AS one FROM e UNION ALL SELECT *, 0 AS one FROM a),
+b AS (SELECT bitmap_id, position, one, (sum(one) OVER (PARTITION BY bitmap_id ORDER BY position, one))::BIGINT AS rank FROM u)"""
 _WORDS = "list_sum(list_transform(list_distinct(list(position & 63)), lambda j: 1::UBIGINT << j::UBIGINT))"
 _SIGNED = "CASE WHEN w >= 9223372036854775808 THEN (w::HUGEINT - 18446744073709551616)::BIGINT ELSE w::BIGINT END"
 
@@ -223,69 +234,43 @@ def bitmap_count_ones(spark, sf_dir):
 
 
 def bitmap_bit(spark, sf_dir):
-    return bitmaps.bit(_bitmap(spark, sf_dir), _asked(spark, sf_dir)).select("bitmap_id", "position", F.coalesce("bit", F.lit(False)).alias("bit"))
+    return bitmaps.bit(_bitmap(spark, sf_dir), _positions(spark, sf_dir)).select("bitmap_id", "position", F.coalesce("bit", F.lit(False)).alias("bit"))
 
 
 def bitmap_set_bits(spark, sf_dir):
-    return bitmaps.set_bits(_bitmap(spark, sf_dir), _asked(spark, sf_dir))
+    return bitmaps.set_bits(_bitmap(spark, sf_dir), _positions(spark, sf_dir))
 
 
 def bitmap_clear_bits(spark, sf_dir):
-    return bitmaps.clear_bits(_bitmap(spark, sf_dir), _asked(spark, sf_dir)).where("word != 0")
+    return bitmaps.clear_bits(_bitmap(spark, sf_dir), _positions(spark, sf_dir)).where("word != 0")
+
+
+def _mask(spark, sf_dir):
+    return bitmaps.from_positions(_positions(spark, sf_dir), F.col("bitmap_id"), F.col("position"))
 
 
 def _combine(how):
     def query(spark, sf_dir):
-        asked = _asked(spark, sf_dir)
-        return bitmaps.combine(_bitmap(spark, sf_dir), bitmaps.from_positions(asked, F.col("bitmap_id"), F.col("position")), how)
+        return bitmaps.combine(_bitmap(spark, sf_dir), _mask(spark, sf_dir), how)
 
     return query
 
 
-def _asked_whole(spark, sf_dir):
-    """Positions from all events, over the whole range of each bitmap."""
-    e = _events(spark, sf_dir).select((F.col("user_id") % 20).alias("bitmap_id"), F.col("event_id"))
-    size = e.groupBy("bitmap_id").agg(((F.shiftright(F.max("event_id"), 6) + 1) * 64).alias("size"), F.count_distinct("event_id").alias("ones"))
-    return e.join(size, "bitmap_id").select("bitmap_id", (F.col("event_id") * 3 % F.col("size")).alias("position"), "ones").distinct()
-
-
-def _mask(a):
-    return bitmaps.from_positions(a, F.col("bitmap_id"), F.col("position"))
-
-
-#: name -> (bitmap, positions asked) to result; the bitmap queries below and above over all positions.
-BITMAPS_WHOLE: dict = {
-    "bitmap_bit": lambda b, a: bitmaps.bit(b, a).select("bitmap_id", "position", F.coalesce("bit", F.lit(False)).alias("bit")),
-    "bitmap_set_bits": lambda b, a: bitmaps.set_bits(b, a),
-    "bitmap_clear_bits": lambda b, a: bitmaps.clear_bits(b, a).where("word != 0"),
-    **{f"bitmap_{how}": lambda b, a, how=how: bitmaps.combine(b, _mask(a), how) for how in ("and", "or", "xor", "andnot")},
-    "bitmap_rank": lambda b, a: bitmaps.rank(b, a),
-    "bitmap_rank0": lambda b, a: bitmaps.rank0(b, a),
-    "bitmap_next_set": lambda b, a: bitmaps.next_set_from(b, a),
-    "bitmap_filter_pack": lambda b, a: bitmaps.filter_pack(b, _mask(a)).where("word != 0"),
-}
-
-
-def bitmap_select_whole(spark, sf_dir):
-    asked = _asked_whole(spark, sf_dir).select("bitmap_id", (F.col("position") % F.col("ones")).alias("k")).distinct()
-    return bitmaps.select(_bitmap(spark, sf_dir), asked)
-
-
 def bitmap_rank(spark, sf_dir):
-    return bitmaps.rank(_bitmap(spark, sf_dir), _asked(spark, sf_dir))
+    return bitmaps.rank(_bitmap(spark, sf_dir), _positions(spark, sf_dir))
 
 
 def bitmap_rank0(spark, sf_dir):
-    return bitmaps.rank0(_bitmap(spark, sf_dir), _asked(spark, sf_dir))
+    return bitmaps.rank0(_bitmap(spark, sf_dir), _positions(spark, sf_dir))
 
 
 def bitmap_select(spark, sf_dir):
-    asked = _asked(spark, sf_dir).select("bitmap_id", (F.col("position") % 700).alias("k")).distinct()
+    asked = _asked(spark, sf_dir).select("bitmap_id", (F.col("position") % F.col("ones")).alias("k")).distinct()
     return bitmaps.select(_bitmap(spark, sf_dir), asked)
 
 
 def bitmap_next_set(spark, sf_dir):
-    return bitmaps.next_set_from(_bitmap(spark, sf_dir), _asked(spark, sf_dir))
+    return bitmaps.next_set_from(_bitmap(spark, sf_dir), _positions(spark, sf_dir))
 
 
 def bitmap_find_run(spark, sf_dir):
@@ -298,8 +283,7 @@ def bitmap_directory(spark, sf_dir):
 
 
 def bitmap_filter_pack(spark, sf_dir):
-    asked = _asked(spark, sf_dir)
-    return bitmaps.filter_pack(_bitmap(spark, sf_dir), bitmaps.from_positions(asked, F.col("bitmap_id"), F.col("position"))).where("word != 0")
+    return bitmaps.filter_pack(_bitmap(spark, sf_dir), _mask(spark, sf_dir)).where("word != 0")
 
 
 def _primes(spark):
@@ -347,11 +331,6 @@ def edit_distance(spark, sf_dir):
 
 
 def edit_distance_conversations(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations").where("length(text) <= 300")
-    return c.select("conv_id", "turn", "role", fuzzy.distance(F.lit("naïve über search"), F.col("text")).alias("d"))
-
-
-def edit_distance_conversations_whole(spark, sf_dir):
     """Every turn of any length; null where the text is null."""
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", fuzzy.distance(F.lit("naïve über search"), F.col("text")).alias("d"))
 
@@ -392,25 +371,24 @@ c AS (SELECT p_partkey, s, 0 AS j, [0, 1, 2, 3, 4] AS col FROM t
 # --- lanes --------------------------------------------------------------------
 
 
-def _lanes(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", L.of_text(F.col("text")).alias("a"), L.of_text(F.col("text"), 16).alias("b"), L.of_text(F.col("text"), 32).alias("c")).where("c is not null")
-
-
 def _vectors(spark, sf_dir):
     """Every 16-byte vector of every text as a, the two after it as b and c, zeros past its end; an empty text has one, a null text a null one."""
     raw = F.col("text").cast("binary")
     last = F.greatest(F.lit(0), F.floor((F.octet_length(raw) - 1) / 16)).cast("int")
     parts = F.transform(F.array(raw), lambda t: F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(t, 16 * i + 1, F.lit(48))))[0]
     d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(F.when(raw.isNotNull(), parts)).alias("vector", "part"))
-    h = F.rpad(F.hex("part"), 96, "0")
-    at = lambda k: F.when(F.col("part").isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(F.substring(h, 2 * i + 2 * k + 1, F.lit(2)), 16, 10).cast("int")))
-    return d.select("doc_id", "vector", F.when(F.col("part").isNotNull(), F.least(F.lit(16), F.octet_length("part"))).alias("length"), at(0).alias("a"), at(16).alias("b"), at(32).alias("c"))
+    half = lambda k: F.conv(F.hex(F.rpad(F.substring("part", 8 * k + 1, 8), F.lit(8), F.lit(b"\0"))), 16, -10).cast("long")
+    d = d.select("doc_id", "vector", F.when(F.col("part").isNotNull(), F.least(F.lit(16), F.octet_length("part"))).alias("length"), *[half(k).alias(f"w{k}") for k in range(6)])
+    at = lambda k: F.when(F.col("vector").isNotNull(), F.array(*[F.shiftrightunsigned(f"w{w}", n).bitwiseAND(255).cast("int") for w in (k, k + 1) for n in range(56, -1, -8)]))
+    return d.select("doc_id", "vector", "length", at(0).alias("a"), at(2).alias("b"), at(4).alias("c"))
 
 
 _HEX = "'0123456789ABCDEF'"
 _bytes = lambda at: f"list_transform(range(16), lambda j: 16 * (instr({_HEX}, substr(h, (2 * ({at} + j) + 1)::BIGINT, 1)) - 1) + instr({_HEX}, substr(h, (2 * ({at} + j) + 2)::BIGINT, 1)) - 1)"
-_LANES = f"WITH l AS (SELECT doc_id, {_bytes(0)} AS a, {_bytes(16)} AS b, {_bytes(32)} AS c FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE strlen(text) >= 48))"
+_LANES = f"""WITH t AS (SELECT doc_id, text IS NULL AS absent, CASE WHEN text = '' THEN [''] ELSE regexp_extract_all(hex(encode(text)), '.{{1,32}}') END AS p FROM documents),
+u AS (SELECT doc_id, unnest(CASE WHEN absent THEN [NULL] ELSE range(len(p)) END)::INT AS vector, unnest(CASE WHEN absent THEN [NULL] ELSE p END) AS x, unnest(p[2:]) AS y, unnest(p[3:]) AS z FROM t),
+r AS (SELECT doc_id, vector, (length(x) // 2)::INT AS length, rpad(x || coalesce(y, '') || coalesce(z, ''), 96, '0') AS h FROM u),
+l AS (SELECT doc_id, vector, length, {_bytes(0)} AS a, {_bytes(16)} AS b, {_bytes(32)} AS c FROM r)"""
 _zip = lambda e: f"list_transform(range(1, 17), lambda j: ({e})::INT)"
 _A, _B, _C = "a[j]", "b[j]", "c[j]"
 _bits = lambda e: f"list_sum(list_transform(range(8), lambda q: CASE WHEN {e} THEN 1 << q ELSE 0 END))"
@@ -520,7 +498,7 @@ for _f in (
     hilbert2_encode, hilbert2_decode, morton2_columns, hilbert_from_morton, morton_from_hilbert, hilbert3_encode, hilbert3_decode, hilbert3_from_morton, morton3_from_hilbert, morton2_decode_columns, hilbert_path_adjacent, quantise,
     spatial_orders_days, zone_map_prune, zone_map_blocks, quadtree_rollup, spatial_range_join,
     bitmap_from_positions, bitmap_positions, bitmap_count_ones, bitmap_bit, bitmap_set_bits, bitmap_clear_bits, bitmap_rank, bitmap_rank0, bitmap_select, bitmap_next_set, bitmap_find_run, bitmap_directory, bitmap_filter_pack, bitmap_prime_sieve, bitmap_twin_primes, bitmap_extent, sql_functions,
-    edit_distance, edit_distance_conversations, edit_distance_conversations_whole, fuzzy_topk, fuzzy_join, fuzzy_substring_distance, fuzzy_search, fuzzy_occurrences,
+    edit_distance, edit_distance_conversations, fuzzy_topk, fuzzy_join, fuzzy_substring_distance, fuzzy_search, fuzzy_occurrences,
     grid_block_starts, grid_find_block, grid_fill_block, grid_clear_block, json_structure, byte_class_counts, byte_map,
 ):
     QUERIES[_f.__name__] = _f
@@ -567,13 +545,13 @@ SELECT * FROM z WHERE EXISTS (SELECT 1 FROM h WHERE x BETWEEN %d AND %d AND y BE
     "bitmap_or": _words_sql("SELECT * FROM e UNION SELECT * FROM a"),
     "bitmap_xor": _words_sql("(SELECT * FROM e EXCEPT SELECT * FROM a) UNION (SELECT * FROM a EXCEPT SELECT * FROM e)"),
     "bitmap_andnot": _words_sql("SELECT * FROM e EXCEPT SELECT * FROM a"),
-    "bitmap_rank": f"WITH {_E} SELECT a.*, (SELECT count(*) FROM e WHERE e.bitmap_id = a.bitmap_id AND e.position < a.position) AS rank FROM a",
-    "bitmap_rank0": f"WITH {_E}, s AS (SELECT bitmap_id, (max(position) // 64 + 1) * 64 AS size FROM e GROUP BY 1) SELECT a.*, least(a.position, s.size) - (SELECT count(*) FROM e WHERE e.bitmap_id = a.bitmap_id AND e.position < a.position) AS rank0 FROM a JOIN s USING (bitmap_id)",
-    "bitmap_select": f"WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY bitmap_id ORDER BY position) - 1 AS k FROM e), q AS (SELECT DISTINCT bitmap_id, position % 700 AS k FROM a) SELECT q.bitmap_id, q.k, r.position FROM q LEFT JOIN r USING (bitmap_id, k)",
-    "bitmap_next_set": f"WITH {_E} SELECT a.*, (SELECT min(e.position) FROM e WHERE e.bitmap_id = a.bitmap_id AND e.position >= a.position) AS next FROM a",
+    "bitmap_rank": f"WITH {_E} SELECT bitmap_id, position, rank FROM b WHERE one = 0",
+    "bitmap_rank0": f"WITH {_E} SELECT bitmap_id, position, position - rank AS rank0 FROM b WHERE one = 0",
+    "bitmap_select": f"WITH {_E}, q AS (SELECT DISTINCT bitmap_id, position % ones AS k FROM a JOIN s USING (bitmap_id)) SELECT q.bitmap_id, q.k, b.position FROM q JOIN b ON q.bitmap_id = b.bitmap_id AND b.one = 1 AND b.rank = q.k + 1",
+    "bitmap_next_set": f"WITH {_E} SELECT bitmap_id, position, next FROM (SELECT *, min(position) FILTER (one = 1) OVER (PARTITION BY bitmap_id ORDER BY position, one ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next FROM u) WHERE one = 0",
     "bitmap_find_run": "WITH e AS (SELECT DISTINCT user_id % 2 AS bitmap_id, event_id // 3 AS p FROM events), r AS (SELECT *, lead(p, 4) OVER (PARTITION BY bitmap_id ORDER BY p) AS q FROM e) SELECT bitmap_id, min(p) AS start FROM r WHERE q = p + 4 GROUP BY 1",
     "bitmap_directory": f"WITH {_E}, w AS (SELECT bitmap_id, position >> 6 AS word_idx, count(*) AS ones FROM e GROUP BY ALL) SELECT bitmap_id, word_idx, (sum(ones) OVER (PARTITION BY bitmap_id ORDER BY word_idx) - ones)::BIGINT AS before, ones FROM w",
-    "bitmap_filter_pack": f"WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY bitmap_id ORDER BY position) - 1 AS k FROM a), s AS (SELECT r.bitmap_id, r.k AS position FROM r JOIN e USING (bitmap_id, position)) SELECT bitmap_id, word_idx, {_SIGNED} AS word FROM (SELECT bitmap_id, position >> 6 AS word_idx, {_WORDS} AS w FROM s GROUP BY ALL)",
+    "bitmap_filter_pack": f"WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY bitmap_id ORDER BY position) - 1 AS k FROM a), f AS (SELECT r.bitmap_id, r.k AS position FROM r JOIN e USING (bitmap_id, position)) SELECT bitmap_id, word_idx, {_SIGNED} AS word FROM (SELECT bitmap_id, position >> 6 AS word_idx, {_WORDS} AS w FROM f GROUP BY ALL)",
     "bitmap_prime_sieve": f"{_PRIMES} SELECT count(*) AS n, max(p) AS last FROM primes",
     "bitmap_twin_primes": f"{_PRIMES} SELECT p AS position FROM (SELECT p, lead(p) OVER (ORDER BY p) AS q FROM primes) WHERE q = p + 2",
     "bitmap_extent": f"WITH {_E} SELECT bitmap_id, max(position) // 64 + 1 AS words, (max(position) // 64 + 1) * 64 AS bits, false AS is_empty FROM e GROUP BY 1",
@@ -581,7 +559,7 @@ SELECT * FROM z WHERE EXISTS (SELECT 1 FROM h WHERE x BETWEEN %d AND %d AND y BE
     "(CASE WHEN o_orderkey = 0 THEN 0 ELSE o_orderkey & (o_orderkey - 1) END)::BIGINT AS c, CASE WHEN o_orderkey = 0 THEN 64 ELSE list_position(list_transform(range(64), lambda j: (o_orderkey >> j) & 1), 1) - 1 END::INT AS t, "
     f"xor(o_orderkey, o_orderkey >> 1) AS g, bit_count(o_custkey) % 2 = 1 AS p, {_MORTON.format(x='o_orderkey', y='o_custkey', n=31)} AS m, levenshtein(o_orderpriority, 'ségment')::INT AS d FROM orders",
     "edit_distance": "SELECT p_partkey, levenshtein(p_name, p_type)::INT AS d FROM part",
-    "edit_distance_conversations": "SELECT conv_id, turn, role, levenshtein('naïve über search', text)::INT AS d FROM conversations WHERE length(text) <= 300",
+    "edit_distance_conversations": "SELECT conv_id, turn, role, levenshtein('naïve über search', text)::INT AS d FROM conversations",
     "fuzzy_topk": "SELECT DISTINCT p_name, levenshtein('part blue 7', p_name)::INT AS distance FROM part ORDER BY distance, p_name LIMIT 10",
     "fuzzy_join": "SELECT c_custkey, s_suppkey, levenshtein(c_name, replace(s_name, 'Supplier', 'Customer'))::INT AS distance FROM customer, supplier WHERE abs(strlen(c_name) - strlen(s_name)) <= 1 AND levenshtein(c_name, replace(s_name, 'Supplier', 'Customer')) <= 1",
     "fuzzy_substring_distance": _SEMI + " SELECT p_partkey, min(col[5])::INT AS d FROM c GROUP BY 1",
@@ -595,19 +573,11 @@ SELECT * FROM z WHERE EXISTS (SELECT 1 FROM h WHERE x BETWEEN %d AND %d AND y BE
     "byte_class_counts": "SELECT page_id, length(regexp_replace(html, '[^0-9]', '', 'g'))::INT AS digits, length(regexp_replace(html, '[^<>]', '', 'g'))::INT AS brackets, strlen(regexp_replace(html, '[\\x00-\\x7f]', '', 'g'))::INT AS high FROM pages",
     "byte_map": "SELECT p_partkey, translate(p_name, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz') AS name FROM part",
 }
-QUERIES["bitmap_select_whole"] = bitmap_select_whole
-for _name, _build in BITMAPS_WHOLE.items():
-    QUERIES[f"{_name}_whole"] = lambda spark, sf_dir, build=_build: build(_bitmap(spark, sf_dir), _asked_whole(spark, sf_dir).select("bitmap_id", "position"))
 for _name, (_build, _value) in LANES.items():
 
     def _query(spark, sf_dir, build=_build, whole=_value[0] == "="):
-        v = build(F.col("a"), F.col("b"), F.col("c"))
-        return _lanes(spark, sf_dir).select("doc_id", (v if whole else F.concat_ws(",", v.cast("array<string>"))).alias("v"))
-
-    def _whole(spark, sf_dir, build=_build, whole=_value[0] == "="):
         v = build(F.col("a"), F.col("b"), F.col("c"))
         return _vectors(spark, sf_dir).select("doc_id", "vector", "length", F.when(F.col("a").isNotNull(), v if whole else F.concat_ws(",", v.cast("array<string>"))).alias("v"))
 
     QUERIES[_name] = _query
-    QUERIES[f"{_name}_whole"] = _whole
-    ORACLES[_name] = f"{_LANES} SELECT doc_id, {_value[1:] if _value[0] == '=' else f"array_to_string({_zip(_value)}, ',')"} AS v FROM l"
+    ORACLES[_name] = f"{_LANES} SELECT doc_id, vector, length, CASE WHEN vector IS NOT NULL THEN {_value[1:] if _value[0] == '=' else f"array_to_string({_zip(_value)}, ',')"} END AS v FROM l"

@@ -120,6 +120,9 @@ _sx, _sy = SIGNED.format(w="x"), SIGNED.format(w="y")
 _mul = f"((x::UHUGEINT * (y & 4294967295)::UHUGEINT % {TWO64} + ((x::UHUGEINT * (y >> 32)::UHUGEINT) % 4294967296) * 4294967296) % {TWO64})::UBIGINT"
 _low = lambda n: f"(CASE WHEN {n} >= 64 THEN 18446744073709551615::UBIGINT ELSE (1::UBIGINT << ({n})::UBIGINT) - 1 END)"
 _odd_run = f"(NOT ({b('x', 'j')})) AND j > 0 AND (j - 1 - coalesce(list_max(list_filter(range(0, j), lambda q: NOT ({b('x', 'q')}))), -1)) % 2 = 1"
+# g holds the lowest set place and the lowest empty one above it: the run between moves its top bit up one place, its others to the bottom.
+_run = f"[{least(b('x', 'j'))}, {least(f'NOT ({b("x", "j")}) AND (x & {_low("j")}) > 0')}]"
+_next_popcount = f"list_extract(list_transform([{_run}], lambda g: CASE WHEN g[2] IS NOT NULL THEN {v(f'j = g[2] OR (j > g[2] AND {b("x", "j")}) OR j < g[2] - g[1] - 1')} END), 1)"
 
 #: name -> (column of one operator, SQL of its value, "word" | "int" | "bool"); built by layered().
 OPS: dict = {
@@ -191,11 +194,12 @@ OPS: dict = {
     "bits_ternary": (lambda let, x, y, m, k, i: B.ternary(x, y, m, 0x6B), _table(0x6B), "word"),
     "bits_signed_add_overflows": (lambda let, x, y, m, k, i: B.signed_add_overflows(x, y), f"NOT ({_sx} + {_sy}) BETWEEN -9223372036854775808 AND 9223372036854775807", "bool"),
     "bits_signed_sub_overflows": (lambda let, x, y, m, k, i: B.signed_sub_overflows(x, y), f"NOT ({_sx} - {_sy}) BETWEEN -9223372036854775808 AND 9223372036854775807", "bool"),
-    "bits_next_same_popcount": (lambda let, x, y, m, k, i: B.next_same_popcount(F.shiftrightunsigned(x, 52), let=let), "CASE WHEN x >> 52 > 0 THEN list_min(list_filter(range(((x >> 52) + 1)::BIGINT, 16384), lambda q: bit_count(q) = bit_count(x >> 52))) END", "word"),
+    # 0 where there is none: nulls would make pandas turn whole words into floats.
+    "bits_next_same_popcount": (lambda let, x, y, m, k, i: F.coalesce(B.next_same_popcount(x, let=let), W.word(0)), f"coalesce({_next_popcount}, 0)", "word"),
     "bits_next_subset": (lambda let, x, y, m, k, i: B.next_subset(x, W.word(0xF0B5)), f"(SELECT min(s) FROM (SELECT unnest([{', '.join(str(s) for s in B.subsets(0xF0B5))}]) AS s) WHERE s > x & {0xF0B5})", "word"),
-    "bits_is_pow2": (lambda let, x, y, m, k, i: B.is_pow2(F.shiftrightunsigned(x, 58)), "bit_count(x >> 58) = 1", "bool"),
+    "bits_is_pow2": (lambda let, x, y, m, k, i: B.is_pow2(x), "bit_count(x) = 1", "bool"),
     "bits_round_down_pow2": (lambda let, x, y, m, k, i: B.round_down_pow2(x, let), f"CASE WHEN x > 0 THEN 1::UBIGINT << {most(b('x', 'j'))}::UBIGINT END", "word"),
-    "bits_round_up_pow2": (lambda let, x, y, m, k, i: B.round_up_pow2(F.shiftrightunsigned(x, 20), let=let), "CASE WHEN x >> 20 = 0 THEN 1 ELSE list_min(list_filter(list_transform(range(64), lambda j: 1::UBIGINT << j::UBIGINT), lambda q: q >= x >> 20)) END", "word"),
+    "bits_round_up_pow2": (lambda let, x, y, m, k, i: B.round_up_pow2(x, let=let), "CASE WHEN x = 0 THEN 1 ELSE list_min(list_filter(list_transform(range(64), lambda j: 1::UBIGINT << j::UBIGINT), lambda q: q >= x)) END", "word"),
     "bits_log2_floor": (lambda let, x, y, m, k, i: B.log2_floor(x, let), most(b("x", "j")), "int"),
     "bits_log2_ceil": (lambda let, x, y, m, k, i: B.log2_ceil(x, let), "CASE WHEN x > 0 THEN coalesce(list_min(list_filter(range(64), lambda j: (1::UBIGINT << j::UBIGINT) >= x)), 64) END", "int"),
     "bits_lanes": (lambda let, x, y, m, k, i: W.or_(B.lanes_lo(), B.lanes_hi()), str(B.LOW_LANES | B.HIGH_LANES) + "::UBIGINT", "word"),
@@ -320,26 +324,10 @@ for _name, (_build, _value, _kind) in WIDE_SCALARS.items():
 
 
 def wide_wrapping_mul(spark, sf_dir):
-    p, q = F.array(F.col("x"), W.word(0)), F.array(F.shiftrightunsigned("y", 4), W.word(0))
-    out = W.layered(words(spark, sf_dir).where("id % 16 = 0"), a=lambda let: X.wmul(p, q, 2, let))
-    return out.select("id", F.get("a", F.lit(0)).alias("low"), F.get("a", F.lit(1)).alias("high"))
-
-
-def wide_wrapping_mul_whole(spark, sf_dir):
-    """Every row, both operands of two full limbs."""
     p, q, _, _ = wide_columns()
     return W.layered(words(spark, sf_dir), a=lambda let: X.wmul(p, q, 2, let)).select("id", F.get("a", F.lit(0)).alias("low"), F.get("a", F.lit(1)).alias("high"))
 
 
-def bits_next_same_popcount_whole(spark, sf_dir):
-    out = W.layered(words(spark, sf_dir), v=lambda let: B.next_same_popcount(F.col("x"), let=let))
-    return out.select("id", "v")
-
-
-def bits_is_pow2_whole(spark, sf_dir):
-    return words(spark, sf_dir).select("id", B.is_pow2(F.col("x")).alias("v"))
-
-
 def bits_positions(spark, sf_dir):
     return words(spark, sf_dir).select("id", F.explode(B.positions(F.col("x"))).alias("p"))
 
@@ -354,11 +342,11 @@ def bits_subsets(spark, sf_dir):
     return low.select("id", F.explode(B.subsets_of(F.col("s"))).alias("subset"))
 
 
-QUERIES |= {"wide_wrapping_mul_whole": wide_wrapping_mul_whole, "bits_next_same_popcount_whole": bits_next_same_popcount_whole, "bits_is_pow2_whole": bits_is_pow2_whole}
 QUERIES |= {"wide_wrapping_mul": wide_wrapping_mul, "bits_positions": bits_positions, "bits_positions_back": bits_positions_back, "bits_subsets": bits_subsets}
-_prod = "(x::UHUGEINT * (y >> 4)::UHUGEINT)"
+_prod = lambda a, b: f"({a}::UHUGEINT * {b}::UHUGEINT)"
+_high = f"({_prod('x', 'y')} // {TWO64} + {_prod('x', 'm')} % {TWO64} + {_prod('y', 'y')} % {TWO64}) % {TWO64}"
 ORACLES |= {
-    "wide_wrapping_mul": f"WITH {WORDS} SELECT id, {_cast('a', 'word')} AS low, {_cast('b', 'word')} AS high FROM (SELECT id, ({_prod} % {TWO64})::UBIGINT AS a, ({_prod} // {TWO64})::UBIGINT AS b FROM w WHERE id % 16 = 0)",
+    "wide_wrapping_mul": f"WITH {WORDS} SELECT id, {_cast('a', 'word')} AS low, {_cast('b', 'word')} AS high FROM (SELECT id, ({_prod('x', 'y')} % {TWO64})::UBIGINT AS a, ({_high})::UBIGINT AS b FROM w)",
     "bits_positions": f"WITH {WORDS} SELECT id, j::INT AS p FROM w, range(64) t(j) WHERE {b('x', 'j')}",
     "bits_positions_back": f"WITH {WORDS} SELECT id, (row_number() OVER (PARTITION BY id ORDER BY j DESC) - 1)::INT AS n, j::INT AS p FROM w, range(64) t(j) WHERE {b('x', 'j')}",
     "bits_subsets": f"WITH {WORDS} SELECT id, s AS subset FROM w, range(64) t(s) WHERE s::UBIGINT & ~(x & 63) = 0",
