@@ -195,14 +195,10 @@ def _bitmap(spark, sf_dir, kind=None):
 
 
 def _asked(spark, sf_dir):
-    """Positions from all events, over the whole range of each bitmap, and the bitmap's number of ones."""
+    """Positions from all events, over the whole range of each bitmap."""
     e = _events(spark, sf_dir).select((F.col("user_id") % 20).alias("bitmap_id"), F.col("event_id"))
-    size = e.groupBy("bitmap_id").agg(((F.shiftright(F.max("event_id"), 6) + 1) * 64).alias("size"), F.count_distinct("event_id").alias("ones"))
-    return e.join(size, "bitmap_id").select("bitmap_id", (F.col("event_id") * 3 % F.col("size")).alias("position"), "ones").distinct()
-
-
-def _positions(spark, sf_dir):
-    return _asked(spark, sf_dir).select("bitmap_id", "position")
+    size = e.groupBy("bitmap_id").agg(((F.shiftright(F.max("event_id"), 6) + 1) * 64).alias("size"))
+    return e.join(size, "bitmap_id").select("bitmap_id", (F.col("event_id") * 3 % F.col("size")).alias("position")).distinct()
 
 
 _E = """e AS (SELECT DISTINCT user_id % 20 AS bitmap_id, event_id AS position FROM events),
@@ -234,19 +230,19 @@ def bitmap_count_ones(spark, sf_dir):
 
 
 def bitmap_bit(spark, sf_dir):
-    return bitmaps.bit(_bitmap(spark, sf_dir), _positions(spark, sf_dir)).select("bitmap_id", "position", F.coalesce("bit", F.lit(False)).alias("bit"))
+    return bitmaps.bit(_bitmap(spark, sf_dir), _asked(spark, sf_dir)).select("bitmap_id", "position", F.coalesce("bit", F.lit(False)).alias("bit"))
 
 
 def bitmap_set_bits(spark, sf_dir):
-    return bitmaps.set_bits(_bitmap(spark, sf_dir), _positions(spark, sf_dir))
+    return bitmaps.set_bits(_bitmap(spark, sf_dir), _asked(spark, sf_dir))
 
 
 def bitmap_clear_bits(spark, sf_dir):
-    return bitmaps.clear_bits(_bitmap(spark, sf_dir), _positions(spark, sf_dir)).where("word != 0")
+    return bitmaps.clear_bits(_bitmap(spark, sf_dir), _asked(spark, sf_dir)).where("word != 0")
 
 
 def _mask(spark, sf_dir):
-    return bitmaps.from_positions(_positions(spark, sf_dir), F.col("bitmap_id"), F.col("position"))
+    return bitmaps.from_positions(_asked(spark, sf_dir), F.col("bitmap_id"), F.col("position"))
 
 
 def _combine(how):
@@ -257,20 +253,21 @@ def _combine(how):
 
 
 def bitmap_rank(spark, sf_dir):
-    return bitmaps.rank(_bitmap(spark, sf_dir), _positions(spark, sf_dir))
+    return bitmaps.rank(_bitmap(spark, sf_dir), _asked(spark, sf_dir))
 
 
 def bitmap_rank0(spark, sf_dir):
-    return bitmaps.rank0(_bitmap(spark, sf_dir), _positions(spark, sf_dir))
+    return bitmaps.rank0(_bitmap(spark, sf_dir), _asked(spark, sf_dir))
 
 
 def bitmap_select(spark, sf_dir):
-    asked = _asked(spark, sf_dir).select("bitmap_id", (F.col("position") % F.col("ones")).alias("k")).distinct()
-    return bitmaps.select(_bitmap(spark, sf_dir), asked)
+    bitmap = _bitmap(spark, sf_dir)
+    asked = _asked(spark, sf_dir).join(bitmaps.count_ones(bitmap), "bitmap_id").select("bitmap_id", (F.col("position") % F.col("ones")).alias("k")).distinct()
+    return bitmaps.select(bitmap, asked)
 
 
 def bitmap_next_set(spark, sf_dir):
-    return bitmaps.next_set_from(_bitmap(spark, sf_dir), _positions(spark, sf_dir))
+    return bitmaps.next_set_from(_bitmap(spark, sf_dir), _asked(spark, sf_dir))
 
 
 def bitmap_find_run(spark, sf_dir):
