@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -59,6 +60,18 @@ def materialize(df: DataFrame, label: str = "part") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(batches):
+    """batches of a worker's task. At their end, memory that the worker has freed goes back to the system: the worker
+    waits for its next task beside the JVM, in the same executor."""
+    import pyarrow as pa
+
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, also where body uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

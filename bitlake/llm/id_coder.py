@@ -30,15 +30,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitlake.llm.common import fresh_path
-from bitlake.llm.tokens import store, text_batches, vocabulary_path
+from bitlake.llm.common import fresh_path, released
+from bitlake.llm.tokens import slices, store, vocabulary_path
 
 BLOCK = 1 << 16
 #: Ids of a segment; the document that reaches it ends it.
 SEGMENT = 1 << 18
 END_ID = 2
-#: Rows that a worker takes out of a batch at once.
-ROWS = 512
+#: Bytes of text that a worker encodes at once.
+BYTES = 4 << 20
 _SOURCE = Path(__file__).with_name("IdCoder.java")
 _CLASS = "bitlake.IdCoder"
 
@@ -90,22 +90,24 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id:
 
         shard, number, chunks = TaskContext.get().partitionId(), 0, store(vocabulary)
         index, held, size = [], [], 0
-        end = np.array([end_id], np.uint32)
 
         def flush():
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, index[0].schema) as w:
                 w.write_table(pa.Table.from_batches(index))
-            row = (shard, number, size, sink.getvalue().to_pybytes(), np.concatenate(held).astype("<u4").tobytes())
+            row = (shard, number, size, sink.getvalue().to_pybytes(), np.concatenate(held).astype("<u4", copy=False).tobytes())
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=schema.names)
 
-        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-            for first, texts in text_batches(batch.column(1).to_pylist(), 1 << 20):
-                ids = [x for numbers in chunks.numbers(texts) for x in (chunks.encode(numbers), end)]
-                n = [len(x) + 1 for x in ids[::2]]
-                index.append(pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"]))
-                held += ids
-                size += sum(n)
+        for batch in (part for b in batches for part in slices(b, 1, BYTES)):
+            ids, ends = chunks.encoded(batch.column(1), end_id)
+            n, first, done = np.diff(ends, prepend=0), 0, 0
+            while first < len(ends):
+                # The document that fills the segment is its last.
+                last = min(len(ends), int(np.searchsorted(ends, done + segment - size)) + 1)
+                index.append(pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n[first:last])], names=["doc_id", "n_tokens"]))
+                held.append(ids[done : ends[last - 1]])
+                size += int(ends[last - 1]) - done
+                first, done = last, int(ends[last - 1])
                 if size >= segment:
                     yield flush()
                     number, index, held, size = number + 1, [], [], 0
@@ -115,7 +117,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id:
     shards = max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
     # Ranges by the id and the head of the text, so that rows that share an id spread and no whole text goes into a sample.
     ordered = docs.select("doc_id", "text", F.left("text", F.lit(32)).alias("head")).repartitionByRange(shards, "doc_id", "head").sortWithinPartitions("doc_id", "text").drop("head")
-    made = ordered.mapInArrow(run, schema)
+    made = ordered.mapInArrow(lambda batches: released(run(batches)), schema)
     made.select("shard", "segment", "tokens", "documents", encoded(F.col("ids"), docs.sparkSession, block).alias("body")).write.option("compression", "none").parquet(path)
 
 

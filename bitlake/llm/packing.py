@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitlake.llm.common import materialize
-from bitlake.llm.tokens import store, text_batches, vocabulary_path
+from bitlake.llm.common import materialize, released
+from bitlake.llm.tokens import slices, store, vocabulary_path
 
 CAPACITY = 4096
 END_ID = 1
 ROWS_PER_RANGE = 20_000
+#: Chunks of texts that a worker keeps, and bytes of text that it encodes at once; the pipeline's executors are short of memory here.
+CHUNKS, BYTES = 300_000, 2 << 20
 
 
 def complement(free: np.ndarray, gap: int, index: dict) -> tuple[int, ...] | None:
@@ -136,25 +138,23 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID,
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
     if ids:
         fields.append(T.StructField("ids", T.BinaryType()))
-    end = np.array([end_id], np.uint32)
 
     def run(batches):
-        chunks = store(path)
-        for batch in batches:
-            for first, texts in text_batches(batch.column(1).to_pylist()):
-                row, piece, start, length, crc, raw = [], [], [], [], [], []
-                for i, numbers in enumerate(chunks.numbers(texts)):
-                    whole = np.concatenate([chunks.encode(numbers), end]).astype("<u4").tobytes()
-                    n = len(whole) // 4
-                    for p, s in enumerate(range(0, n, capacity)):
-                        part = whole[4 * s : 4 * (s + capacity)]
-                        row.append(first + i), piece.append(p), start.append(s), length.append(len(part) // 4), crc.append(zlib.crc32(part))
-                        if ids:
-                            raw.append(part)
-                columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.binary())] * ids, names=[f.name for f in fields])
-
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
+        chunks = store(path, CHUNKS)
+        for batch in (part for b in batches for part in slices(b, 1, BYTES)):
+            whole, ends = chunks.encoded(batch.column(1), end_id)
+            starts = np.concatenate([[0], ends[:-1]])
+            many = -(-(ends - starts) // capacity)
+            row = np.repeat(np.arange(len(ends)), many)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            at = starts[row] + piece * capacity
+            length = np.minimum(capacity, ends[row] - at)
+            raw = memoryview(whole.astype("<u4", copy=False)).cast("B")
+            parts = [raw[4 * a : 4 * (a + n)] for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+            columns = [batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(map(bytes, parts), pa.binary())] * ids, names=[f.name for f in fields])
+
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: released(run(batches)), T.StructType(fields))
 
 
 def pack(made: DataFrame, capacity: int = CAPACITY, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:

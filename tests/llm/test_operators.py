@@ -7,11 +7,12 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from bitlake.llm import ann, id_coder, lm_scoring, mixing, packing, quality_model, quality_rules, queries, simhash, suffix_dedup, token_counts
-from bitlake.llm.tokens import ChunkStore, load, vocabulary_path
+from bitlake.llm.tokens import ChunkStore, load, slices, vocabulary_path
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, start int, n int, stratum string"
@@ -242,6 +243,31 @@ def test_chunk_store(name):
         assert store.encode(store.numbers([t])[0]).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_chunk_store_over_batches(name):
+    rng, tokenizer, store = random.Random(3), load(vocabulary_path(name)), ChunkStore(vocabulary_path(name), limit=60)
+    parts = ["a", "Word", " ", "  ", "\n", "\t ", ".", ",", "..", "a.b", "e\u0301.", "\u00e9,", "\u00a0", "\u0085", "\u2003", "\u205f", "\u3000", "\u1680", "\u200b", "\u6f22", "\U0001f600", "'s", "3.14", "<|endoftext|>"]
+    for n in (0, 1, 40):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(n)]
+        for kind in (pa.string(), pa.large_string()):
+            batch = pa.RecordBatch.from_arrays([pa.array(["left out", *texts], kind).slice(1)], names=["text"])
+            got = []
+            for part in slices(batch, 0, 50):
+                ids, ends = store.encoded(part.column(0), 7)
+                got += [x.tolist() for x in np.split(ids, ends)[:-1]]
+            assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids + [7] for t in texts]
+
+
+def test_chunk_store_keeps_what_is_used_and_no_more():
+    store, asked = ChunkStore(vocabulary_path("byte_bpe_50k.json"), limit=40), []
+    add = store._add
+    store._add = lambda keys: (asked.extend(keys), add(keys))
+    for i in range(30):
+        store.numbers([" ".join([f"x rare{i}x{j}" for j in range(15)]) + (" late late. late," if i > 2 else "")])
+        assert len(store.number) <= 40 + 20
+    assert asked.count(" late") == 1 and " late." not in asked
+
+
 def test_token_counts(docs, none, byte_bpe, rows):
     got = sorted(map(str, ((r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(docs).collect())))
     want = [(len((t or "").encode()), len(byte_bpe.encode(t or "", add_special_tokens=False).ids)) for _, t, *_ in rows]
