@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitlake.llm.common import materialize, scratch
+from bitlake.llm.common import materialize, released, scratch
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
+#: Rows whose texts a worker holds as Python values at once.
+ROWS = 512
 #: Distinct fingerprints per shard that the tree aims at, and tree nodes at most; shards split further by themselves.
 SHARD = 8_192
 MAX_SHARDS = 1 << 14
@@ -55,11 +57,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             found = np.array([fingerprint(x, shingle, seed) for x in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def _distance(x: np.ndarray, point) -> np.ndarray:
@@ -239,11 +241,11 @@ def _with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
     at, schema = docs.columns.index("text"), T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             found = np.array([fingerprint(None if x is None else x.encode()) for x in batch.column(at).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -33,13 +33,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitlake.llm.common import materialize, scratch
+from bitlake.llm.common import materialize, released, scratch
 
 LENGTH = 50
 K = 20
 #: Kept suffixes a task sorts, and those of one k-word start that a single task may get.
 ROWS_PER_TASK = 50_000
 HOT = 50_000
+#: Rows whose texts a worker holds as Python values at once.
+ROWS = 512
 #: Bits of the filter that tells which texts have a partner in a join.
 FILTER_BITS = 27
 
@@ -126,7 +128,7 @@ def _kept(docs: DataFrame, k: int, length: int) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("tkey", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("at", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             n, starts, at = [], [], []
             for text in batch.column(2):
                 g = Grams(text.as_py())
@@ -135,7 +137,7 @@ def _kept(docs: DataFrame, k: int, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), _lists(starts, pa.int64()), _lists(at, pa.int32())], names=schema.names)
 
     text = F.col("text").cast("binary")
-    return docs.where("text is not null").select("doc_id", F.unhex(F.md5(text)).alias("tkey"), text.alias("t")).mapInArrow(run, schema).where(F.col("n") >= length)
+    return docs.where("text is not null").select("doc_id", F.unhex(F.md5(text)).alias("tkey"), text.alias("t")).mapInArrow(lambda batches: released(run(batches)), schema).where(F.col("n") >= length)
 
 
 def _binary_rows(matrix: np.ndarray) -> pa.Array:
@@ -183,7 +185,7 @@ def _windows(texts: DataFrame, k: int, length: int, flat: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(start)), *keys, _binary_rows(np.concatenate(left))], names=schema.names)
 
     places = "often" if flat else "places"
-    return texts.where(F.size(places) > 0).select("tkey", "first", "text", places).mapInArrow(run, schema)
+    return texts.where(F.size(places) > 0).select("tkey", "first", "text", places).mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def _span_schema(first) -> T.StructType:
@@ -305,7 +307,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = H
             yield from neighbour_spans(pa.Table.from_batches(held), length).to_batches()
 
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // ROWS_PER_TASK))
-    out = _windows(found, k, length, False).repartition(tasks, "start").mapInArrow(run, spans)
+    out = _windows(found, k, length, False).repartition(tasks, "start").mapInArrow(lambda batches: released(run(batches)), spans)
     if most > hot:
         out = out.union(_spread(_windows(found, k, length, True), length, total * (length - k + 1)))
     gathered = out.groupBy("tkey").agg(F.collect_set(F.struct("begin", "end", "stays")).alias("spans"), F.collect_set("source").alias("sources"))
@@ -380,14 +382,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int
     at, names = docs.columns.index("text"), docs.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             texts_, gone = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
             new = [cut_words(t, g) if g and t is not None else t for t, g in zip(texts_, gone, strict=True)]
             stay = pa.array([not g or bool(t and t.strip(" \t\n\x0b\x0c\r")) for t, g in zip(new, gone, strict=True)], pa.bool_())
             columns = [pa.array(new, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(stay)
 
-    return marked.where(~F.col(maybe)).select(*names).union(kept.select(*names, removed).mapInArrow(run, docs.schema))
+    return marked.where(~F.col(maybe)).select(*names).union(kept.select(*names, removed).mapInArrow(lambda batches: released(run(batches)), docs.schema))
 
 
 def _repeated_rows(docs: DataFrame, copied: DataFrame, tkey: str, first: str) -> bool:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from bitlake.llm import ann, id_coder, lm_scoring, mixing, packing, quality_model, quality_rules, queries, simhash, suffix_dedup, token_counts
+from bitlake.llm import ann, common, id_coder, lm_scoring, mixing, packing, quality_model, quality_rules, queries, simhash, suffix_dedup, token_counts
 from bitlake.llm.tokens import ChunkStore, load, slices, vocabulary_path
 
 SF = "/root/testdata/sf0.001"
@@ -243,6 +243,15 @@ def test_chunk_store(name):
         assert store.encode(store.numbers([t])[0]).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_workers_give_memory_back_after_their_last_batch(monkeypatch):
+    said = []
+    library = type("Library", (), {"malloc_trim": staticmethod(lambda pad: said.append("trim"))})
+    monkeypatch.setattr(common.ctypes, "CDLL", lambda name: library)
+    for batch in common.released(iter([1, 2])):
+        said.append(batch)
+    assert said == [1, 2, "trim"]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_chunk_store_over_batches(name):
     rng, tokenizer, store = random.Random(3), load(vocabulary_path(name)), ChunkStore(vocabulary_path(name), limit=60)
