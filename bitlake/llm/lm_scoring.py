@@ -130,6 +130,11 @@ def frequent(table: DataFrame, n: str, most: int) -> DataFrame:
     return table.where(F.lit(False)) if least is None else table.where(F.floor(F.log2(n) * 8) >= least)
 
 
+def collected(table: DataFrame) -> list[pa.Array]:
+    """The columns of table on the driver. As Arrow: rows as Python objects take some twenty times their size there."""
+    return [c.combine_chunks() for c in table.toArrow().columns]
+
+
 def _kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of a zeros and b ones, in any order."""
 
@@ -292,8 +297,9 @@ def values(table: DataFrame, depth: int = DEPTH, part: int = PART) -> DataFrame:
     top = WholeTree(depth)
     if low:
         nodes = groups.applyInArrow(sums, "key long, zero double, one double, longer double")
-        nodes = nodes.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zero", "one", "longer")]).toPandas().sort_values("key")
-        top.climb(low - 1, (nodes["key"].to_numpy(np.int64).view(np.uint64), *(nodes[c].to_numpy(np.float64) for c in ("zero", "one", "longer"))), 0)
+        key, *more = collected(nodes.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zero", "one", "longer")]))
+        order = np.argsort(key := key.to_numpy().view(np.uint64))
+        top.climb(low - 1, (key[order], *(x.to_numpy()[order] for x in more)), 0)
     shared = spark.sparkContext.broadcast(top)
 
     def evaluate(rows: pa.Table) -> pa.Table:
@@ -348,12 +354,12 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = DEPTH, ma
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = total + ends, distinct + (ends > 0)
     below = total + 0.5 * (distinct + 1)
-    known = dict(map(tuple, frequent(words, "n", max_words).collect()))
+    known, c = collected(frequent(words, "n", max_words))
+    known = known, np.log10((c.to_numpy() + 0.5) / below)
     every = materialize(values(table.where("string is not null").select("string", "n"), depth), "values")
-    often = frequent(every.where("n > 0"), "n", max_strings).select("string", "value").toPandas()
-    store = often["string"].to_numpy(np.int64).view(np.uint64), often["value"].to_numpy(np.float64)
-    shared = spark.sparkContext.broadcast((store, {bytes(w): float(np.log10((c + 0.5) / below)) for w, c in known.items()}))
-    del often, store, known
+    often, value = collected(frequent(every.where("n > 0"), "n", max_strings).select("string", "value"))
+    shared = spark.sparkContext.broadcast(((often.to_numpy().view(np.uint64), value.to_numpy()), known))
+    del often, value, known
     end_value = float(np.log10((ends + 0.5) / below))
     label = uuid.uuid4().hex  # a worker keeps one model, and knows it by this
 
@@ -365,7 +371,7 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = DEPTH, ma
         if label not in _MODELS:
             _MODELS.clear()
             store, known = shared.value
-            _MODELS[label] = Store(*store), known
+            _MODELS[label] = Store(*store), dict(zip(known[0].to_pylist(), known[1].tolist(), strict=True))
         store, known = _MODELS[label]
         kind = pa.struct([("word", pa.binary()), ("m", pa.int64())])
         for batch in batches:

@@ -418,6 +418,14 @@ def test_lm_scoring(docs, none, rows):
     assert lm_scoring.score(none).count() == 0
 
 
+def test_lm_scoring_holds_no_long_lists_of_rows_in_the_driver(docs, monkeypatch):
+    kind, most = type(docs), []
+    for name in ("collect", "toPandas"):
+        monkeypatch.setattr(kind, name, lambda df, plain=getattr(kind, name): most.append(len(rows := plain(df))) or rows)
+    out = lm_scoring.score(docs).toArrow()
+    assert out.num_rows > 0 and max(most) < 200
+
+
 def test_context_tree_is_a_distribution():
     texts = [b"abracadabra", b"abba", b"cadabra abra"]
     code, _ = lm_scoring.strings(texts, 3)
