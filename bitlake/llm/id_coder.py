@@ -7,8 +7,8 @@ session; the class goes to the executors as a jar in the shared folder. That tak
 session (not a remote one).
 
 File format. A file is a Parquet file with one segment a row: ``shard`` and ``segment`` order the segments,
-``tokens`` counts their ids, ``documents`` is an Arrow IPC stream with doc_id and n_tokens of its documents in order,
-``body`` holds the blocks. Each block has its number of ids, the crc32 of the ids as little-endian unsigned 32-bit
+``tokens`` counts their ids, ``documents`` lists its documents in order (doc_id, ``at``: the segment's ids before it,
+n_tokens), ``body`` holds the blocks. Each block has its number of ids, the crc32 of the ids as little-endian unsigned 32-bit
 numbers, the bits per id and its number of bytes (four little-endian 32-bit numbers), then its code, and knows nothing
 of any other. Readers check every block's checksum.
 
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import io
 import zipfile
-import zlib
 from pathlib import Path
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitlake.llm.common import fresh_path, released
+from bitlake.llm.common import fresh_path, let, released
 from bitlake.llm.tokens import slices, store, vocabulary_path
 
 BLOCK = 1 << 16
@@ -38,7 +37,7 @@ BLOCK = 1 << 16
 SEGMENT = 1 << 18
 END_ID = 2
 #: Bytes of text that a worker encodes at once.
-BYTES = 4 << 20
+BYTES = 8 << 20
 _SOURCE = Path(__file__).with_name("IdCoder.java")
 _CLASS = "bitlake.IdCoder"
 
@@ -83,7 +82,8 @@ def decoded(body: Column, spark: SparkSession) -> Column:
 def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, block: int = BLOCK, segment: int = SEGMENT) -> None:
     """Encode all texts of docs (doc_id, text) and write their ids to path in ascending doc_id order."""
     vocabulary = vocabulary or vocabulary_path("byte_bpe_50k.json")
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("segment", T.IntegerType()), T.StructField("tokens", T.LongType()), T.StructField("documents", T.BinaryType()), T.StructField("ids", T.BinaryType())])
+    index_type = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("at", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("segment", T.IntegerType()), T.StructField("tokens", T.LongType()), T.StructField("documents", T.ArrayType(index_type)), T.StructField("ids", T.BinaryType())])
 
     def run(batches):
         from pyspark import TaskContext
@@ -92,11 +92,12 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id:
         index, held, size = [], [], 0
 
         def flush():
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, index[0].schema) as w:
-                w.write_table(pa.Table.from_batches(index))
-            row = (shard, number, size, sink.getvalue().to_pybytes(), np.concatenate(held).astype("<u4", copy=False).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=schema.names)
+            doc_id, n = pa.concat_arrays([x for x, _ in index]), np.concatenate([x for _, x in index])
+            documents = pa.StructArray.from_arrays([doc_id, pa.array(np.cumsum(n) - n), pa.array(n)], names=index_type.names)
+            raw = np.concatenate(held).astype("<u4", copy=False)
+            body = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, raw.nbytes], np.int32)), pa.py_buffer(raw)])
+            columns = [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([size], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), documents), body]
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
         for batch in (part for b in batches for part in slices(b, 1, BYTES)):
             ids, ends = chunks.encoded(batch.column(1), end_id)
@@ -104,7 +105,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id:
             while first < len(ends):
                 # The document that fills the segment is its last.
                 last = min(len(ends), int(np.searchsorted(ends, done + segment - size)) + 1)
-                index.append(pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n[first:last])], names=["doc_id", "n_tokens"]))
+                index.append((batch.column(0).slice(first, last - first), n[first:last]))
                 held.append(ids[done : ends[last - 1]])
                 size += int(ends[last - 1]) - done
                 first, done = last, int(ends[last - 1])
@@ -130,25 +131,15 @@ def read_ids(spark: SparkSession, path: str, doc_type: T.DataType, ids: bool = F
     shards = shards.select("shard", before(Window.orderBy("shard")).alias("shard_start"))
     starts = sizes.withColumnRenamed("tokens", "t").select("shard", "segment", before(Window.partitionBy("shard").orderBy("segment")).alias("segment_start"))
     starts = starts.join(shards, "shard").select("shard", "segment", (F.col("shard_start") + F.col("segment_start")).alias("base"))
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("segment", T.IntegerType()), T.StructField("doc_id", doc_type), T.StructField("at", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
-    if ids:
-        schema = schema.add("ids", T.BinaryType())
 
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                index = pa.ipc.open_stream(batch.column(2)[i].as_py()).read_all()
-                raw, n = memoryview(batch.column(3)[i].as_buffer()), index.column("n_tokens").to_numpy()
-                ends = np.cumsum(n)
-                at = ends - n
-                if len(raw) != 4 * ends[-1]:
-                    raise ValueError("a segment's documents and ids differ in number")
-                parts = [raw[4 * a : 4 * e] for a, e in zip(at.tolist(), ends.tolist(), strict=True)]
-                rows = pa.array(np.full(len(n), i))
-                columns = [batch.column(0).take(rows), batch.column(1).take(rows), index.column("doc_id"), pa.array(at), pa.array(n), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
-                yield from pa.table(columns + [pa.array(map(bytes, parts), pa.binary())] * ids, names=schema.names).combine_chunks().to_batches()
-
-    docs = segments.select("shard", "segment", "documents", decoded(F.col("body"), spark).alias("ids")).mapInArrow(run, schema)
+    def parts(found: Column) -> Column:
+        part = lambda d: F.substring(found, (4 * d["at"] + 1).cast("int"), (4 * d["n_tokens"]).cast("int"))
+        rows = F.transform("documents", lambda d: F.struct(d["doc_id"].cast(doc_type).alias("doc_id"), d["at"].alias("at"), d["n_tokens"].alias("n_tokens"), F.crc32(part(d)).alias("ids_crc32"), *[part(d).alias("ids")] * ids))
+        last = F.element_at("documents", -1)
+        return F.when(F.octet_length(found) == 4 * (last["at"] + last["n_tokens"]), rows).otherwise(F.raise_error(F.lit("a segment's documents and ids differ in number")))
+
+    # The ids of a segment are found once, and do not go along with its documents.
+    docs = segments.select("shard", "segment", F.inline(let(decoded(F.col("body"), spark), parts)))
     return docs.join(starts, ["shard", "segment"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids)
 
 

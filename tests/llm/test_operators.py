@@ -334,6 +334,29 @@ def test_id_blocks(spark):
     assert len(spark.createDataFrame([(some[-2].astype("<u4").tobytes(),)], "b binary").select(id_coder.encoded(F.col("b"), spark)).first()[0]) < len(some[-2]) / 2
 
 
+def test_id_blocks_rank_ids_of_any_size(spark):
+    rng = np.random.default_rng(5)
+    ids = rng.integers(1 << 16, 1 << 32, 300, np.uint32)[rng.integers(0, 300, 40_000)].astype("<u4").tobytes()
+    # Some that come once, between them: more ids than ranks that are coded as such, in a block.
+    many = rng.permutation(np.concatenate([np.arange(50_000, dtype=np.uint32) * 70_001, np.full(9_000, 7, np.uint32)])).astype("<u4").tobytes()
+    df = spark.createDataFrame([(0, ids), (1, many), (2, ids)], "i int, ids binary").coalesce(1)
+    got = df.select("i", "ids", id_coder.encoded(F.col("ids"), spark).alias("body")).select("*", id_coder.decoded(F.col("body"), spark).alias("back")).collect()
+    assert all(r.back == r.ids for r in got)
+    # log2(300) = 8.2 bits an id, and the 300 themselves.
+    assert all(len(r.body) < 40_000 * 9.5 / 8 for r in got if r.i != 1)
+
+
+def test_id_files_are_read_without_python(docs, tmp_path):
+    spark, path = docs.sparkSession, str(tmp_path / "ids")
+    id_coder.write_ids(docs, path, segment=500)
+    plan = id_coder.read_ids(spark, path, docs.schema["doc_id"].dataType)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    segments = spark.read.parquet(path)
+    segments.withColumn("documents", F.expr("slice(documents, 1, size(documents) - 1)")).where("size(documents) > 0").write.parquet(path + "-short")
+    with pytest.raises(Exception, match="differ in number"):
+        id_coder.read_ids(spark, path + "-short", docs.schema["doc_id"].dataType).collect()
+
+
 def test_id_files(docs, none, byte_bpe, rows, tmp_path):
     got = sorted(id_coder.round_trip(docs).collect(), key=lambda r: r.start)
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
