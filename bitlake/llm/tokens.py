@@ -24,7 +24,7 @@ _ODD_OTHER = tuple(c for c in map(chr, range(0x80, 0x3001)) if re.fullmatch(f"[{
 
 
 #: Chunks a store holds, in every worker.
-LIMIT = 500_000
+LIMIT = 800_000
 #: The first chunks of a store, which are frequent ones, are looked up without Python; chunks encoded as one text.
 FIRST, JOINED = 1 << 16, 100
 #: Chunks that stand behind one space. Of letters with at most one sign behind them: one word, or a word and a sign.
