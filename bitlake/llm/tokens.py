@@ -44,9 +44,9 @@ def chunks(text: str) -> list[str]:
     return _CHUNK.findall(text)
 
 
-_SIGN_BYTE = np.isin(np.arange(256), list(b".,"))
-_LETTER_BYTE = np.array([chr(i).isascii() and chr(i).isalpha() for i in range(256)])
-_WHITE_BYTE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Kinds of bytes: ASCII white space, signs, ASCII letters, first bytes of further white space, others.
+_WHITE, _SIGN, _LETTER, _LEAD = 1, 2, 3, 4
+_KIND = bytes(_WHITE if i in b"\t\n\v\f\r " else _SIGN if i in b".," else _LETTER if chr(i).isascii() and chr(i).isalpha() else _LEAD if i in b"\xc2\xe1\xe2\xe3" else 0 for i in range(256))
 
 
 def _offsets(texts: pa.Array) -> np.ndarray:
@@ -68,8 +68,9 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         return pa.array([], pa.binary()), np.zeros(n, np.int64)
     data = texts.buffers()[2].slice(first, last - first)
     raw, offsets = np.frombuffer(data, np.uint8), offsets.astype(np.int64) - first
-    white = _WHITE_BYTE[raw]
-    lead = np.flatnonzero((raw == 0xC2) | ((raw >= 0xE1) & (raw <= 0xE3)))
+    kind = np.frombuffer(data.to_pybytes().translate(_KIND), np.uint8)
+    white = kind == _WHITE
+    lead = np.flatnonzero(kind == _LEAD)
     if len(lead):
         a, b, c = raw[lead], raw[np.minimum(lead + 1, len(raw) - 1)], raw[np.minimum(lead + 2, len(raw) - 1)]
         two = lead[(a == 0xC2) & ((b == 0x85) | (b == 0xA0))]
@@ -80,7 +81,7 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
                 white[at + i] = True  # no text ends within a character
     begins = white.copy()
     begins[1:] &= ~white[:-1]
-    begins[1:] |= _SIGN_BYTE[raw[1:]] & _LETTER_BYTE[raw[:-1]]
+    begins[1:] |= (kind[1:] == _SIGN) & (kind[:-1] == _LETTER)
     begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
     at = np.flatnonzero(begins)
     places = np.append(at, len(raw)).astype(np.int32)
@@ -104,19 +105,6 @@ def load(path: str):
     return tokenizer
 
 
-class _Numbers(dict):
-    """Numbers chunks as they are first asked for, and keeps those that are new."""
-
-    def __init__(self, known=()):
-        super().__init__(known)
-        self.new: list[bytes] = []
-
-    def __missing__(self, key: bytes) -> int:
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
-
-
 class ChunkStore:
     """Numbers distinct chunks and keeps their ids in flat arrays.
 
@@ -132,7 +120,7 @@ class ChunkStore:
         vocabulary = self.tokenizer.get_vocab()
         self.mark = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.mark[[i for t, i in vocabulary.items() if (t.endswith("</w>") if self.drops_white else t.startswith("\u0120"))]] = True
-        self.number = _Numbers()
+        self.number: dict[bytes, int] = {}
         self.first = pa.array([], pa.binary())
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
         self.start, self.length, self.uses = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -144,7 +132,7 @@ class ChunkStore:
     def _halve(self) -> None:
         order = np.argsort(-self.uses, kind="stable")[: self.limit // 2]
         keys = list(self.number)
-        self.number = _Numbers({keys[j]: i for i, j in enumerate(order.tolist())})
+        self.number = {keys[j]: i for i, j in enumerate(order.tolist())}
         self.ids, self.length, self.uses = self.encode(order), self.length[order], self.uses[order] // 2
         self.used = len(self.ids)
         self.start = np.cumsum(self.length) - self.length
@@ -200,8 +188,12 @@ class ChunkStore:
         # One dictionary for both, which begins with the first ones.
         found = pa.chunked_array([self.first, parts]).dictionary_encode().chunk(1) if known else parts.dictionary_encode()
         distinct = found.dictionary.slice(known).to_numpy(zero_copy_only=False).tolist()
-        numbers = np.concatenate([np.arange(known), np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))])
-        new, self.number.new = self.number.new, []
+        numbers = np.fromiter(map(self.number.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        missing, base = np.flatnonzero(numbers < 0), len(self.number)
+        new = [distinct[i] for i in missing.tolist()]
+        self.number.update(zip(new, range(base, base + len(new)), strict=True))
+        numbers[missing] = np.arange(base, base + len(new))
+        numbers = np.concatenate([np.arange(known), numbers])
         for i in range(0, len(new), 20_000):
             self._add([k.decode() for k in new[i : i + 20_000]])
         at = found.indices.to_numpy()
